@@ -174,7 +174,7 @@ def _prefix_rows(threshold: Fraction):
     """Prefix postings of each set, from its shared shingles in rare-first
     order, with the suffix's shingles counted by class."""
     classes = [f"s{c}" for c in range(SUFFIX_CLASSES)]
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), *((c, pa.int32()) for c in classes)])
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("pos", pa.int32()), *((c, pa.int32()) for c in classes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +192,9 @@ def _prefix_rows(threshold: Fraction):
                 one[np.arange(len(g)), g_class] = 1
                 after = one[::-1].cumsum(axis=0)[::-1][1:]  # at positions beyond
                 k = min(k, len(g))
-                out.append([g[:k], np.full(k, ids[i]), np.full(k, n), start + np.arange(k), *after[:k].T])
+                out.append([g[:k], np.full(k, ids[i]), np.full(k, n), np.full(k, start), start + np.arange(k), *after[:k].T])
             if out:
-                yield pa.record_batch([np.concatenate([o[j] for o in out]).astype(np.int64 if j < 2 else np.int32) for j in range(4 + SUFFIX_CLASSES)], schema=schema)
+                yield pa.record_batch([np.concatenate([o[j] for o in out]).astype(np.int64 if j < 2 else np.int32) for j in range(5 + SUFFIX_CLASSES)], schema=schema)
 
     return run
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int
         .select("node", "n", F.col("g.gram").alias("shared"))
     )
     ordered = scratch.store(ordered.where(f"{t.denominator} * size(shared) >= {t.numerator} * n"), "ordered")
-    schema = "gram long, node long, n int, pos int, " + ", ".join(f"s{c} int" for c in range(SUFFIX_CLASSES))
+    schema = "gram long, node long, n int, own int, pos int, " + ", ".join(f"s{c} int" for c in range(SUFFIX_CLASSES))
     prefix = scratch.store(ordered.mapInArrow(_prefix_rows(t), schema), "prefixes")
 
     edges = scratch.store(copies, "copies")
@@ -289,19 +289,23 @@ def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int
 
 
 def _leader_pairs(here: DataFrame, t: Fraction, step: int) -> DataFrame:
-    """For each set, of the leaders of its shingles (the least by a hash of the
-    round) that pass the filters, the one that most of its shingles have.
-    Only chooses what to verify first; ``_all_pairs`` covers the rest."""
+    """For each set, one of the leaders of its shingles that pass the filters.
+    A shingle's leader is, in the first round, the set with the fewest shingles
+    of its own (of a group of edited copies, what they were made from), then
+    the least by a hash; a set meets the best of its leaders, and of equals the
+    one that most of its shingles have.  This only chooses what to verify
+    first; ``_all_pairs`` covers the rest."""
     fields = ["node", "label", "n", "pos", *(f"s{c}" for c in range(SUFFIX_CLASSES))]
+    by = F.col("own") if step == 0 else F.lit(0)
     led = here.groupBy("gram").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), *fields)).alias("lead"),
+        F.min(F.struct(by.alias("by"), F.xxhash64("node", F.lit(step)).alias("h"), *fields)).alias("lead"),
         F.min("label").alias("low"),
         F.max("label").alias("high"),
     )
     led = led.where("low <> high").select("gram", "lead.*").drop("h")
     met = here.alias("x").join(led.alias("y"), (F.col("x.gram") == F.col("y.gram")) & F.expr("x.label <> y.label") & F.expr(_passes(t)))
-    met = met.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("lead")).count()
-    best = met.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    met = met.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("lead"), F.col("y.by").alias("by")).count()
+    best = met.groupBy("node").agg(F.max_by("lead", F.struct(-F.col("by"), "count", "lead")).alias("lead"))
     return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
