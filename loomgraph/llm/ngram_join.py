@@ -72,7 +72,8 @@ def _screen_rows(size: int, threshold: Fraction):
             for batch in pieces(whole, 1, SCREEN_BYTES):
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 grams, docs, need = [], [], np.zeros(len(ids), dtype=np.int32)
-                for i, s in enumerate(_sets(batch, size)):
+                each = (s for part in pieces(batch, 1) for s in _sets(part, size))
+                for i, s in enumerate(each):
                     grams.append(s[: _extended(len(s), threshold)])
                     docs.append(np.full(len(grams[-1]), i, dtype=np.int64))
                     need[i] = _shared_at_least(len(s), threshold) if len(s) else 0
