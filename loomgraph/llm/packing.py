@@ -96,11 +96,11 @@ def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _piece_rows(path: str, space: str, end_id: int, capacity: int):
+def _piece_rows(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, space), array("I", [end_id]).tobytes()
+        enc, end = encoder(path), array("I", [end_id]).tobytes()
         for whole in batches:
-            for batch in pieces(whole, 1):
+            for batch in pieces(whole, 1, 1 << 22):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids += end
@@ -116,7 +116,7 @@ def _piece_rows(path: str, space: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, space: str = "leads", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the tokens of all documents into sequences of at most ``capacity``.
 
     Returns PIECES and sequence_id, offset: one row per piece.  Defined
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spa
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = scratch.store(docs.mapInArrow(_piece_rows(tokenizer, space, end_id, capacity), PIECES), "pieces")
+    cut = scratch.store(docs.mapInArrow(_piece_rows(tokenizer, end_id, capacity), PIECES), "pieces")
 
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     buckets = 1 + sum(histogram.values()) // RANKED_TOGETHER

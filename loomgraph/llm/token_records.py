@@ -75,25 +75,25 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
         at = end
 
 
-def _encode_rows(path: str, space: str, end_id: int):
+def _encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, space), array("I", [end_id]).tobytes()
+        enc, end = encoder(path), array("I", [end_id]).tobytes()
         width = 2 if max(enc.vocabulary, end_id + 1) <= 1 << 16 else 4
         for whole in batches:
-            for batch in pieces(whole, 1):
+            for batch in pieces(whole, 1, 1 << 22):
                 ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.record_batch([pa.array([frame(d, i + end, width) for d, i in zip(batch.column(0).to_pylist(), ids)], pa.binary())], names=["frame"])
 
     return run
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, space: str = "dropped", id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all texts, in ascending order of the id, to ``folder``.
     A null text is empty; a null id comes first; rows that repeat an id all
     stay, ordered by text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    out = rows.mapInArrow(_encode_rows(tokenizer, space, end_id), "frame binary")
+    out = rows.mapInArrow(_encode_rows(tokenizer, end_id), "frame binary")
     out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
 
