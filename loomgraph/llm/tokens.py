@@ -1,43 +1,50 @@
-"""Whole texts to token ids, as the tokenizers library gives them for a file.
-
-For two kinds of file, byte-level BPE and BPE with word ends, the same merges
-run in tiktoken, several times as fast; the ids are equal, which the tests hold
-against the library.  The file's own settings decide which kind it is, and any
-other file, and any text that the fast way may read otherwise (control
-characters that it uses as marks, special tokens, letters beyond Latin in a
-lower-casing tokenizer), is encoded by the library itself.
+"""Whole texts to token ids with the tokenizers library.
+
+Texts are cut into chunks where cutting changes nothing, and the ids of chunks
+seen before are remembered, up to a bound.  Two kinds of tokenizer never let a
+token reach over a single space between two other characters; a file's own
+settings tell which it is:
+
+* *dropped*: white space separates and vanishes; texts are cut at each space.
+* *leads*: a single space belongs to what follows; texts are cut before it, if
+  no space of the text stands beside other white space or at an end.
+
+Any other text, and every text of any other tokenizer, is encoded in one go.
+New chunks are encoded together, parted by a character that is always a token
+of its own; texts that have this character are encoded in one go too.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
+import re
 from array import array
 
 import numpy as np
-import regex
 
-#: Words whose ids a Python worker remembers (about 60 MB); then it forgets all.
-CACHE = 200_000
+#: Chunks of a generation; a Python worker remembers two generations at most
+#: (about 120 MB): the older one goes when the newer one is full.
+GENERATION = 200_000
+#: Chunks that are encoded together.
+TOGETHER = 20_000
 
-#: The patterns by which the two kinds of tokenizer split texts.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: The character between chunks, by kind.
+GAP = {"dropped": "\x01", "leads": "\x0b"}
+_TIGHT = re.compile(r"\s | \s|\A\s|\s\Z|\x0b")
 
-#: In the word-end kind, END stands for the end of a word and GAP parts words.
-END, GAP = "\x00", "\x01"
-_WORD = regex.compile(WORD_PATTERN)
-#: The last character that the fast way lower-cases itself.
-LAST = "ɏ"
+#: Fixed value: the pattern of the tokenizer whose tokens hold no white space.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
-def _printable() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable
-    Latin-1 as it is, all others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+def kind_of(file: dict) -> str | None:
+    """How texts may be cut for a tokenizer file, None if they may not be."""
+    pre, norm = file["pre_tokenizer"] or {}, file["normalizer"] or {}
+    if pre.get("type") == "ByteLevel":
+        return "leads" if not norm and pre.get("use_regex") and not pre.get("add_prefix_space") else None
+    split = (pre.get("pretokenizers") or [{}])[0]
+    removed = split.get("pattern", {}).get("Regex") == WORD_PATTERN and split.get("invert") and split.get("behavior") == "Removed"
+    return "dropped" if removed and [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
 
 
 class Encoder:
@@ -47,79 +54,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.kind, self.fast = self._fast(json.load(f))
-
-    def _fast(self, file: dict):
-        import tiktoken
-
-        model, pre, norm = file["model"], file["pre_tokenizer"] or {}, file["normalizer"]
-        bytes_of, end = _printable(), model.get("end_of_word_suffix")
-        if model["type"] != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
-            return None, None
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        begin = 512 if end else 256
-        if any(model["vocab"].get(a + b) != begin + i for i, (a, b) in enumerate(merges)):
-            return None, None  # ids that are no ranks
-        ranks = {}
-        for token, i in model["vocab"].items():
-            if i >= begin + len(merges):
-                continue
-            ends = bool(end) and token.endswith(end)
-            ranks[bytes(bytes_of[c] for c in (token[: -len(end)] if ends else token)) + (b"\x00" if ends else b"")] = i
-        if not end and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            return "bytes", tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        steps = [n.get("type") for n in (norm or {}).get("normalizers", [])]
-        split = (pre.get("pretokenizers") or [{}])[0]
-        if end and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == WORD_PATTERN and split.get("invert") and split.get("behavior") == "Removed":
-            self.gap = ranks[GAP.encode()]
-            return "words", tiktoken.Encoding("words", pat_str=f"[^{END}{GAP}]*{END}|{GAP}", mergeable_ranks=ranks, special_tokens={})
-        return None, None
-
-    def library(self, texts: list[str]) -> list[bytes]:
+            self.kind = kind_of(json.load(f))
+        if self.kind:
+            gap = self.tokenizer.encode(GAP[self.kind], add_special_tokens=False).ids
+            self.kind, self.gap = (self.kind, gap[0]) if len(gap) == 1 else (None, None)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.kind is None:
-            return self.library(texts)
-        plain = self._bytes if self.kind == "bytes" else self._words
-        odd = [i for i, t in enumerate(texts) if (self.kind == "words" and self._odd(t)) or any(s in t for s in self.special)]
-        out = dict(zip(odd, self.library([texts[i] for i in odd]) if odd else []))
-        rest = [i for i in range(len(texts)) if i not in out]
-        out.update(zip(rest, plain([texts[i] for i in rest])))
-        return [out[i] for i in range(len(texts))]
-
-    @staticmethod
-    def _odd(text: str) -> bool:
-        return END in text or GAP in text or not (text.isascii() or max(text) <= LAST)
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if t else b"" for t in texts]
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        """Word by word: a token never reaches over white space, which vanishes."""
-        words = [t.split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        if new:
-            marked = []
-            for w in new:
-                low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
-                if low.isalpha():
-                    marked.append(low + END)
-                else:
-                    found = _WORD.findall(low)
-                    marked.append(END.join(found) + END if found else "")
-            ids = self.fast.encode_to_numpy(GAP.join(marked), disallowed_special=()).astype("<u4") if any(marked) or len(new) > 1 else np.zeros(0, "<u4")
-            gaps = np.flatnonzero(ids == self.gap)
-            data, begins, ends = ids.tobytes(), [0, *(4 * gaps + 4).tolist()], [*(4 * gaps).tolist(), 4 * len(ids)]
-            self.known.update(zip(new, [data[a:b] for a, b in zip(begins, ends)]))
+        chunks = [self._chunks(t) for t in texts]
+        if len(self.known) > GENERATION:
+            self.older, self.known = self.known, {}
+        self._learn(list(set().union(*(c for c in chunks if c)).difference(self.known)))
         known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+        rest = iter(self.whole([t for t, c in zip(texts, chunks) if c is None]))
+        return [next(rest) if c is None else b"".join(map(known, c)) for c in chunks]
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if self.kind == "dropped":
+            return None if GAP["dropped"] in text else text.split(" ")
+        if self.kind == "leads" and text and not _TIGHT.search(text):
+            parts = text.split(" ")
+            parts[0] = GAP["leads"] + parts[0]  # no space leads the first one
+            return parts
+        return None
+
+    def _learn(self, new: list[str]) -> None:
+        """Makes ``new`` known, from the older generation or by encoding."""
+        missing = []
+        for c in new:
+            b = self.older.get(c)
+            if b is None:
+                missing.append(c)
+            else:
+                self.known[c] = b
+        for at in range(0, len(missing), TOGETHER):
+            part = missing[at : at + TOGETHER]
+            if self.kind == "dropped":
+                joined = "".join(f" {GAP['dropped']} {c}" for c in part)
+            else:
+                joined = "".join(c if c[0] == GAP["leads"] else f"{GAP['leads']} {c}" for c in part)
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            gaps = np.flatnonzero(ids == self.gap)
+            data, begins, ends = ids.tobytes(), (4 * gaps + 4).tolist(), [*(4 * gaps[1:]).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [data[a:b] for a, b in zip(begins, ends)], strict=True))
 
 
 _encoders: dict[str, Encoder] = {}
