@@ -140,11 +140,15 @@ def realise(docs: DataFrame, mix: Mix, source_col: str = "source", text_col: str
     texts are not shuffled, as long as the table of blocks is small.
     """
     rows = _keyed(docs, source_col, token_count(F.col(text_col)), mix.seed, id_col)
-    rows = rows.join(sized(mix.sources.select("key", "n_blocks")), F.col("_key") == F.col("key")).withColumn("_block", F.pmod("_spread", "n_blocks")).drop("key", "n_blocks")
-    blocks = mix.blocks.select(F.col("key").alias("b_key"), F.col("block").alias("b_block"), F.col("nth").alias("_nth"), "epochs", "part", F.col("cut._order").alias("c_order"), F.col("cut._id").alias("c_id"), "has_cut")
-    rows = rows.join(sized(blocks), (F.col("_key") == F.col("b_key")) & (F.col("_block") == F.col("b_block")))
-    within = F.expr("has_cut AND (_order < c_order OR (_order = c_order AND _id <= c_id))")
-    copies = F.col("epochs") + F.when(F.col("part") == "all", 1).when((F.col("part") == "prefix") & within, 1).otherwise(0)
+    sources = mix.sources.select(F.col("key").alias("_s_key"), F.col("n_blocks").alias("_s_blocks"))
+    rows = rows.join(sized(sources), F.col("_key") == F.col("_s_key")).withColumn("_block", F.pmod("_spread", "_s_blocks"))
+    blocks = mix.blocks.select(
+        F.col("key").alias("_b_key"), F.col("block").alias("_b_block"), F.col("nth").alias("_nth"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"),
+        F.col("cut._order").alias("_c_order"), F.col("cut._id").alias("_c_id"), F.col("has_cut").alias("_has_cut"),
+    )
+    rows = rows.join(sized(blocks), (F.col("_key") == F.col("_b_key")) & (F.col("_block") == F.col("_b_block")))
+    within = F.expr("_has_cut AND (_order < _c_order OR (_order = _c_order AND _id <= _c_id))")
+    copies = F.col("_epochs") + F.when(F.col("_part") == "all", 1).when((F.col("_part") == "prefix") & within, 1).otherwise(0)
     rows = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     return rows.select(*docs.columns, "_key", "_tokens", "_epoch", "_block", "_nth")
 
