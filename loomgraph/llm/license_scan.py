@@ -110,8 +110,10 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold
         F.min_by("licence", F.struct(-F.col("dice"), "licence")).alias("best_licence"),
         F.max("dice").alias("best_dice"),
     )
+    # the id is joined too: at many billions of rows two hashes can be alike
+    of = of.withColumnRenamed("doc_id", "of_id")
     all_rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
-    out = all_rows.join(of.drop("doc_id"), "row", "left")
+    out = all_rows.join(of, (all_rows.row == of.row) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
     return out.select("doc_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licences", F.lit("")).alias("licences"), "best_licence", F.round("best_dice", 6).alias("best_dice"))
 
 

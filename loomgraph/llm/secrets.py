@@ -131,7 +131,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     found = found.select("blob", F.explode(F.transform("spans", lambda s: F.struct(s.start.alias("start"), F.col("nth"), s.end.alias("end")))).alias("f"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     listed = F.transform(F.array_sort(F.collect_list("f")), lambda f: F.struct(F.get(kinds, f.nth).alias("kind"), f.start.alias("start"), f.end.alias("end")))
-    found = found.groupBy("blob").agg(listed.alias("findings"))  # one blob's spans
+    # one blob's spans; a table of its own, so that Spark can split the join where one blob is at many paths
+    found = scratch.store(found.groupBy("blob").agg(listed.alias("findings")), "findings")
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return scratch.result(versions.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", empty).alias("findings")))
 
