@@ -18,7 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, delete
+from .common import Scratch, delete, sized
+
+#: Shards up to which the table of their names is broadcast (about 20 MB).
+SHARDS_BROADCAST = 100_000
 
 MANIFEST = "file string, rows long, bytes long, arrival long"
 
@@ -163,4 +166,5 @@ def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4, target: in
     names = {r.file: r.asDict() for r in files.collect()}
     numbered = spark.createDataFrame([(f, k, names[f]["rows"], names[f]["bytes"]) for k, f in enumerate(sorted(names))], "file string, shard long, shard_rows long, shard_bytes long")
     rows = store.read().select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("_metadata.file_path").alias("file"))
-    return rows.join(numbered, "file").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    # a row per shard: sent to the rows up to a bound, so that rows are not dealt by their shard
+    return rows.join(sized(numbered, len(names), SHARDS_BROADCAST), "file").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
