@@ -69,7 +69,9 @@ def key_words(text: str, threshold: Fraction) -> list[str]:
 
 def _bigrams(unit: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(lower_ascii(unit), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    # a lambda that names `words` would split the text anew for each word
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda v, w: F.concat_ws(" ", v, w))
     return F.array_distinct(pairs)
 
 
