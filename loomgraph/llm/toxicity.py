@@ -3,7 +3,8 @@
 Words (runs of letters and digits, A-Z as a-z) are embedded by several hashes:
 of the word, and of its first bytes, so that forms of a stem share a part.  Filters of several widths run
 over the whole text; each one's maximum goes into a logistic output.  Training
-and calibration use bounded samples of labelled rows, scoring every whole text.
+uses a bounded sample of labelled rows; calibration uses all labelled rows of a
+fold of its own, as a histogram.  Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ BITS, DIM = 16, 8
 STEMS = (4, 6)
 TABLES = 1 + len(STEMS)
 WIDTHS, FILTERS = (1, 2, 3), 12
-#: Labelled rows that the classifier trains on at most, toxic and clean, and
-#: rows that it is calibrated on.
-TOXIC, CLEAN, CALIBRATION = 1500, 2500, 3000
+#: Labelled rows that the classifier trains on at most, toxic and clean.
+TOXIC, CLEAN = 1500, 2500
+#: One in FOLDS labelled rows, by a hash of the id, only calibrates.
+FOLDS = 3
+#: Steps of a logit of 1 in the histogram that calibration reads, and its ends.
+STEPS, END = 32, 30
 EPOCHS, BATCH, RATE = 4, 32, 0.05
 #: A bucket that fewer training texts have stays zero: such words say nothing.
 LEAST_TEXTS = 5
@@ -162,31 +166,29 @@ def train(codes: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 0) ->
     return m
 
 
-def calibrate(m: Model, logits: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
-    """Platt scaling on rows as frequent as they come, by Newton's method."""
+def calibrate(m: Model, logits: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> None:
+    """Platt scaling on rows as frequent as they come (``n`` of each), by
+    Newton's method."""
     p = np.array([1.0, 0.0])
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    x = np.column_stack([np.clip(logits, -30, 30), np.ones(len(y))])
+    target = np.where(y > 0, ((n * y).sum() + 1) / ((n * y).sum() + 2), 1 / ((n * (1 - y)).sum() + 2))
+    x = np.column_stack([np.clip(logits, -END, END), np.ones(len(y))])
     for _ in range(steps):
         q = sigmoid(x @ p)
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        p = p - np.linalg.solve(hessian, x.T @ (q - target) + 1e-3 * (p - [1.0, 0.0]))
+        hessian = (x * (n * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
+        p = p - np.linalg.solve(hessian, x.T @ (n * (q - target)) + 1e-3 * (p - [1.0, 0.0]))
     if np.isfinite(p).all() and p[0] > 0:
         m.scale, m.shift = float(p[0]), float(p[1])
 
 
-def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str], least: int = 20) -> dict[str, float]:
-    """By language, the score that separates calibration rows with the best F1;
-    CUT for a language with fewer than ``least`` rows of either label."""
+def thresholds(scores: np.ndarray, y: np.ndarray, n: np.ndarray, langs: list[str | None]) -> dict[str, float]:
+    """By language, the score that separates calibration rows (``n`` of each)
+    with the best F1; rows without a language here set none."""
     out = {}
-    for lang in sorted(set(langs)):
+    for lang in sorted({x for x in langs if x is not None}):
         here = np.array([x == lang for x in langs])
-        s, t = scores[here], y[here]
-        if min(t.sum(), (1 - t).sum()) < least:
-            out[lang] = CUT
-            continue
+        s, t, k = scores[here], y[here], n[here]
         grid = np.linspace(0.05, 0.95, 91)
-        f1 = [2 * (t * (s >= g)).sum() / max((t.sum() + (s >= g).sum()), 1) for g in grid]
+        f1 = [2 * (k * t * (s >= g)).sum() / max((k * t).sum() + (k * (s >= g)).sum(), 1) for g in grid]
         best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
         out[lang] = float(grid[best[len(best) // 2]])
     return out
@@ -197,39 +199,60 @@ def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(whole, 1):
             codes, first = word_codes(batch.column(1))
             flat = pa.array([codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
-            yield pa.record_batch([batch.column(0), flat, *batch.columns[2:]], names=["doc_id", "codes", "lang", "toxic", "use"])
+            yield pa.record_batch([batch.column(0), flat, *batch.columns[2:]], names=["doc_id", "codes", "toxic"])
+
+
+def _logit_rows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 0, 1 << 20):
+                logit = np.clip(model.value.logits(*word_codes(batch.column(0))), -END, END)
+                step = pa.array(np.rint(logit * STEPS).astype(np.int64))
+                yield pa.record_batch([*batch.columns[1:], step], names=["lang", "toxic", "step"])
+
+    return run
+
+
+def histogram(rows: DataFrame, model: Model, least: int = 20) -> list:
+    """(lang, step, toxic, n) of all ``rows`` (text, lang, toxic) by steps of
+    their logits.  Languages with fewer than ``least`` rows of either label are
+    null, so that what is collected is bounded by those that set a threshold."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "toxicity-calibration")
+    steps = rows.select("text", "lang", "toxic").mapInArrow(_logit_rows(spark.sparkContext.broadcast(model)), "lang string, toxic int, step long")
+    counts = scratch.store(steps.groupBy("lang", "step", "toxic").agg(F.count(F.lit(1)).alias("n")), "steps")
+    toxic = F.sum(F.col("n") * F.col("toxic"))
+    known = counts.where("lang IS NOT NULL").groupBy("lang").agg(toxic.alias("bad"), (F.sum("n") - toxic).alias("good"))
+    known = known.where(F.least("bad", "good") >= least).select("lang", F.col("lang").alias("known"))
+    found = counts.join(known, "lang", "left").groupBy("known", "step", "toxic").agg(F.sum("n").alias("n")).orderBy("known", "step", "toxic").collect()
+    scratch.drop(scratch.folder)
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[Model, dict[str, float]]:
     """The classifier and the thresholds by language, from labelled rows whose
-    ids are not held out: those of the least hashes, TOXIC and CLEAN of them to
-    train on, then CALIBRATION to calibrate on."""
-    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out("doc_id"))
+    ids are not held out.  One in FOLDS of them, by a hash of the id, calibrates
+    and never trains; of the others, TOXIC and CLEAN with the least hashes
+    train.  All rows of the calibration fold count; if it has labels of one
+    kind only, scores stay as trained and every threshold is CUT."""
+    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)) == 0
     order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
-    parts = [marks.where(f"toxic = {t}").orderBy(*order).limit(n).withColumn("use", F.lit("train")) for t, n in ((1, TOXIC), (0, CLEAN))]
-    chosen = parts[0].union(parts[1])
-    other = [F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"]
-    rest = marks.join(chosen, "doc_id", "left_anti").orderBy(*other).limit(CALIBRATION).withColumn("use", F.lit("calibrate"))
-    chosen = F.broadcast(chosen.union(rest))  # at most TOXIC + CLEAN + CALIBRATION rows
-    texts = docs.join(chosen, "doc_id").select("doc_id", "text", "lang", "toxic", "use")
-    rows = texts.mapInArrow(_code_rows, "doc_id long, codes binary, lang string, toxic int, use string").collect()
+    parts = [marks.where(~calibrates & (F.col("toxic") == t)).orderBy(*order).limit(n) for t, n in ((1, TOXIC), (0, CLEAN))]
+    chosen = F.broadcast(parts[0].union(parts[1]))  # at most TOXIC + CLEAN rows
+    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_code_rows, "doc_id long, codes binary, toxic int").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.codes)))
-    use = {u: [r for r in rows if r.use == u] for u in ("train", "calibrate")}
-    if len({r.toxic for r in use["train"]}) < 2:
+    if len({r.toxic for r in rows}) < 2:
         return Model([np.zeros((1 << BITS, DIM), np.float32)] * TABLES, [np.zeros((w, TABLES * DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), -3.0), {}
-
-    def stacked(rs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cs = [np.frombuffer(r.codes, np.int32).reshape(-1, TABLES) for r in rs]
-        return np.concatenate(cs), np.concatenate([[0], np.cumsum([len(c) for c in cs])]), np.array([float(r.toxic) for r in rs])
-
-    model = train(*stacked(use["train"]), seed=seed)
-    judged = use["calibrate"] if len({r.toxic for r in use["calibrate"]}) == 2 else use["train"]
-    codes, first, y = stacked(judged)
-    step = 256
-    logits = np.concatenate([model.logits(codes[first[i] : first[min(i + step, len(y))]], first[i : i + step + 1] - first[i]) for i in range(0, len(y), step)])
-    calibrate(model, logits, y)
-    return model, thresholds(sigmoid(model.scale * logits + model.shift), y, [r.lang or "" for r in judged])
+    codes = [np.frombuffer(r.codes, np.int32).reshape(-1, TABLES) for r in rows]
+    model = train(np.concatenate(codes), np.concatenate([[0], np.cumsum([len(c) for c in codes])]), np.array([float(r.toxic) for r in rows]), seed=seed)
+    found = histogram(docs.join(sized(marks.where(calibrates)), "doc_id"), model)
+    if len({r.toxic for r in found}) < 2:
+        return model, {}
+    logits, y, n = (np.array(v, dtype=float) for v in zip(*((r.step / STEPS, r.toxic, r.n) for r in found)))
+    calibrate(model, logits, y, n)
+    return model, thresholds(sigmoid(model.scale * logits + model.shift), y, n, [r.known for r in found])
 
 
 def held_out(column: str):

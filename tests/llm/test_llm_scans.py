@@ -155,6 +155,30 @@ def test_scores_ignore_labels_and_language(spark, sf_dir):
     assert a == pytest.approx(b)
 
 
+def test_toxicity_calibrates_on_rows_of_its_own(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 97}" for j in range(12)) + (" vile" if i % 5 == 0 else ""), f"l{i % 2}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    seen, train, calibrate = {}, toxicity.train, toxicity.calibrate
+
+    def training(codes, first, y, **more):
+        seen["train"] = Counter(y.tolist())
+        return train(codes, first, y, **more)
+
+    def calibrating(m, logits, y, *n):
+        weights = n[0] if n else np.ones(len(y))
+        seen["calibrate"] = Counter({v: int(weights[y == v].sum()) for v in (0.0, 1.0)})
+        calibrate(m, logits, y, *n)
+
+    monkeypatch.setattr(toxicity, "train", training)
+    monkeypatch.setattr(toxicity, "calibrate", calibrating)
+    _, by_lang = toxicity.fit(docs, labels)
+    known = Counter(float(i % 5 == 0) for i in range(1200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert seen["train"] + seen["calibrate"] == known  # each labelled row in one of the two
+    assert seen["calibrate"][1.0] >= 40 and seen["train"][1.0] > seen["calibrate"][1.0]
+    assert set(by_lang) == {"l0", "l1"}
+
+
 def test_scratch_tables_are_dropped(spark):
     s = Scratch(spark, "test")
     s.store(spark.range(3))
