@@ -20,6 +20,8 @@ TRANSFER_PENALTY, NON_PRODUCTION_PENALTY = 500.0, 50_000.0
 UNGATED_MACHINE = 20.0
 #: An improvement below this is none.
 LEAST_GAIN = 1e-9
+#: Steps after which a loop that still finds something is an error.
+CEILING = 1000
 
 
 def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -79,13 +81,13 @@ def seed_costs(g: Graph, stock: bool = False) -> DataFrame:
     return raw.unionByName(have).groupBy("key").agg(F.min("cost").alias("cost"))
 
 
-def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = None, passes: int = 20) -> tuple[DataFrame, int]:
-    """Prices at the fixpoint (or after ``passes``), and the passes it took.
-    All outputs of a pass see the prices of the one before."""
+def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = None, passes: int | None = None) -> tuple[DataFrame, int]:
+    """Prices at the fixpoint (or after ``passes``, if given), and the passes it
+    took.  All outputs of a pass see the prices of the one before."""
     spark = g.recipe.sparkSession
     outputs, slots = (settled(spark, t) for t in priced_recipes(g, entry))
     cost = settled(spark, seed if seed is not None else seed_costs(g))
-    for done in range(1, passes + 1):
+    for done in range(1, (CEILING if passes is None else passes) + 1):
         found = relax_pass(outputs, slots, cost).withColumnRenamed("cost", "new")
         both = cost.join(found, "key", "full_outer")
         better = F.col("cost").isNull() | (F.col("new") < F.col("cost") - LEAST_GAIN)
@@ -93,21 +95,27 @@ def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = Non
         cost = step.select("key", "cost")
         if not step.where("changed").limit(1).count():
             break
+    else:
+        if passes is None:
+            raise RuntimeError("prices did not settle")
     return cost, done
 
 
-def hops(edges: DataFrame, start: DataFrame, limit: int = 24) -> DataFrame:
-    """(key, hop): keys by how many steps along (a, b) they are from ``start``."""
+def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(key, hop): keys by how many steps along (a, b) they are from ``start``,
+    all that can be reached."""
     spark = edges.sparkSession
     edges = settled(spark, edges.select("a", "b").distinct())
     seen = settled(spark, start.select("key").distinct().withColumn("hop", F.lit(0)))
-    for hop in range(1, limit + 1):
+    for hop in range(1, CEILING + 1):
         front = seen.where(F.col("hop") == hop - 1).select(F.col("key").alias("a"))
         new = edges.join(front, "a").select(F.col("b").alias("key")).distinct().join(seen.select("key"), "key", "left_anti").withColumn("hop", F.lit(hop))
         new = settled(spark, new)
         if not new.limit(1).count():
             break
-        seen = seen.unionByName(new)
+        seen = settled(spark, seen.unionByName(new)) if hop % 16 == 0 else seen.unionByName(new)
+    else:
+        raise RuntimeError("hops did not come to an end")
     return seen
 
 

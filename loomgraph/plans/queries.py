@@ -323,11 +323,21 @@ def structure_cost(spark, d):
 
 @query(", e AS (SELECT DISTINCT s.key AS a, o.key AS b FROM slot s JOIN outp o USING (rid) WHERE s.qty >= 45), h AS (SELECT 'p:' || p_partkey AS key, 0 AS hop FROM part WHERE p_partkey % 100 = 99 UNION SELECT b, hop + 1 FROM h JOIN e ON a = key WHERE hop < 24) SELECT key, min(hop)::INTEGER AS hop FROM h GROUP BY key")
 def hop_bfs(spark, d):
+    """Along slots of 45 and more only, as its SQL; ``hop_all`` takes them all."""
     g = graph(spark, d)
     edges = g.slot.where("qty >= 45").select("rid", F.col("key").alias("a")).join(g.output.select("rid", F.col("key").alias("b")), "rid")
     return costs.hops(edges, g.names.where("part % 100 = 99").select("key"))
 
 
+@query(", e AS (SELECT DISTINCT s.key AS a, o.key AS b FROM slot s JOIN outp o USING (rid)), h AS (SELECT 'p:' || p_partkey AS key, 0 AS hop FROM part WHERE p_partkey % 100 = 99 UNION SELECT b, hop + 1 FROM h JOIN e ON a = key) SELECT key, min(hop)::INTEGER AS hop FROM h GROUP BY key")
+def hop_all(spark, d):
+    """Along every slot, to the end (outputs here are of lower parts than slots,
+    so that the SQL ends too)."""
+    g = graph(spark, d)
+    edges = g.slot.select("rid", F.col("key").alias("a")).join(g.output.select("rid", F.col("key").alias("b")), "rid")
+    return costs.hops(edges, g.names.where("part % 100 = 99").select("key"))
+
+
 @query(f"""{_RELAX}{_passes(12)}, p AS (SELECT rid, sum(cost * amount) AS spent, count(*) AS slots FROM sl LEFT JOIN c12 USING (key) GROUP BY rid HAVING count(*) = count(cost))
 SELECT key, rid, round(base + spent / out, 4) AS price FROM op JOIN p USING (rid) JOIN recipe USING (rid) WHERE not_production IS NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(base + spent / out, 9), slots, rid) = 1""")
 def recipe_score_top1(spark, d):

@@ -112,3 +112,18 @@ def test_every_made_key_is_planned(spark, sf_dir):
     made = {int(r.key[2:]) for r in queries.graph(spark, sf_dir).output.select("key").distinct().collect()}
     assert {r.request for r in got.where("depth = 0").collect()} == made
     assert not got.where("status = 'depth'").count()
+
+
+def test_hops_and_prices_go_to_the_end(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"p:{i}", f"p:{i + 1}") for i in range(30)] + [("p:30", "p:0")], "a string, b string")
+    start = spark.createDataFrame([("p:0",)], "key string")
+    assert {r.key: r.hop for r in costs.hops(edges, start).collect()} == {f"p:{i}": i for i in range(31)}
+    g = small_graph(spark, {i: (f"p:{i}", 1, None, {f"p:{i + 1}": (1, 1.0)}) for i in range(26)}, {"p:0": 1})
+    cost, _ = costs.relax(g)
+    assert {r.key: r.cost for r in cost.collect()} == {f"p:{i}": 1.0 + 20.0 * (26 - i) for i in range(27)}
+    monkeypatch.setattr(costs, "CEILING", 3)
+    with pytest.raises(RuntimeError):
+        costs.hops(edges, start)
+    with pytest.raises(RuntimeError):
+        costs.relax(g)
+    assert costs.relax(g, passes=2)[1] == 2
