@@ -9,6 +9,10 @@ over distinct bigrams of normalised words.  Two exact prunings come first:
 * key words: a match leaves fewer than (2 - 2 * threshold) / (2 - threshold) of
   a template's bigrams out, so it has one of some words that touch more than
   those.  Texts without any are passed over with one pattern.
+
+With ``wrapped``, units are also the paragraphs of several lines and, rejoined
+over line ends, their sentences.  Marks of comments are no words, so they fall
+away, and a line of marks alone parts paragraphs as an empty one does.
 """
 
 from __future__ import annotations
@@ -75,8 +79,18 @@ def _bigrams(unit: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licences that the sentences of each text, or it as a whole, state.
+def _wrapped(text: Column) -> Column:
+    """Paragraphs of several lines, unless they are the whole text, and their
+    sentences that go over a line end."""
+    paragraphs = F.split(F.regexp_replace(F.translate(text, "\1\2", "  "), "\n[^A-Za-z0-9]*\n", "\2"), "\2")
+    ended = lambda p: F.regexp_replace(F.regexp_replace(p, "([.!?])[ \n]", "$1\1"), ":\n", ":\1")
+    sentences = F.transform(paragraphs, lambda p: F.filter(F.split(ended(p), "\1"), lambda s: s.contains("\n") & (s != p)))
+    return F.concat(F.filter(paragraphs, lambda p: p.contains("\n") & (p != text)), F.flatten(sentences))
+
+
+def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: str = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+    """Licences that the sentences of each text, or it as a whole, state; with
+    ``wrapped``, its paragraphs and sentences of several lines too.
 
     Returns one row per row of ``docs``: doc_id, n_matches (units that match a
     template), licences (ids, comma-joined in order), best_licence and
@@ -94,12 +108,14 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold
     spark = docs.sparkSession
     sizes = F.broadcast(spark.createDataFrame(table, "size int, licence string, template array<string>"))  # fixed by the templates
     keys = sorted({w for text in templates.values() for w in key_words(text, t)})
-    pattern = r"(?i)\b(?:" + "|".join(keys) + r")\b"
+    pattern = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(keys) + ")(?![A-Za-z0-9])"
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.where(F.col("text").rlike(pattern)).withColumn("row", F.xxhash64("doc_id", "text"))
     sentences = F.split(F.regexp_replace("text", r"([.!?]) ", "$1\n"), "\n")
-    units = found.select("row", "doc_id", F.posexplode(F.array_append(sentences, F.col("text"))).alias("unit", "piece"))
+    pieces = F.array_append(sentences, F.col("text"))
+    pieces = F.concat(pieces, _wrapped(F.col("text"))) if wrapped else pieces
+    units = found.select("row", "doc_id", F.posexplode(pieces).alias("unit", "piece"))
     units = units.where(F.col("piece").rlike(pattern))
     units = units.select("row", "doc_id", "unit", _bigrams(F.col("piece")).alias("grams")).withColumn("size", F.size("grams"))
     dice = (2.0 * F.size(F.array_intersect("grams", "template")) / (F.col("size") + F.size("template"))).alias("dice")
@@ -123,15 +139,27 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scratch(spark, "license-scan").result(licences(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-def sql(templates: dict[str, str] | None = None, threshold: str = THRESHOLD) -> str:
+def op3_wrapped_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scratch(spark, "license-scan").result(licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrapped=True))
+
+
+_UNITS = """u0 AS (SELECT doc_id, unnest(list_append(string_split(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), chr(10)), text)) AS piece,
+              unnest(range(1 + len(string_split(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), chr(10))))) AS unit FROM d)"""
+_WRAPPED_UNITS = """p AS (SELECT doc_id, text, string_split(regexp_replace(translate(text, chr(1) || chr(2), '  '), '\\n[^A-Za-z0-9]*\\n', chr(2), 'g'), chr(2)) AS ps FROM d),
+l AS (SELECT doc_id, list_concat(list_append(string_split(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), chr(10)), text),
+        list_filter(ps, lambda x: contains(x, chr(10)) AND x <> text),
+        flatten(list_transform(ps, lambda x: list_filter(string_split(replace(regexp_replace(x, '([.!?])[ \\n]', '\\1' || chr(1), 'g'), ':' || chr(10), ':' || chr(1)), chr(1)), lambda y: contains(y, chr(10)) AND y <> x)))) AS ls FROM p),
+u0 AS (SELECT doc_id, unnest(ls) AS piece, unnest(range(len(ls))) AS unit FROM l)"""
+
+
+def sql(templates: dict[str, str] | None = None, threshold: str = THRESHOLD, wrapped: bool = False) -> str:
     """DuckDB: every unit of every text against every template."""
     values = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{b}'" for b in template_bigrams(text))) for n, text in (templates or TEMPLATES).items())
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH t(licence, g) AS (VALUES {values}),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-u0 AS (SELECT doc_id, unnest(list_append(string_split(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), chr(10)), text)) AS piece,
-              unnest(range(1 + len(string_split(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), chr(10))))) AS unit FROM d),
+{_WRAPPED_UNITS if wrapped else _UNITS},
 u AS (SELECT doc_id, unit, list_filter(string_split(regexp_replace({low.format('piece')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM u0),
 b AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS a FROM u WHERE len(w) > 1),
 s AS (SELECT doc_id, unit, licence, 2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g)) AS dice FROM b, t

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_records": token_records.op9_token_records,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op3_wrapped_license_scan": license_scan.op3_wrapped_license_scan,
 }
 
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": license_scan.sql()}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": license_scan.sql(), "op3_wrapped_license_scan": license_scan.sql(wrapped=True)}

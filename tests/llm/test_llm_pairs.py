@@ -180,6 +180,36 @@ def test_licences_are_found(spark):
     assert license_scan.licences(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences_are_found(spark, tmp_path):
+    import textwrap
+
+    import duckdb
+
+    code = "\n".join(f"value_{i} = compute_{i}(value_{i - 1}, {i})" for i in range(60))
+    rows = []
+    for name in ("MIT-grant", "ISC", "GPL-header", "Apache-2.0-header"):
+        for mark in ("", "# ", " * "):
+            notice = textwrap.indent(textwrap.fill(license_scan.TEMPLATES[name], 78 - len(mark)), mark)
+            rows += [(len(rows), name, f"{code}\n{mark}\n{notice}\n\n{code}"), (len(rows) + 1, name, f"{notice}\n{code}")]
+    rows += [(900, "", code), (901, "", None), (902, "", "\n\n" * 5000 + "x\1\2")]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = sorted(map(tuple, license_scan.licences(docs, wrapped=True).collect()))
+    assert [(r[0], r[2]) for r in got] == [(i, name) for i, name, _ in rows]
+    docs.write.parquet(f"{tmp_path}/docs")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    assert got == sorted(con.execute(license_scan.sql(wrapped=True)).fetchall())
+
+
+def test_wrapped_licences_on_the_table(same_as_sql):
+    same_as_sql(license_scan.op3_wrapped_license_scan, license_scan.sql(wrapped=True))
+
+
+def test_underscores_end_words(spark):
+    docs = spark.createDataFrame([(1, "_Released_under_the_MIT_License_")], "doc_id long, text string")
+    assert [(r.n_matches, r.licences) for r in license_scan.licences(docs).collect()] == [(2, "MIT")]
+
+
 def test_key_words_prune_nothing(spark):
     """Every near variant that the threshold admits has a key word."""
     from fractions import Fraction
