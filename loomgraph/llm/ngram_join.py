@@ -11,11 +11,12 @@ alike, by rare-first prefix filtering.
    distinct sets (equal sets are one node) and every set is ordered by (count,
    hash).  Two sets that reach the threshold share a shingle of both prefixes.
 3. *Join.*  Sets meet on prefix shingles; length, positional and suffix filters
-   are conditions of that join.  Each pair is verified once, on whole sets.
-   First every set meets one leader per shingle, and what the links join is
-   contracted; then sets meet only where their components still differ.  So a
-   group of thousands of copies gives links in proportion to its size, while
-   every pair of different components that passes the filters is verified.
+   are conditions of that join.  ``links`` verifies every such pair once, on
+   whole sets.  ``near_duplicates`` only needs the components: first every set
+   meets one leader per shingle, and what the links join is contracted; then
+   sets meet only where their components still differ.  So a group of thousands
+   of copies takes work in proportion to its size, while every pair of
+   different components that passes the filters is verified.
 
 Hashes have 64 bits; a collision can only matter within one pair of sets.
 """
@@ -224,19 +225,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(q * both >= p * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links documents by the Jaccard similarity of their word shingles.
-
-    Returns (doc_id, n_shingles, component_id): one row per distinct non-null
-    id.  Other columns of ``docs`` are not read.  Defined results: null, empty
-    and word-less texts have no shingles and are linked with nothing; a text
-    shorter than a shingle has one, all its words; rows with a null id are no
-    documents and get no row; rows that repeat an id are one document whose
-    text is the greatest of them; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    t = Fraction(str(threshold))
+def _prepared(docs: DataFrame, t: Fraction, size: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, ...]:
+    """Sizes of all sets; the sets left by the screen, the node of each digest,
+    the nodes' shingles rare first, and their prefixes."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
     sizes = scratch.store(docs.mapInArrow(_sizes(size), "doc_id long, n_shingles long"), "sizes")
@@ -256,7 +247,6 @@ def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int
     found = docs.join(sized(left), "doc_id", "left_semi").mapInArrow(_set_rows(size), "doc_id long, n int, digest binary, grams array<long>")
     found = scratch.store(found, "sets")
     same = scratch.store(found.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    copies = found.select("doc_id", "digest").join(same, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = found.join(sized(same.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "grams")
 
     postings = nodes.select("node", "n", F.explode("grams").alias("gram"))
@@ -270,7 +260,22 @@ def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int
     ordered = scratch.store(ordered.where(f"{t.denominator} * size(shared) >= {t.numerator} * n"), "ordered")
     schema = "gram long, node long, n int, own int, pos int, " + ", ".join(f"s{c} int" for c in range(SUFFIX_CLASSES))
     prefix = scratch.store(ordered.mapInArrow(_prefix_rows(t), schema), "prefixes")
+    return sizes, found, same, ordered, prefix
+
+
+def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links documents by the Jaccard similarity of their word shingles.
 
+    Returns (doc_id, n_shingles, component_id): one row per distinct non-null
+    id.  Other columns of ``docs`` are not read.  Defined results: null, empty
+    and word-less texts have no shingles and are linked with nothing; a text
+    shorter than a shingle has one, all its words; rows with a null id are no
+    documents and get no row; rows that repeat an id are one document whose
+    text is the greatest of them; an empty table gives an empty result.
+    """
+    scratch, t = Scratch(docs.sparkSession, "ngram-join"), Fraction(str(threshold))
+    sizes, found, same, ordered, prefix = _prepared(docs, t, size, id_col, text_col, scratch)
+    copies = found.select("doc_id", "digest").join(same, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     edges = scratch.store(copies, "copies")
     labels = ordered.select("node", F.col("node").alias("label"))
     for step in range(LEADER_ROUNDS + 1):
@@ -289,6 +294,30 @@ def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int
     return scratch.result(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
+def links(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), the pairs of distinct sets at the threshold, a set
+    named by its least doc_id, and (doc_id, n_shingles, n_links), where n_links
+    is the number of other documents, copies included, that a document is
+    linked with.  Rows are documents as in ``near_duplicates``.
+
+    No pair is left out, so of a group of n edited copies up to n * (n - 1) / 2
+    are verified; copies are one set and add none.
+    """
+    scratch, t = Scratch(docs.sparkSession, "ngram-links"), Fraction(str(threshold))
+    sizes, found, same, ordered, prefix = _prepared(docs, t, size, id_col, text_col, scratch)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr("x.node < y.node") & F.expr(_passes(t)))
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = scratch.store(_verified(met, ordered, t), "links")
+    of = scratch.store(found.select("doc_id", "digest").join(same, "digest").select("doc_id", "node"), "of")
+    times = scratch.store(of.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "times")
+    both = pairs.union(pairs.select("b", "a")).join(times.withColumnRenamed("node", "b"), "b")
+    other = both.groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("others"))
+    n = times.join(other, "node", "left").select("node", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = sizes.join(of.join(n, "node"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return pairs, scratch.store(counted, "counted")
+
+
 def _leader_pairs(here: DataFrame, t: Fraction, step: int) -> DataFrame:
     """For each set, one of the leaders of its shingles that pass the filters.
     A shingle's leader is, in the first round, the set with the fewest shingles
@@ -334,3 +363,6 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> Dat
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "0.75", 5)
 
+
+def op1_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"), "0.75", 5)[1]

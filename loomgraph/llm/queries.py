@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_records": token_records.op9_token_records,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op1_ngram_jaccard_links": ngram_join.op1_ngram_jaccard_links,
     "op3_wrapped_license_scan": license_scan.op3_wrapped_license_scan,
 }
 

@@ -75,6 +75,19 @@ def test_join_against_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_links_against_brute_force(spark):
+    rows = near_rows(0)
+    base = [f"v{i}" for i in range(200)]  # a group of edited copies, all linked with each other
+    rows += [(1000 + i, " ".join([*base[:i], f"e{i % 20}", *base[i + 1 :]])) for i in range(20)] + [(1020 + i, " ".join(["e0", *base[1:]])) for i in range(5)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    linked = {i: {j for j in sets if j != i and alike(i, j)} for i in sets}
+    node = {i: min([i, *(j for j in linked[i] if sets[j] == sets[i])]) for i in sets}
+    pairs, counts = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, counts.collect())) == sorted((i, len(sets[i]), len(linked[i])) for i in sets)
+    assert sorted(map(tuple, pairs.collect())) == sorted({(node[i], node[j]) for i in sets for j in linked[i] if node[i] < node[j]})
+
+
 def test_join_on_the_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert {tuple(r) for r in ngram_join.op1_ngram_jaccard_join(spark, sf_dir).collect()} == brute_components(rows)
