@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, sized
-from .textops import Words, _BASE, _BASE_INVERSE, _BYTE_CODE, _powers, mix, pieces, shingles, words
+from .textops import Words, mix, pieces, shingles, span_hashes, words
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -58,8 +60,8 @@ def counts(column: pa.Array) -> np.ndarray:
     n_words = np.diff(found.first)
 
     inside = np.zeros(len(data) + 1, dtype=np.int8)
-    np.add.at(inside, found.starts, 1)
-    np.add.at(inside, found.ends, -1)
+    inside[found.starts] += 1  # no two words begin, or end, at one place
+    inside[found.ends] -= 1
     inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
     word_chars = _per_text(found, inside & ((data & 0xC0) != 0x80))
 
@@ -83,13 +85,7 @@ def counts(column: pa.Array) -> np.ndarray:
     ends = np.minimum(feeds[np.searchsorted(feeds, starts)], found.offsets[line_of + 1])
     worded = np.searchsorted(found.starts, ends) > np.searchsorted(found.starts, starts)
     starts, ends, line_of = starts[worded], ends[worded], line_of[worded]
-    if len(data):
-        size = 1 << max(12, (len(data) - 1).bit_length())
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[data] * _powers(size, _BASE)[: len(data)], out=total[1:])
-        lines = mix((total[ends] - total[starts]) * _powers(size, _BASE_INVERSE)[starts] + (ends - starts).astype(np.uint64))
-    else:
-        lines = np.zeros(0, dtype=np.uint64)
+    lines = span_hashes(data, starts, ends)
     _, later = _repeated(lines, line_of)
     n_dup = np.bincount(line_of[later], minlength=n_texts)
     return np.column_stack([n_words, word_chars, _per_text(found, _SYMBOL[data]), n_dup, n_repeat, np.bincount(line_of, minlength=n_texts), _per_text(found, _UPPER[data])]).astype(np.int64)
@@ -236,25 +232,34 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scratch.result(scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold)))
 
 
-def _filter_rows(forest, threshold: float, text: int):
+def _counted_rows(text: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, text):
-                c = counts(batch.column(text))
-                kept = ~base_failed(c)
-                kept[kept] = forest.value.score(features(c[kept])) <= threshold
-                yield batch.filter(pa.array(kept))
+                c = pa.StructArray.from_arrays([pa.array(x) for x in counts(batch.column(text)).T], names=COUNTS)
+                yield pa.record_batch([*batch.columns, c], names=names)
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; what
+    is defined there holds here.  Each text is counted once: the rows are
+    written with their counts, and what is kept is read from there."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality-rules")
-    stats = scratch.store(rule_counts(docs, id_col, text_col), "counts")
-    forest, threshold = fit(stats, labels)
-    return docs.mapInArrow(_filter_rows(spark.sparkContext.broadcast(forest), threshold, docs.columns.index(text_col)), docs.schema)
+    mark = "_rules" + "_" * max(len(c) for c in docs.columns)  # longer than any name there is
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    counted = scratch.store(docs.mapInArrow(_counted_rows(docs.columns.index(text_col), [*docs.columns, mark]), schema), "counted")
+    forest, threshold = fit(counted.select(F.col(id_col).cast("long").alias("doc_id"), f"{mark}.*"), labels)
+    shared = spark.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def anomaly(stats: pd.DataFrame) -> pd.Series:
+        return pd.Series(shared.value.score(features(stats.to_numpy(dtype=np.int64))))
+
+    passed = counted.where(F.expr(f"{mark}.n_words >= {MIN_WORDS} AND 100 * {mark}.n_repeat_words <= 50 * {mark}.n_words"))
+    return passed.where(anomaly(F.col(mark)) <= threshold).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one vectorised step works on; a longer text is one step.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one vectorised step works on; a longer text is one step,
+#: but its words are hashed in blocks of about as many bytes.
+STEP_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -39,13 +40,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int, base: int) -> np.ndarray:
+def _made_powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+_kept_powers = lru_cache(maxsize=2)(_made_powers)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """The powers 0 to n - 1; up to those of a step are kept, longer ones are
+    made anew."""
+    return (_kept_powers(STEP_BYTES, base) if n <= STEP_BYTES else _made_powers(n, base))[:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (A-Z as a-z if ``lower``).
+    Spans ascend and do not overlap; they are hashed in blocks of STEP_BYTES, or
+    of one longer span."""
+    code, out, i = _BYTE_CODE[_LOWER] if lower else _BYTE_CODE, np.zeros(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, side="right")))
+        at, n = starts[i], int(ends[j - 1] - starts[i])
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(code[data[at : at + n]] * _powers(n, _BASE), out=total[1:])
+        value = (total[ends[i:j] - at] - total[starts[i:j] - at]) * _powers(n + 1, _BASE_INVERSE)[starts[i:j] - at]
+        out[i:j] = mix(value + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     """Words of some texts: ``starts``/``ends`` are places in ``data``; the
@@ -59,15 +84,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
-        size = 1 << max(12, (n - 1).bit_length())
-        code = _BYTE_CODE[_LOWER] if lower else _BYTE_CODE
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(code[self.data] * _powers(size, _BASE)[:n], out=total[1:])
-        value = (total[self.ends] - total[self.starts]) * _powers(size, _BASE_INVERSE)[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends, lower)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
