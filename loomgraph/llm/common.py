@@ -9,16 +9,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column id table up to which it is broadcast (about 16 MB); a
+#: Bytes up to which a table is broadcast, as it is estimated by ``sized``; a
 #: longer one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
-    Where the cluster names none (local tests), a temporary one is set."""
+    In local mode a temporary one is set where there is none; a cluster has to
+    name one."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,11 +67,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def sized(ids: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``ids`` marked for a broadcast if it has at most ``limit`` rows; beyond
-    that, as it is, for a shuffled join."""
-    rows = ids.count() if rows is None else rows
-    return F.broadcast(ids) if rows <= limit else ids
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for a broadcast if its rows, counted in full at 16 bytes
+    a value and the bytes of strings, have at most ``limit``; beyond that, as it
+    is, for a shuffled join."""
+    text = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    size = table.agg(F.sum(sum(text, F.lit(16 * len(table.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
 
 
 def lower_ascii(column: Column) -> Column:

@@ -39,7 +39,8 @@ class Target:
 
 
 def token_count(text: Column) -> Column:
-    """Words and an end token."""
+    """Words and an end token: what shares and budgets count here, in place of
+    a tokenizer's ids."""
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
     return (F.when(plain == "", 0).otherwise(F.size(F.split(plain, " "))) + 1).cast("long")
 
@@ -85,7 +86,8 @@ def exponent(sources: DataFrame, target: Target) -> float:
 @dataclass
 class Mix:
     """What was decided: the exponent, the sources (key, tokens, weight,
-    budget, epochs) and the blocks (key, block, tokens, epochs, part, cut)."""
+    budget, epochs) and the blocks (key, block, tokens, epochs, part, cut, and
+    nths: the block's place in the order of each epoch)."""
 
     exponent: float
     sources: DataFrame
@@ -93,15 +95,17 @@ class Mix:
     seed: int
 
 
-def _keyed(docs: DataFrame, source_col: str, tokens: Column, seed: int, id_col: str) -> DataFrame:
-    """The columns that decide about a row.  A null source is one of its own."""
+def _keyed(docs: DataFrame, source_col: str, tokens: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns that decide about a row.  A null source is one of its own; in
+    place of a null id, the text's hash spreads and orders rows."""
+    given = F.col(id_col).cast("long")
     return docs.withColumns(
-        {"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")), "_tokens": tokens, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1))}
-    ).withColumns({"_spread": F.xxhash64("_id", F.lit(seed)), "_order": F.xxhash64(F.lit(seed), "_id")})
+        {"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")), "_tokens": tokens, "_id": F.coalesce(given, F.xxhash64(text_col)), "_none": given.isNull()}
+    ).withColumns({"_spread": F.xxhash64("_id", "_none", F.lit(seed)), "_order": F.xxhash64(F.lit(seed), "_none", "_id")})
 
 
 def decide(docs: DataFrame, scratch: Scratch, target: Target = Target(), source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> Mix:
-    rows = _keyed(docs, source_col, token_count(F.col(text_col)), seed, id_col).select("_key", "_tokens", "_id", "_spread", "_order")
+    rows = _keyed(docs, source_col, token_count(F.col(text_col)), seed, id_col, text_col).select("_key", "_tokens", "_id", "_spread", "_order")
     rows = scratch.store(rows, "tokens")
     sources = scratch.store(rows.groupBy("_key").agg(F.sum("_tokens").alias("tokens")).withColumnRenamed("_key", "key"), "sources")
     a = exponent(sources, target)
@@ -116,10 +120,14 @@ def decide(docs: DataFrame, scratch: Scratch, target: Target = Target(), source_
     placed = rows.join(small, F.col("_key") == F.col("key")).withColumn("block", F.pmod("_spread", "n_blocks"))
 
     blocks = placed.groupBy("key", "block").agg(F.sum("_tokens").alias("tokens"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "block"), "block")  # a row per block
-    blocks = blocks.join(sources.select("key", "epochs", "rest"), "key").withColumns(
-        {"nth": F.row_number().over(order), "ahead": F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
-    )
+    blocks = blocks.join(sources.select("key", "epochs", "rest"), "key")
+    # each epoch has a permutation of its own; the last one, of which the mix has a part, is number ``epochs``
+    each = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "epochs")))
+    order = Window.partitionBy("key", "epoch").orderBy(F.xxhash64(F.lit(seed), "key", "block", "epoch"), "block")  # a row per block
+    each = each.withColumns({"nth": F.row_number().over(order), "ahead": F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # an element per epoch
+    nths = F.transform(F.array_sort(F.collect_list(F.struct("epoch", "nth"))), lambda x: x.nth).alias("nths")
+    blocks = each.groupBy("key", "block", "tokens", "epochs", "rest").agg(nths, F.max(F.when(F.col("epoch") == F.col("epochs"), F.col("ahead"))).alias("ahead"))
     whole = F.col("ahead") + F.col("tokens") <= F.col("rest")
     blocks = blocks.withColumn("part", F.when(whole, "all").when(F.col("ahead") < F.col("rest"), "prefix").otherwise("none"))
     blocks = scratch.store(blocks.withColumn("room", F.col("rest") - F.col("ahead")), "blocks")
@@ -128,7 +136,7 @@ def decide(docs: DataFrame, scratch: Scratch, target: Target = Target(), source_
     within = Window.partitionBy("key", "block").orderBy("_order", "_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = placed.join(ends, ["key", "block"]).withColumn("upto", F.sum("_tokens").over(within)).where("upto <= room")
     cuts = fits.groupBy("key", "block").agg(F.max(F.struct("_order", "_id")).alias("cut"))
-    blocks = blocks.join(cuts, ["key", "block"], "left").select("key", "block", "tokens", "nth", "epochs", "part", "cut", F.col("cut").isNotNull().alias("has_cut"))
+    blocks = blocks.join(cuts, ["key", "block"], "left").select("key", "block", "tokens", "nths", "epochs", "part", "cut", F.col("cut").isNotNull().alias("has_cut"))
     return Mix(a, sources, scratch.store(blocks, "decided"), seed)
 
 
@@ -139,26 +147,27 @@ def realise(docs: DataFrame, mix: Mix, source_col: str = "source", text_col: str
     The decisions per block are joined to the rows where they are read, and
     texts are not shuffled, as long as the table of blocks is small.
     """
-    rows = _keyed(docs, source_col, token_count(F.col(text_col)), mix.seed, id_col)
+    rows = _keyed(docs, source_col, token_count(F.col(text_col)), mix.seed, id_col, text_col)
     sources = mix.sources.select(F.col("key").alias("_s_key"), F.col("n_blocks").alias("_s_blocks"))
     rows = rows.join(sized(sources), F.col("_key") == F.col("_s_key")).withColumn("_block", F.pmod("_spread", "_s_blocks"))
     blocks = mix.blocks.select(
-        F.col("key").alias("_b_key"), F.col("block").alias("_b_block"), F.col("nth").alias("_nth"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"),
+        F.col("key").alias("_b_key"), F.col("block").alias("_b_block"), F.col("nths").alias("_nths"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"),
         F.col("cut._order").alias("_c_order"), F.col("cut._id").alias("_c_id"), F.col("has_cut").alias("_has_cut"),
     )
     rows = rows.join(sized(blocks), (F.col("_key") == F.col("_b_key")) & (F.col("_block") == F.col("_b_block")))
     within = F.expr("_has_cut AND (_order < _c_order OR (_order = _c_order AND _id <= _c_id))")
     copies = F.col("_epochs") + F.when(F.col("_part") == "all", 1).when((F.col("_part") == "prefix") & within, 1).otherwise(0)
     rows = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return rows.select(*docs.columns, "_key", "_tokens", "_epoch", "_block", "_nth")
+    nth = F.get("_nths", F.col("_epoch").cast("int")).alias("_nth")
+    return rows.select(*docs.columns, "_key", "_tokens", "_epoch", "_block", nth)
 
 
 def temperature_mix(docs: DataFrame, target: Target = Target(), source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """Documents mixed to the target: the columns of ``docs``, a row per copy.
 
     Defined results: a null source is a source of its own; null and empty texts
-    have one token, the end token; rows that repeat an id stay or go together in
-    an epoch; a null id counts as -1; other columns, whatever their names (but
+    have one token, the end token; rows that repeat an id, or that have none and
+    the same text, stay or go together in an epoch; other columns, whatever their names (but
     for those that begin with an underscore and are used here), are carried
     along; an empty table gives an empty result.
     """

@@ -42,6 +42,8 @@ EXTENSION = Fraction(1, 8)
 SCREEN_BYTES = 8 << 20
 #: Classes of shingles (by hash) that the suffix filter counts.
 SUFFIX_CLASSES = 8
+#: In place of ``need``: the row of a shingle that several documents have.
+SEVERAL = -1
 #: Rounds in which each set meets its most promising leader before all pairs do.
 LEADER_ROUNDS = 2
 
@@ -91,9 +93,9 @@ def _screen_rows(size: int, threshold: Fraction):
                 yield pa.record_batch(
                     [
                         np.concatenate([gram[keep].view(np.int64), mix(ids[live].view(np.uint64)).view(np.int64)]),
-                        np.concatenate([np.where(here[keep], -1, ids[doc[keep]]), ids[live]]),
+                        np.concatenate([ids[doc[keep]], ids[live]]),
                         np.concatenate([np.zeros(keep.sum(), np.int32), shared[live]]),
-                        np.concatenate([np.zeros(keep.sum(), np.int32), need[live]]),
+                        np.concatenate([np.where(here[keep], SEVERAL, 0).astype(np.int32), need[live]]),
                     ],
                     schema=schema,
                 )
@@ -110,12 +112,12 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush(cols: list[np.ndarray], after: int | None) -> pa.RecordBatch:
         gram, doc, shared, need = cols
-        posting = need == 0
+        posting = need <= 0
         same = np.zeros(len(gram) + 1, dtype=bool)
         same[1:-1] = gram[1:] == gram[:-1]
         same[0] = before is not None and gram[0] == before
         same[-1] = after is not None and gram[-1] == after
-        hit = posting & (doc >= 0) & (same[:-1] | same[1:])
+        hit = (need == 0) & (same[:-1] | same[1:])
         ids, n = np.unique(doc[hit], return_counts=True)
         known = ~posting
         return pa.record_batch(
@@ -225,19 +227,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(q * both >= p * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def _prepared(docs: DataFrame, t: Fraction, size: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, ...]:
+def _keyed(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: the id, or,
+    where an id is null or repeats, a number that is written beside the rows."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    odd = ids.where("id IS NULL").limit(1).count() or ids.groupBy("id").count().where("count > 1").limit(1).count()
+    if not odd:
+        return docs, id_col
+    key = "_row" + "_" * max(len(c) for c in docs.columns)  # longer than any name there is
+    return scratch.store(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _prepared(docs: DataFrame, t: Fraction, size: int, key: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, ...]:
     """Sizes of all sets; the sets left by the screen, the node of each digest,
     the nodes' shingles rare first, and their prefixes."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes = scratch.store(docs.mapInArrow(_sizes(size), "doc_id long, n_shingles long"), "sizes")
-    repeated = sizes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    n_repeated = repeated.count()
-    if n_repeated:  # seldom: of a repeated id, the greatest text stands
-        again = sized(scratch.store(repeated, "repeated"), n_repeated)
-        one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        docs = scratch.store(docs.join(again, "doc_id", "left_anti").union(one), "docs")
-        sizes = scratch.store(docs.mapInArrow(_sizes(size), "doc_id long, n_shingles long"), "sizes")
 
     rows = docs.mapInArrow(_screen_rows(size, t), "gram long, doc_id long, shared int, need int")
     counted = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_count_shared, "doc_id long, shared long, need int")
@@ -263,48 +268,58 @@ def _prepared(docs: DataFrame, t: Fraction, size: int, id_col: str, text_col: st
     return sizes, found, same, ordered, prefix
 
 
-def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links documents by the Jaccard similarity of their word shingles.
-
-    Returns (doc_id, n_shingles, component_id): one row per distinct non-null
-    id.  Other columns of ``docs`` are not read.  Defined results: null, empty
-    and word-less texts have no shingles and are linked with nothing; a text
-    shorter than a shingle has one, all its words; rows with a null id are no
-    documents and get no row; rows that repeat an id are one document whose
-    text is the greatest of them; an empty table gives an empty result.
-    """
-    scratch, t = Scratch(docs.sparkSession, "ngram-join"), Fraction(str(threshold))
-    sizes, found, same, ordered, prefix = _prepared(docs, t, size, id_col, text_col, scratch)
-    copies = found.select("doc_id", "digest").join(same, "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    edges = scratch.store(copies, "copies")
+def _classes(docs: DataFrame, threshold: float | str, size: int, key: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component) of rows with a key of their own each."""
+    t = Fraction(str(threshold))
+    sizes, found, same, ordered, prefix = _prepared(docs, t, size, key, text_col, scratch)
     labels = ordered.select("node", F.col("node").alias("label"))
     for step in range(LEADER_ROUNDS + 1):
-        last = step == LEADER_ROUNDS
         here = prefix.join(labels, "node") if step else prefix.withColumn("label", F.col("node"))
-        pairs = _all_pairs(here, t) if last else _leader_pairs(here, t, step)
-        new = scratch.store(_verified(pairs, ordered, t), "links")
-        edges = edges.union(new)
-        if not last:
-            joined = components(edges, scratch)
-            labels = ordered.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-            labels = scratch.store(labels, "labels")
+        pairs = _leader_pairs(here, t, step) if step < LEADER_ROUNDS else _all_pairs(here, t)
+        new = _verified(pairs, ordered, t)
+        # what was joined before is one node of the graph that is left
+        a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+        edges = new.join(a, "a").join(b, "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        joined = components(edges, scratch).select(F.col("node").alias("label"), "component")
+        labels = scratch.store(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
+    of = found.select("doc_id", "digest").join(same, "digest").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component"))
+    return sizes.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links documents by the Jaccard similarity of their word shingles.
 
-    joined = components(edges, scratch)
-    out = sizes.select("doc_id", "n_shingles").join(joined, sizes.doc_id == joined.node, "left")
-    return scratch.result(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    Returns (doc_id, n_shingles, component_id): one row per row of ``docs``,
+    whose other columns are not read.  Defined results: null, empty and
+    word-less texts have no shingles and are linked with nothing; a text
+    shorter than a shingle has one, all its words; ids may be negative; rows
+    that repeat an id, or have none, are documents of their own each, and the
+    component is named by the smallest id in it (null if no row there has one);
+    an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    docs, key = _keyed(docs, id_col, scratch)
+    out = _classes(docs, threshold, size, key, text_col, scratch)
+    if key == id_col:
+        return scratch.result(out.withColumnRenamed("component", "component_id"))
+    out = scratch.store(out.join(docs.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("id")), "doc_id"), "rows")
+    named = out.groupBy("component").agg(F.min("id").alias("component_id"))
+    return scratch.result(out.join(named, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id"))
 
 
 def links(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links: (a, b), the pairs of distinct sets at the threshold, a set
     named by its least doc_id, and (doc_id, n_shingles, n_links), where n_links
     is the number of other documents, copies included, that a document is
-    linked with.  Rows are documents as in ``near_duplicates``.
+    linked with.  Defined results as in ``near_duplicates``; where an id is
+    null or repeats, the sets of ``a`` and ``b`` are numbered instead.
 
     No pair is left out, so of a group of n edited copies up to n * (n - 1) / 2
     are verified; copies are one set and add none.
     """
     scratch, t = Scratch(docs.sparkSession, "ngram-links"), Fraction(str(threshold))
-    sizes, found, same, ordered, prefix = _prepared(docs, t, size, id_col, text_col, scratch)
+    docs, key = _keyed(docs, id_col, scratch)
+    sizes, found, same, ordered, prefix = _prepared(docs, t, size, key, text_col, scratch)
     x, y = prefix.alias("x"), prefix.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr("x.node < y.node") & F.expr(_passes(t)))
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -315,6 +330,8 @@ def links(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_co
     other = both.groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("others"))
     n = times.join(other, "node", "left").select("node", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     counted = sizes.join(of.join(n, "node"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if key != id_col:
+        counted = counted.join(docs.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("id")), "doc_id").select(F.col("id").alias("doc_id"), "n_shingles", "n_links")
     return pairs, scratch.store(counted, "counted")
 
 
@@ -353,11 +370,20 @@ def _all_pairs(here: DataFrame, t: Fraction) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents without those that share a component with a smaller id.  Of
-    rows that repeat an id, all stay or all go; rows with a null id stay."""
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(sized(gone), id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, threshold: float | str = "0.75", size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of ``near_duplicates`` the row with the smallest id (of
+    equals any one, of nulls one if there is nothing else), with all columns."""
+    scratch = Scratch(docs.sparkSession, "ngram-keep")
+    keyed, key = _keyed(docs, id_col, scratch)
+    classes = scratch.store(_classes(keyed, threshold, size, key, text_col, scratch), "classes")
+    if key == id_col:
+        gone = classes.where("doc_id <> component").select(F.col("doc_id").alias(key))
+    else:
+        ids = keyed.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("id"))
+        rows = classes.join(ids, "doc_id")
+        first = rows.groupBy("component").agg(F.min_by("doc_id", F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
+        gone = scratch.store(rows.join(first, "component").where("doc_id <> first").select(F.col("doc_id").alias(key)), "gone")
+    return keyed.join(sized(gone), key, "left_anti").select(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from .common import Scratch
 from .textops import pieces
 from .tokens import encoder, tokenizer_file
 
-#: Pieces of one length that are ranked together at most, on average.
-RANKED_TOGETHER = 50_000
+#: Pieces of one length that are ranked together, on average.
+RANKED_TOGETHER = 4096
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -130,8 +130,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_
     cut = scratch.store(docs.mapInArrow(_piece_rows(tokenizer, end_id, capacity), PIECES), "pieces")
 
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    buckets = 1 + sum(histogram.values()) // RANKED_TOGETHER
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # at most capacity rows
+    buckets = spark.createDataFrame([(n, 1 + k // RANKED_TOGETHER) for n, k in histogram.items()], "length long, buckets long")
+    keyed = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     sizes = keyed.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))

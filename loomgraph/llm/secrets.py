@@ -120,9 +120,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     todo = F.lit((1 << len(rules)) - 1).bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0))))
     unseen = blobs.join(seen, "blob", "left").select("at.*", todo.alias("todo")).where("todo <> 0")
     unseen = scratch.store(unseen, "unseen")
-    n_unseen = unseen.count()
-    if n_unseen:
-        texts = rows.select(*at, "text").join(sized(unseen, n_unseen), ["at_id", "at_text"]).select("text", "todo")
+    if unseen.limit(1).count():
+        texts = rows.select(*at, "text").join(sized(unseen), ["at_id", "at_text"]).select("text", "todo")
         texts.mapInArrow(_scan_rows(rules), LEDGER).write.mode("append").parquet(ledger)
 
     order = [F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)]

@@ -3,25 +3,35 @@
 Arrivals are appended as runs of small immutable shards.  Shards of a tier,
 alike in size, are merged once there are ``fanout`` of them, into files of
 about the target size; a file of the target size is never merged again.  What a
-reader sees is the newest manifest: a version is committed by creating its
-file, which only one writer can, and shards that no manifest names do not
-exist for readers.  DataFrame functions only; merging moves no rows between
-tasks.
+reader sees is the newest manifest; shards that no manifest names do not exist
+for readers.  DataFrame functions only; merging moves no rows between tasks.
+
+A version is a file that holds the name of its manifest.  It is written whole
+under a name of its own and then given the version's name, which only one
+writer can do: by a hard link on a local file system, by a rename that does not
+overwrite elsewhere.  So the file system has to offer an atomic rename that
+fails if the target exists, as HDFS does (a plain object store does not).  A
+writer that dies before that leaves no version behind, and none after it is
+kept from committing.  A writer that is second reads the manifest again and
+commits what it has on top.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, delete, sized
 
-#: Shards up to which the table of their names is broadcast (about 20 MB).
-SHARDS_BROADCAST = 100_000
+#: Commits of other writers after which an append or a merge gives up.
+ATTEMPTS = 20
 
 MANIFEST = "file string, rows long, bytes long, arrival long"
 
@@ -50,14 +60,13 @@ class ShardStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def versions(self) -> list[tuple[int, str]]:
-        """Committed versions and the folders of their manifests.  A version
-        whose file is empty was given up while it was committed."""
+        """Committed versions and the folders of their manifests."""
         fs, out = self._fs(), []
         if not fs.exists(self._hadoop("_versions")):
             return out
         for s in fs.listStatus(self._hadoop("_versions")):
             name = s.getPath().getName()
-            if name.startswith("v") and s.getLen():
+            if name.startswith("v"):
                 content = fs.open(s.getPath())
                 out.append((int(name[1:]), self.spark._jvm.org.apache.commons.io.IOUtils.toString(content, "UTF-8")))
                 content.close()
@@ -73,22 +82,56 @@ class ShardStore:
             return 0, self.spark.createDataFrame([], MANIFEST)
         return found[-1][0], self.spark.read.schema(MANIFEST).parquet(f"{self.path}/_manifests/{found[-1][1]}")
 
+    def _named(self, content: str, name: str) -> bool:
+        """Writes a file whole and then names it; False if the name is taken."""
+        fs, draft, mark = self._fs(), self._hadoop(f"_versions/draft-{uuid.uuid4().hex}"), self._hadoop(name)
+        out = fs.create(draft, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        if fs.getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), mark.toUri().getPath())
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(draft, False)
+            return True
+        try:
+            none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = none
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(mark.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, mark, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            fs.delete(draft, False)
+            return False
+        return True
+
     def commit(self, after: int, files: DataFrame) -> int:
         """Makes ``files`` the next version after ``after``; raises Conflict if
         there is one already."""
         name = uuid.uuid4().hex
         files.select("file", "rows", "bytes", "arrival").coalesce(1).write.parquet(f"{self.path}/_manifests/{name}")
-        fs, mark = self._fs(), self._hadoop(f"_versions/v{after + 1:010d}")
-        if any(v > after for v, _ in self.versions()):
+        if any(v > after for v, _ in self.versions()) or not self._named(name, f"_versions/v{after + 1:010d}"):
             raise Conflict(f"version {after + 1} exists")
-        try:
-            out = fs.create(mark, False)  # fails if it exists
-        except Exception as e:
-            raise Conflict(f"version {after + 1} exists") from e
-        out.write(bytearray(name.encode()))
-        out.close()
         return after + 1
 
+    def _committed(self, change: Callable[[int, DataFrame], DataFrame | None]) -> int | None:
+        """Commits what ``change`` makes of the newest version's number and
+        files, again and again while other writers are first; None if it makes
+        nothing of them."""
+        for _ in range(ATTEMPTS):
+            version, files = self.manifest()
+            changed = change(version, files)
+            if changed is None:
+                return None
+            try:
+                return self.commit(version, changed)
+            except Conflict:
+                continue
+        raise Conflict(f"other writers were first {ATTEMPTS} times")
+
     def _written(self, run: str, arrival: int | None) -> DataFrame:
         """A run's shards, with the rows that can be read back from them."""
         rows = self.spark.read.parquet(run)
@@ -99,10 +142,9 @@ class ShardStore:
         """Adds rows as a run of new shards; returns the version.  Any columns
         are kept as they are; an empty arrival makes a version without files of
         its own."""
-        version, files = self.manifest()
         run = f"{self.path}/data/run-{uuid.uuid4().hex}"
         arrivals.write.parquet(run)
-        return self.commit(version, files.unionByName(self._written(run, version + 1)))
+        return self._committed(lambda version, files: files.unionByName(self._written(run, version + 1)))
 
     def tiers(self, files: DataFrame) -> DataFrame:
         """Files below the target with their tier: 0 up to ``smallest`` bytes,
@@ -111,9 +153,11 @@ class ShardStore:
         return files.where(F.col("bytes") < self.target * 3 // 4).withColumn("tier", F.greatest(F.ceil(over), F.lit(0)).cast("int"))
 
     def compact(self) -> int:
-        """Merges each tier that has ``fanout`` shards, until none has; returns
-        the version.  Superseded shards stay for readers of older versions until
-        ``vacuum``."""
+        """Merges each tier that has ``fanout`` shards, the lowest first, until
+        none has; returns the version.  Superseded shards stay for readers of
+        older versions until ``vacuum``.  If another writer has merged one of a
+        merge's shards meanwhile, the merge is given up and the tiers are looked
+        at anew."""
         while True:
             version, files = self.manifest()
             tiers = self.tiers(files)
@@ -124,9 +168,15 @@ class ShardStore:
             merged = [r.file for r in tiers.where(F.col("tier") == due.tier).select("file").orderBy("file").collect()]
             run, n = f"{self.path}/data/run-{uuid.uuid4().hex}", math.ceil(due.bytes / self.target)
             self.spark.read.parquet(*merged).coalesce(n).write.parquet(run)
-            gone = tiers.where(F.col("tier") == due.tier).select("file")
-            kept = files.join(gone, "file", "left_anti")
-            self.commit(version, kept.unionByName(self._written(run, None)))
+            gone = self.spark.createDataFrame([(f,) for f in merged], "file string")
+
+            def without(_: int, now: DataFrame) -> DataFrame | None:
+                if now.join(gone, "file", "left_semi").count() < len(merged):
+                    return None
+                return now.join(gone, "file", "left_anti").unionByName(self._written(run, None))
+
+            if self._committed(without) is None:
+                delete(self.spark, run)
 
     def vacuum(self) -> None:
         """Deletes shards that the newest version does not have, and the
@@ -140,7 +190,8 @@ class ShardStore:
                 fs.delete(at, False)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, whole and once each."""
+        """All rows of a version, whole and once each.  A store without shards
+        has no columns either: ValueError."""
         names = [r.file for r in self.manifest(version)[1].select("file").collect()]
         if not names:
             raise ValueError("the store has no rows yet")
@@ -154,7 +205,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4, target: in
     """Documents arrive in ``arrivals`` lots, each appended and compacted; the
     result is read back from the last version's shards: for every document its
     shard (numbered by name), the shard's rows and bytes, the version, and the
-    digest of the text found there."""
+    digest of the text found there.
+
+    Defined results: a null text stays null and has no digest; rows that repeat
+    an id, or a whole row, all stay; a null id stays null, and such rows arrive
+    in one lot; other columns, whatever their names, are kept in the shards; an
+    empty table gives versions without shards and an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, Scratch(spark, "sharding").path("store"), target)
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
@@ -164,7 +220,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4, target: in
         store.vacuum()
     version, files = store.manifest()
     names = {r.file: r.asDict() for r in files.collect()}
+    columns = "doc_id long, text_sha256 string, shard long, shard_rows long, shard_bytes long, version long"
+    if not names:
+        return spark.createDataFrame([], columns)
     numbered = spark.createDataFrame([(f, k, names[f]["rows"], names[f]["bytes"]) for k, f in enumerate(sorted(names))], "file string, shard long, shard_rows long, shard_bytes long")
     rows = store.read().select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("_metadata.file_path").alias("file"))
     # a row per shard: sent to the rows up to a bound, so that rows are not dealt by their shard
-    return rows.join(sized(numbered, len(names), SHARDS_BROADCAST), "file").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+    return rows.join(sized(numbered), "file").select("doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))

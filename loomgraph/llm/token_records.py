@@ -31,6 +31,10 @@ from .common import Scratch
 from .textops import pieces
 from .tokens import encoder, tokenizer_file
 
+#: Bytes of text that go into a file, on average over ranges of ids: a file is
+#: read back as one row.
+FILE_BYTES = 128 << 20
+
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<qBB")
@@ -51,7 +55,7 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return length + TAIL.pack(masked_crc(length)) + payload + TAIL.pack(masked_crc(payload))
 
 
-def frames(content: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
+def frames(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None, bytes]]:
     """(offset, length, doc_id, ids as u32) of each frame of a file; raises
     ValueError at a frame that is cut off or damaged."""
     at, view = 0, memoryview(content)
@@ -90,9 +94,14 @@ def _encode_rows(path: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all texts, in ascending order of the id, to ``folder``.
     A null text is empty; a null id comes first; rows that repeat an id all
-    stay, ordered by text."""
+    stay, ordered by a hash of the text, by which many of them are dealt out;
+    other columns are not read; an empty table gives
+    files without records."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
+    by = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by, "text")
     out = rows.mapInArrow(_encode_rows(tokenizer, end_id), "frame binary")
     out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
@@ -102,7 +111,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             rows, start = [], 0
-            for k, (offset, length, doc_id, ids) in enumerate(frames(content.as_py())):
+            for k, (offset, length, doc_id, ids) in enumerate(frames(memoryview(content.as_buffer()).cast("B"))):
                 rows.append((path.as_py(), k, offset, length, doc_id, start, len(ids) // 4, zlib.crc32(ids)))
                 start += len(ids) // 4
             if rows:
