@@ -22,12 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    return exact_dedup.keep_largest(docs, exact_dedup.exact_duplicates(docs))
+    return exact_dedup.keep_largest(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the least id stays."""
-    return ngram_join.keep_one(docs, ngram_join.near_duplicates(docs, "0.75", 5))
+    return ngram_join.keep_one(docs, "0.75", 5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
