@@ -39,7 +39,7 @@ from .textops import mix, pieces, shingles, words
 #: Share of a set by which the screen's prefix is longer than the plain one.
 EXTENSION = Fraction(1, 8)
 #: Bytes of text in which a map task joins equal shingles before the shuffle.
-SCREEN_BYTES = 8 << 20
+SCREEN_BYTES = 2 << 20
 #: Classes of shingles (by hash) that the suffix filter counts.
 SUFFIX_CLASSES = 8
 #: In place of ``need``: the row of a shingle that several documents have.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .textops import pieces
-from .tokens import encoder, tokenizer_file
+from .tokens import encoding, tokenizer_file
 
 #: Pieces of one length that are ranked together, on average.
 RANKED_TOGETHER = 4096
@@ -98,20 +98,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _piece_rows(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), array("I", [end_id]).tobytes()
-        for whole in batches:
-            for batch in pieces(whole, 1, 1 << 22):
-                rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    n, k, at = len(ids) // 4, 0, 0
-                    while at < n:
-                        length = (n - at) % capacity or capacity  # only the first can be shorter
-                        rows.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                        k, at = k + 1, at + length
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        end = array("I", [end_id]).tobytes()
+        with encoding(path) as enc:
+            for whole in batches:
+                for batch in pieces(whole, 1, 1 << 22):
+                    rows: list[tuple] = []
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
+                        ids += end
+                        n, k, at = len(ids) // 4, 0, 0
+                        while at < n:
+                            length = (n - at) % capacity or capacity  # only the first can be shorter
+                            rows.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
+                            k, at = k + 1, at + length
+                    cols = list(zip(*rows))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .textops import pieces
-from .tokens import encoder, tokenizer_file
+from .tokens import encoding, tokenizer_file
 
 #: Bytes of text that go into a file, on average over ranges of ids: a file is
 #: read back as one row.
@@ -81,12 +81,12 @@ def frames(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None,
 
 def _encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), array("I", [end_id]).tobytes()
-        width = 2 if max(enc.vocabulary, end_id + 1) <= 1 << 16 else 4
-        for whole in batches:
-            for batch in pieces(whole, 1, 1 << 22):
-                ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.record_batch([pa.array([frame(d, i + end, width) for d, i in zip(batch.column(0).to_pylist(), ids)], pa.binary())], names=["frame"])
+        with encoding(path) as enc:
+            end, width = array("I", [end_id]).tobytes(), 2 if max(enc.vocabulary, end_id + 1) <= 1 << 16 else 4
+            for whole in batches:
+                for batch in pieces(whole, 1, 1 << 22):
+                    ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+                    yield pa.record_batch([pa.array([frame(d, i + end, width) for d, i in zip(batch.column(0).to_pylist(), ids)], pa.binary())], names=["frame"])
 
     return run
 

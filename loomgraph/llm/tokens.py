@@ -20,9 +20,12 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-#: Pieces of a generation; a Python worker remembers two generations at most
-#: (about 80 MB): the older one goes when the newer one is full.
+#: Pieces of a generation; a task remembers two generations at most (about 80
+#: MB): the older one goes when the newer one is full, both at the task's end,
+#: as Spark's Python workers live on and do other work.
 GENERATION = 200_000
 
 #: Fixed value: the pattern of the tokenizer whose tokens hold no white space.
@@ -73,6 +76,10 @@ class _Known(dict):
         self.older = dict(self)
         self.clear()
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -132,6 +139,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The worker's encoder, for a task."""
+    enc = encoder(path)
+    try:
+        yield enc
+    finally:
+        enc.known.forget()
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
