@@ -6,11 +6,14 @@ of the prefixes ``fluid:``, ``essentia:``, ``ore:``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Prefixes of keys that are no items, the meta that stands for
+#: any, and the mod of an id without one.
 NON_ITEM = ("fluid", "essentia", "ore")
-#: The meta value that stands for any.
 WILDCARD_META = 32767
 DEFAULT_MOD = "minecraft"
 
@@ -34,11 +37,22 @@ def mod_of(key: Column | str) -> Column:
 
 def norm_key(item: Column | str, meta: Column | int | None = None, default_mod: str = DEFAULT_MOD) -> Column:
     """An id and a meta to a key: unqualified ids get a mod, meta 0 is left out,
-    the wildcard meta is ``*``."""
-    item = _col(item)
+    the wildcard meta is ``*``.  A null or blank id has no key."""
+    item = F.trim(_col(item))
     full = F.when(item.contains(":"), item).otherwise(F.concat(F.lit(f"{default_mod}:"), item))
-    meta = F.coalesce(F.lit(meta) if isinstance(meta, int) or meta is None else meta, F.lit(0)).cast("int")
-    return F.when(meta == 0, full).when(meta == WILDCARD_META, F.concat(full, F.lit(":*"))).otherwise(F.concat(full, F.lit(":"), meta.cast("string")))
+    meta = F.coalesce((F.lit(meta) if isinstance(meta, int) or meta is None else meta).try_cast("int"), F.lit(0))
+    key = F.when(meta == 0, full).when(meta == WILDCARD_META, F.concat(full, F.lit(":*"))).otherwise(F.concat(full, F.lit(":"), meta.cast("string")))
+    return F.when(item != "", key)
+
+
+def canonical_item_key(raw: Column | str) -> Column:
+    """A written id, with meta and digest or without, to a key; a meta may be
+    negative."""
+    raw = _col(raw)
+    stem, pattern = base_key(raw), r"^(.*:.*):(-*[0-9]+)$"
+    with_meta = stem.rlike(pattern)
+    key = F.when(with_meta, norm_key(F.regexp_extract(stem, pattern, 1), F.regexp_extract(stem, pattern, 2))).otherwise(norm_key(stem))
+    return F.when(digest_of(raw) != "", F.concat(key, F.lit("#"), digest_of(raw))).otherwise(key)
 
 
 def ore_key(name: Column | str) -> Column:
@@ -63,7 +77,7 @@ def digest_of(key: Column | str) -> Column:
     return F.when(key.contains("#"), F.substring_index(key, "#", -1))
 
 
-_META = r"^([^:]+:[^:]+):(\*|\d+)$"
+_META = r"^([^:]*:.*):(\*|[0-9]+)$"
 
 
 def split_base(key: Column | str) -> Column:
@@ -89,12 +103,127 @@ def item_stem(key: Column | str) -> Column:
 
 
 def path_of(key: Column | str) -> Column:
-    return F.substring_index(item_stem(key), ":", -1)
+    """What follows the mod, without digest and meta."""
+    stem = item_stem(key)
+    path = F.regexp_replace(stem, "^[^:]*:?", "")
+    return F.when(path == "", stem).otherwise(path)
 
 
 def prettify(name: Column | str) -> Column:
-    """``iron_ingot`` as ``Iron Ingot``."""
-    return F.initcap(F.regexp_replace(_col(name), "[_.]+", " "))
+    """``iron_ingot`` as ``Iron Ingot``; words with capitals stay as they are."""
+    words = F.filter(F.split(F.regexp_replace(_col(name), "_", " "), "\\s+"), lambda w: w != "")
+    shown = F.array_join(F.transform(words, lambda w: F.when(w.rlike("\\p{Lu}"), w).otherwise(F.initcap(w))), " ")
+    return F.when(shown == "", _col(name)).otherwise(shown)
+
+
+def is_unlocalized(label: Column | str) -> Column:
+    """A label that is a translation key, such as ``tile.some.name``."""
+    label = _col(label)
+    return F.coalesce(label.endswith(".name") & ~label.contains(" ") & (F.length(label) - F.length(F.replace(label, F.lit("."), F.lit(""))) >= 2), F.lit(False))
+
+
+def is_digest(suffix: Column | str) -> Column:
+    return _col(suffix).rlike("^[0-9a-f]{12}$")
+
+
+def variant_label(suffix: Column | str) -> Column:
+    suffix = _col(suffix)
+    return F.when(is_digest(suffix), F.concat(F.lit("variant "), F.substring(suffix, 1, 6))).otherwise(F.initcap(suffix))
+
+
+#: Prefixes of ore groups: forms a material comes in, what is
+#: found in the world, and what stores a material.
+FORMS = ("nugget", "dust", "plate", "gear", "rod", "stick", "gem", "ingot", "wire", "foil", "casing", "coil", "screw", "bolt", "ring", "chunk", "crushed", "purified", "clump", "shard")
+WORLD_PREFIX, STORAGE_PREFIX = "ore", "block"
+
+
+def group_form(group: Column | str) -> Column:
+    """The form an ore group (without ``ore:``) names, the longest prefix; null
+    if it names none or no material."""
+    longest = "|".join(sorted(FORMS, key=len, reverse=True))
+    return F.nullif(F.lower(F.regexp_extract(_col(group), f"(?i)^({longest})(?=.)", 1)), F.lit(""))
+
+
+def group_material(group: Column | str) -> Column:
+    group = _col(group)
+    return F.when(group_form(group).isNotNull(), F.substring(group, F.length(group_form(group)) + 1, F.length(group)))
+
+
+def stored_material(group: Column | str) -> Column:
+    """The material of a group of storage blocks."""
+    group, n = _col(group), len(STORAGE_PREFIX)
+    return F.when((F.lower(F.substring(group, 1, n)) == STORAGE_PREFIX) & (F.length(group) > n), F.substring(group, n + 1, F.length(group)))
+
+
+def is_world_group(group: Column | str) -> Column:
+    return _col(group).startswith(WORLD_PREFIX)
+
+
+#: What blocks are called while they run.
+RUNNING = ("idle", "active", "on", "off", "lit", "unlit", "powered", "unpowered", "running", "working")
+
+
+def normalise_block(block: Column | str) -> Column:
+    """In lower case and without any number of suffixes of a running state."""
+    return F.regexp_replace(F.lower(_col(block)), f"(_({'|'.join(RUNNING)}))+$", "")
+
+
+def match_forms(block: Column | str) -> Column:
+    """The forms a block is matched by: itself, and for ``minecraft:mod.name``
+    also ``mod:name``."""
+    norm = normalise_block(block)
+    path = F.when(norm.contains(":"), F.regexp_replace(norm, "^[^:]*:", "")).otherwise(norm)
+    vanilla = ~norm.contains(":") | (F.substring_index(norm, ":", 1) == DEFAULT_MOD)
+    pattern = r"^([^.]+)\.(.+)$"
+    other = F.concat(F.regexp_extract(path, pattern, 1), F.lit(":"), F.regexp_extract(path, pattern, 2))
+    return F.when(vanilla & path.rlike(pattern), F.array(norm, normalise_block(other))).otherwise(F.array(norm))
+
+
+def words_of(text: Column | str) -> Column:
+    """Runs of letters and digits, in lower case."""
+    return F.filter(F.split(F.lower(_col(text)), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def squashed(text: Column | str) -> Column:
+    return F.lower(F.regexp_replace(_col(text), "[^A-Za-z0-9]+", ""))
+
+
+def same_mod(category: Column | str, key: Column | str) -> Column:
+    mod = squashed(F.substring_index(_col(key), ":", 1))
+    return (mod != "") & squashed(category).contains(mod)
+
+
+def id_guesses(category: Column | str) -> Column:
+    """Ids of a machine that a category's name suggests: its mod, and the rest
+    in snake case and in one word."""
+    parts = F.filter(F.split(_col(category), "[^A-Za-z0-9]+"), lambda w: w != "")
+    rest = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "_")
+    snake = F.lower(F.regexp_replace(rest, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
+    mod = F.concat(F.lower(F.get(parts, F.lit(0))), F.lit(":"))
+    both = F.array_distinct(F.array(F.concat(mod, snake), F.concat(mod, F.replace(snake, F.lit("_"), F.lit("")))))
+    return F.when(F.size(parts) < 2, F.array().cast("array<string>")).otherwise(both)
+
+
+#: Categories that need no machine.
+HAND_PREFIXES = ("minecraft.crafting", "crafting_shaped", "crafting_shapeless")
+ALWAYS_AVAILABLE = (
+    "minecraft.crafting", "minecraft.crafting.shaped", "minecraft.crafting.shapeless", "minecraft.anvil", "minecraft.brewing",
+    "minecraft.fuel", "minecraft.smelting", "jei.information", "jei.description",
+)
+SPECIES_PATTERNS = ("jeibees.mutation", "jeibees.produce", "beetree", "chickens.laying", "chickens.henhousing", "chickens.breeding")
+SPECIES_SCHEMA = 3
+
+
+def is_hand_crafting(category: Column | str) -> Column:
+    return F.coalesce(_col(category).rlike("^(" + "|".join(re.escape(p) for p in HAND_PREFIXES) + ")"), F.lit(False))
+
+
+def needs_no_machine(category: Column | str, extra: tuple[str, ...] = (), schema: int = 0) -> Column:
+    """Species are bred or grown where the dump's schema tells them apart;
+    ``extra``: categories that the user has named."""
+    low = F.lower(F.coalesce(_col(category), F.lit("")))
+    named = low.isin(*[e.lower() for e in extra]) if extra else F.lit(False)
+    return named | low.rlike("|".join(re.escape(p) for p in SPECIES_PATTERNS)) if schema >= SPECIES_SCHEMA else named
 
 
 def clean_label(label: Column | str) -> Column:
@@ -137,6 +266,34 @@ def raw_floor(gated: Column, tolled: Column) -> Column:
     return F.lit(BASE_RAW_COST) + DIMENSION_PENALTY * gated.cast("double") + TOLL_PENALTY * tolled.cast("double")
 
 
+#: What the entry price of a machine nobody can price is.
+UNPRICED_MACHINE = BUILD_FLOOR + BUILD_SPREAD + 1.0
+
+
+def entry_region(price: Column | str) -> Column:
+    """Which band of entry prices a price is in."""
+    price, near = _col(price), 1e-9
+    inside = lambda low, high: price.between(low - near, high + near)
+    return (
+        F.when(inside(BUILD_FLOOR, BUILD_FLOOR + BUILD_SPREAD), "priced").when(inside(UNPRICED_MACHINE, UNPRICED_MACHINE), "unpriced item")
+        .when(inside(BLOCKED_FLOOR, BLOCKED_CEILING), "blocked structure").otherwise("outside")
+    )
+
+
+def damage_base(key: Column | str, max_damage: Column | str) -> Column:
+    """A worn item's key without its wear, by the stem's ``max_damage`` (null:
+    the item does not wear); the digest stays."""
+    key, meta = _col(key), split_meta(base_key(key))
+    plain = F.when(digest_of(key).isNull(), item_stem(key)).otherwise(F.concat(item_stem(key), F.lit("#"), digest_of(key)))
+    return F.when(_col(max_damage).isNotNull() & (meta > 0), plain).otherwise(key)
+
+
+def damage_of(key: Column | str, max_damage: Column | str) -> Column:
+    """A worn item's wear, or null."""
+    meta = split_meta(base_key(key))
+    return F.when(_col(max_damage).isNotNull() & (meta > 0), meta)
+
+
 def bucket(ts: Column | str, size: int) -> Column:
     ts = _col(ts)
     return ts - F.pmod(ts, F.lit(size))

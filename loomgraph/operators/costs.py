@@ -1,104 +1,304 @@
 """Prices by relaxation, hop distances, and plans: loops of joins.
 
-Each pass is one join and one grouped minimum over the whole graph; what it
-found is written to the shared folder, so that neither the plan nor the work
-after a lost executor grows with the number of passes.
+A pass prices the recipes that the keys whose price has changed go into: a join
+of slots with prices, a grouped sum by recipe, and a grouped minimum by key that
+merges what was found into the prices there are.  Slots with a choice (several
+alternatives, or an ore group) are nodes of their own, priced by a grouped
+minimum, so that every slot of a recipe is one row.  What a pass found is
+written to the shared folder, so that neither the plan nor the work after a
+lost executor grows with the number of passes.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import Graph
+from .graph import Graph, real_outputs
+from .store import settled
 
+#: Penalties and prices of machines by their state.
 TRANSFER_PENALTY, NON_PRODUCTION_PENALTY = 500.0, 50_000.0
 UNGATED_MACHINE = 20.0
+MACHINE_COST = {"have": 1.0, "buildable": 40.0, "unknown": 120.0, "unavailable": 5000.0}
+#: Prices that keys start from.
+SOURCE_COST, EMC_COST, CRAFTABLE_COST = 0.02, 0.5, 0.25
+UNSOURCED_COST, LOOT_COST, GATE_COST = 2000.0, 200.0, 1000.0
+PROVENANCE_COST = {"puzzle": GATE_COST, "quest": GATE_COST, "loot": LOOT_COST}
+TOKEN_COST = {"loot": LOOT_COST, "gate": GATE_COST, "hint": K.BASE_RAW_COST, "method": K.BASE_RAW_COST}
 #: An improvement below this is none.
 LEAST_GAIN = 1e-9
 #: Steps after which a loop that still finds something is an error.
 CEILING = 1000
+#: Rows of (key, cost) up to which prices are broadcast (about 30 MB).
+PRICES_BROADCAST = 500_000
 
 
-def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/loomgraph-core/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def category_entry(recipe: DataFrame, entry: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """(category, entry_cost) of every category: by the table ``entry``
+    (category, entry_cost), else by its machine's state (category, state), else
+    the flat price of a machine."""
+    out = recipe.select("category").distinct()
+    flat = F.lit(UNGATED_MACHINE)
+    if states is not None:
+        price = F.coalesce(*[F.when(F.col("state") == s, c) for s, c in MACHINE_COST.items()], F.when(F.col("state").isNotNull(), flat))
+        out = out.join(states.select("category", price.alias("by_state")), "category", "left")
+        flat = F.coalesce("by_state", flat)
+    if entry is not None:
+        out = out.join(entry.select("category", F.col("entry_cost").alias("given")), "category", "left")
+        flat = F.coalesce("given", flat)
+    return out.select("category", flat.alias("entry_cost"))
+
+
+@dataclass
+class Rules:
+    """What a pass needs, prepared once: outputs (rid, key, base, out); slots
+    (rid, slot, key, amount, kept), one row each; choices (node, key, amount,
+    rank), the alternatives of slots with a choice; ores (ore, key), members of
+    the groups in use."""
+
+    outputs: DataFrame
+    slots: DataFrame
+    choices: DataFrame
+    ores: DataFrame
+    n_more: int  # rows of choices and ores
 
 
-def priced_recipes(g: Graph, entry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """What a pass needs, prepared once: (rid, key, base, out) per output, and
-    (rid, slot, key, amount, kept) per alternative.
+def rules(g: Graph, entry: DataFrame | None = None, bare: DataFrame | None = None) -> Rules:
+    """``entry``: (category, entry_cost) of every category, else the flat price.
+    ``bare``: (variant, key), variants that stand for a key without digest: what
+    prices the one prices the other.
 
-    ``entry``: (category, entry_cost), else the flat price of a machine.  The
-    base is never divided by the batch; inputs that a run does not spend belong
-    to it.
+    The base of a recipe is never divided by the batch; inputs that a run does
+    not spend belong to it.  Emptying a container prices no fluid.
     """
-    r = g.recipe.select("rid", "category", "transfer", "not_production")
-    if entry is not None:
-        r = r.join(entry, "category", "left").withColumn("entry_cost", F.coalesce("entry_cost", F.lit(UNGATED_MACHINE)))
-    else:
-        r = r.withColumn("entry_cost", F.lit(UNGATED_MACHINE))
+    spark = g.recipe.sparkSession
+    r = g.recipe.join(entry if entry is not None else category_entry(g.recipe), "category")
     extra = F.when(F.col("transfer"), TRANSFER_PENALTY).otherwise(0.0) + F.when(F.col("not_production").isNotNull(), NON_PRODUCTION_PENALTY).otherwise(0.0)
-    out = g.output.groupBy("rid", "key").agg(F.sum(K.scaled_qty("qty", "q", "key")).alias("out"))
-    outputs = out.join(r.select("rid", (F.col("entry_cost") + extra).alias("base")), "rid")
+    out = g.output.select("rid", "key", K.scaled_qty("qty", "q", "key").alias("out"))
+    outputs = out.join(r.select("rid", "transfer", (F.col("entry_cost") + extra).alias("base")), "rid")
+    outputs = outputs.where(~(F.col("transfer") & (K.kind_of("key") == "fluid"))).drop("transfer")
+    if bare is not None:
+        also = outputs.withColumnRenamed("key", "variant").join(bare, "variant").select("rid", "key", "out", "base")
+        outputs = outputs.unionByName(also)
+    # of a recipe that makes a key twice, the slot with the most decides
+    outputs = outputs.groupBy("rid", "key").agg(F.max("out").alias("out"), F.first("base").alias("base"))
+
     kept = F.col("p") == 0
-    slots = g.slot.select("rid", "slot", "key", F.when(kept, K.scaled_qty("qty", 1.0, "key")).otherwise(K.scaled_qty("qty", "p", "key")).alias("amount"), kept.alias("kept"))
-    return outputs, slots
+    amount = F.when(kept, K.scaled_qty("qty", 1.0, "key")).otherwise(K.scaled_qty("qty", 1.0, "key") * F.col("p"))
+    alts = g.slot.select("rid", "slot", "key", amount.alias("amount"), kept.alias("kept"))
+    many = alts.groupBy("rid", "slot").count().where("count > 1").select("rid", "slot")
+    alts = alts.join(many.withColumn("many", F.lit(True)), ["rid", "slot"], "left").withColumn("node", F.when(F.col("many"), F.concat_ws("\x1f", "rid", "slot")).otherwise(F.col("key")))
+    choices = settled(spark, alts.where("many").select("node", "key", "amount"))
+    slots = alts.groupBy("rid", "slot", F.col("node").alias("key")).agg(F.max(F.when(F.col("many"), 1.0).otherwise(F.col("amount"))).alias("amount"), F.expr("bool_and(kept)").alias("kept"))
+    slots = settled(spark, slots)
+    used = slots.select("key").union(choices.select("key")).where(K.kind_of("key") == "ore").select(F.col("key").alias("ore")).distinct()
+    ores = settled(spark, g.ore_member.select("ore", "key").join(used, "ore", "left_semi"))
+    return Rules(settled(spark, outputs), slots, choices, ores, choices.count() + ores.count())
 
 
-def relax_pass(outputs: DataFrame, slots: DataFrame, cost: DataFrame) -> DataFrame:
-    """(key, cost): the cheapest recipe of each key at the given prices.  A slot
-    takes its cheapest priced alternative; a recipe with a slot that has none is
-    out."""
-    met = slots.join(cost, "key", "left").withColumn("price", F.col("cost") * F.col("amount"))
-    slot = met.groupBy("rid", "slot").agg(F.min("price").alias("price"), F.expr("bool_and(kept)").alias("kept"))
-    recipe = slot.groupBy("rid").agg(
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= PRICES_BROADCAST else table
+
+
+def node_prices(r: Rules, cost: DataFrame, n_cost: int) -> DataFrame:
+    """``cost`` with the prices of ore groups and choices.  A group costs what
+    its cheapest priced member does, else its own price, else a raw unit."""
+    known = _small(cost, n_cost)
+    member = r.ores.join(known, "key").groupBy(F.col("ore").alias("key")).agg(F.min("cost").alias("cost"))
+    raw = r.ores.select(F.col("ore").alias("key")).distinct().union(r.slots.where(K.kind_of("key") == "ore").select("key")).union(r.choices.where(K.kind_of("key") == "ore").select("key")).distinct()
+    ore = raw.join(member, "key", "left").join(known.withColumnRenamed("cost", "own"), "key", "left").select("key", F.coalesce("cost", "own", F.lit(K.BASE_RAW_COST)).alias("cost"))
+    plain = cost.where(K.kind_of("key") != "ore").unionByName(ore)
+    chosen = r.choices.join(plain, "key").groupBy(F.col("node").alias("key")).agg(F.min(F.col("cost") * F.col("amount")).alias("cost"))
+    return plain.unionByName(chosen)
+
+
+def recipe_prices(slots: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """(rid, retained, spent) of recipes all of whose slots have a price."""
+    met = slots.join(_small(nodes, n_nodes), "key", "left").withColumn("price", F.col("cost") * F.col("amount"))
+    recipe = met.groupBy("rid").agg(
         F.expr("bool_and(price IS NOT NULL)").alias("open"),
         F.sum(F.when(F.col("kept"), F.col("price")).otherwise(0.0)).alias("retained"),
         F.sum(F.when(F.col("kept"), 0.0).otherwise(F.col("price"))).alias("spent"),
     )
-    made = outputs.join(recipe.where("open"), "rid")
-    return made.groupBy("key").agg(F.min(F.col("base") + F.col("retained") + F.col("spent") / F.col("out")).alias("cost"))
+    return recipe.where("open").drop("open")
 
 
-def seed_costs(g: Graph, stock: bool = False) -> DataFrame:
+PER_UNIT = "base + retained + spent / out"
+
+
+def raw_seed(g: Graph) -> DataFrame:
     """Prices to start from: what nothing makes is raw."""
     made = g.output.select("key").distinct()
-    raw = g.slot.select("key").distinct().join(made, "key", "left_anti").select("key", F.lit(K.BASE_RAW_COST).alias("cost"))
+    return g.slot.select("key").distinct().join(made, "key", "left_anti").select("key", F.lit(K.BASE_RAW_COST).alias("cost"))
+
+
+def seed_costs(g: Graph, stock: bool = False) -> DataFrame:
+    """``raw_seed``, and what is in stock for nothing."""
+    raw = raw_seed(g)
     if not stock:
         return raw
     have = g.stock.where("qty > 0").select("key", F.lit(0.0).alias("cost"))
     return raw.unionByName(have).groupBy("key").agg(F.min("cost").alias("cost"))
 
 
-def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = None, passes: int | None = None) -> tuple[DataFrame, int]:
+@dataclass
+class Scenario:
+    """What a pack and a world say about keys; every table may be missing.
+    free(key), gated(key), tolled(key), mineable(key), emc(key), unsourced(key),
+    declared(key, kind), tokens(key, kind), raw(key), craftable(key)."""
+
+    free: DataFrame | None = None
+    gated: DataFrame | None = None
+    tolled: DataFrame | None = None
+    mineable: DataFrame | None = None
+    emc: DataFrame | None = None
+    unsourced: DataFrame | None = None
+    declared: DataFrame | None = None
+    tokens: DataFrame | None = None
+    raw: DataFrame | None = None
+    craftable: DataFrame | None = None
+
+
+def layered_seed(g: Graph, s: Scenario) -> DataFrame:
+    """(key, cost) to start from, in ten layers: free sources; used keys that
+    nothing really makes, at the floor of where they are found; what can be
+    mined, at most at that floor; worth in EMC; then, unless a key is already
+    cheaper than raw, each in place of what is before it: unsourced keys at no
+    less than their price, declared provenance, tokens, what the user calls raw,
+    and what is craftable.
+
+    One row per key is gathered by a grouped aggregate over tagged rows, and the
+    layers are folded in an expression.
+    """
+    tag = lambda df, name, value=F.lit(1.0): df.select("key", F.lit(name).alias("layer"), value.alias("value"))
+    rows = tag(g.slot.select("key").distinct().join(real_outputs(g), "key", "left_anti"), "used")
+    for name in ("free", "gated", "tolled", "mineable", "emc", "unsourced", "raw", "craftable"):
+        if getattr(s, name) is not None:
+            rows = rows.unionByName(tag(getattr(s, name), name))
+    for name, prices in (("declared", PROVENANCE_COST), ("tokens", TOKEN_COST)):
+        if getattr(s, name) is not None:
+            otherwise = UNSOURCED_COST if name == "declared" else K.BASE_RAW_COST
+            price = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in prices.items()], F.lit(otherwise))
+            rows = rows.unionByName(tag(getattr(s, name), name, price))
+    names = ("free", "used", "gated", "tolled", "mineable", "emc", "unsourced", "declared", "tokens", "raw", "craftable")
+    each = rows.groupBy("key").agg(*[F.min(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in names])
+    floor = K.raw_floor(F.col("gated").isNotNull(), F.col("tolled").isNotNull())
+    cost: Column = F.when(F.col("free").isNotNull(), SOURCE_COST)
+    cost = F.coalesce(cost, F.when(F.col("used").isNotNull(), floor))
+    cost = F.when(F.col("mineable").isNotNull(), F.least(cost, floor)).otherwise(cost)
+    cost = F.when(F.col("emc").isNotNull(), F.least(cost, F.lit(EMC_COST))).otherwise(cost)
+    each = each.withColumn("cost", cost)
+    held = lambda c: F.coalesce(c, F.lit(K.BASE_RAW_COST)) >= K.BASE_RAW_COST
+    for name, price in (
+        ("unsourced", F.greatest(F.coalesce("cost", F.lit(K.BASE_RAW_COST)), F.lit(UNSOURCED_COST))), ("declared", F.col("declared")), ("tokens", F.col("tokens")),
+        ("raw", F.lit(K.BASE_RAW_COST)), ("craftable", F.lit(CRAFTABLE_COST)),
+    ):
+        each = each.withColumn("cost", F.when(F.col(name).isNotNull() & held(F.col("cost")), price).otherwise(F.col("cost")))
+    return each.where("cost IS NOT NULL").select("key", "cost")
+
+
+def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = None, passes: int | None = None, bare: DataFrame | None = None, prepared: Rules | None = None) -> tuple[DataFrame, int]:
     """Prices at the fixpoint (or after ``passes``, if given), and the passes it
     took.  All outputs of a pass see the prices of the one before."""
     spark = g.recipe.sparkSession
-    outputs, slots = (settled(spark, t) for t in priced_recipes(g, entry))
-    cost = settled(spark, seed if seed is not None else seed_costs(g))
+    r = prepared or rules(g, entry, bare)
+    cost = settled(spark, (seed if seed is not None else raw_seed(g)).select("key", "cost", F.lit(True).alias("changed")))
     for done in range(1, (CEILING if passes is None else passes) + 1):
-        found = relax_pass(outputs, slots, cost).withColumnRenamed("cost", "new")
-        both = cost.join(found, "key", "full_outer")
-        better = F.col("cost").isNull() | (F.col("new") < F.col("cost") - LEAST_GAIN)
-        step = settled(spark, both.select("key", F.when(F.coalesce(better, F.lit(False)), F.col("new")).otherwise(F.col("cost")).alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")))
-        cost = step.select("key", "cost")
-        if not step.where("changed").limit(1).count():
+        n = cost.count()
+        nodes = node_prices(r, cost.select("key", "cost"), n)
+        slots = r.slots
+        if done > 1:  # recipes that no changed key goes into are as they were
+            new = cost.where("changed").select("key")
+            groups = r.ores.join(new, "key", "left_semi").select(F.col("ore").alias("key")).distinct()
+            new = new.union(groups)
+            new = settled(spark, new.union(r.choices.join(new, "key", "left_semi").select(F.col("node").alias("key"))).distinct())
+            slots = slots.join(slots.join(_small(new, new.count()), "key", "left_semi").select("rid").distinct(), "rid", "left_semi")
+        found = r.outputs.join(recipe_prices(slots, nodes, n + r.n_more), "rid").select("key", F.expr(PER_UNIT).alias("cost"))
+        both = cost.select("key", F.col("cost").alias("was"), F.lit(None).cast("double").alias("now")).unionByName(found.select("key", F.lit(None).cast("double").alias("was"), F.col("cost").alias("now")))
+        both = both.groupBy("key").agg(F.min("was").alias("was"), F.min("now").alias("now"))
+        better = F.col("now").isNotNull() & (F.col("was").isNull() | (F.col("now") < F.col("was") - LEAST_GAIN))
+        cost = settled(spark, both.select("key", F.when(better, F.col("now")).otherwise(F.col("was")).alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")))
+        if not cost.where("changed").limit(1).count():
             break
     else:
         if passes is None:
             raise RuntimeError("prices did not settle")
-    return cost, done
+    return cost.select("key", "cost"), done
+
+
+def reshaped_only(g: Graph) -> DataFrame:
+    """(key): keys that only conversions between forms make."""
+    made = g.output.join(g.recipe.select("rid", "variant"), "rid")
+    return made.groupBy("key").agg(F.expr("bool_and(variant)").alias("only")).where("only").select("key")
+
+
+def relax_settled(g: Graph, seed: DataFrame, entry: DataFrame | None = None, bare: DataFrame | None = None) -> DataFrame:
+    """Prices at the fixpoint, and then again with keys that only conversions
+    make, and that have no price, as raw."""
+    r = rules(g, entry, bare)
+    cost, _ = relax(g, seed, prepared=r)
+    stranded = settled(g.recipe.sparkSession, reshaped_only(g).join(cost, "key", "left_anti"))
+    if not stranded.limit(1).count():
+        return cost
+    return relax(g, cost.unionByName(stranded.select("key", F.lit(K.BASE_RAW_COST).alias("cost"))), prepared=r)[0]
+
+
+def machine_entries(machines: DataFrame, cost: DataFrame, structures: DataFrame | None = None) -> DataFrame:
+    """(category, entry_cost): of a category's machines (category, key) the
+    cheapest to come by: the curve of its price, with what its structure costs.
+    ``structures``: (key, priced, blocked), as ``reports.structure_cost`` has
+    them by controller: the sum of its blocks' prices and the share without one.
+    """
+    rows = machines.select("category", "key").join(cost, "key", "left")
+    if structures is not None:
+        rows = rows.join(structures.select("key", "priced", "blocked"), "key", "left")
+    else:
+        rows = rows.withColumns({"priced": F.lit(0.0), "blocked": F.lit(0.0)})
+    price = (
+        F.when(F.col("cost").isNull(), K.UNPRICED_MACHINE)
+        .when(F.coalesce("blocked", F.lit(0.0)) > 0, K.blocked_entry_cost("blocked"))
+        .otherwise(K.build_entry_cost(F.col("cost") + F.coalesce("priced", F.lit(0.0))))
+    )
+    return rows.groupBy("category").agg(F.min(price).alias("entry_cost"))
+
+
+def estimate(g: Graph, seed: DataFrame, machines: DataFrame | None = None, structures: DataFrame | None = None, states: DataFrame | None = None, stock: DataFrame | None = None, bare: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Prices in two phases, and the entry prices of categories: relaxed at flat
+    prices of machines; then, with what building each category's machine costs
+    at these prices, relaxed again from the seed.  What is in stock is free in
+    the end, and cheapens nothing else."""
+    spark = g.recipe.sparkSession
+    flat = category_entry(g.recipe, None, states)
+    cost = relax_settled(g, seed, flat, bare)
+    entry = flat
+    if machines is not None:
+        built = settled(spark, machine_entries(machines, cost, structures))
+        entry = settled(spark, category_entry(g.recipe, built, states))
+        cost = relax_settled(g, seed, entry, bare)
+    if stock is not None:
+        free = stock.where("qty > 0").select("key", F.lit(0.0).alias("cost"))
+        cost = cost.unionByName(free).groupBy("key").agg(F.min("cost").alias("cost"))
+    return cost, entry
+
+
+def sensitivity(g: Graph, seed: DataFrame, values: list[float]) -> DataFrame:
+    """(value, keys, moved): for each flat price of a machine in ``values``, how
+    many keys have a price, and how many of them another best recipe than at the
+    first of the values.  One relaxation per value."""
+    out, first = None, None
+    for value in values:
+        entry = g.recipe.select("category").distinct().withColumn("entry_cost", F.lit(float(value)))
+        cost, _ = relax(g, seed, entry)
+        best = settled(g.recipe.sparkSession, best_recipes(g, cost, entry).select("key", "rid"))
+        first = best if first is None else first
+        moved = best.join(first.withColumnRenamed("rid", "first"), "key", "left").agg(F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("rid").eqNullSafe(F.col("first"))).alias("moved"))
+        row = moved.select(F.lit(float(value)).alias("value"), "keys", "moved")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -119,37 +319,102 @@ def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
-def best_recipes(g: Graph, cost: DataFrame) -> DataFrame:
-    """(key, rid, per_run): of the real routes to a key, by the price of one,
-    then by the number of slots, then the first."""
-    outputs, slots = priced_recipes(g)
-    met = slots.join(cost, "key", "left").withColumn("price", F.col("cost") * F.col("amount"))
-    recipe = met.groupBy("rid").agg(F.sum("price").alias("spent"), F.expr("bool_and(price IS NOT NULL)").alias("open"), F.count(F.lit(1)).alias("slots"))
-    routes = outputs.join(recipe.where("open"), "rid").join(g.recipe.where("not_production IS NULL").select("rid"), "rid")
-    routes = routes.withColumn("price", F.col("base") + F.col("spent") / F.col("out"))
-    first = Window.partitionBy("key").orderBy(F.round("price", 9), "slots", "rid")
-    chosen = routes.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+def scores(g: Graph, cost: DataFrame, entry: DataFrame | None = None, states: DataFrame | None = None, mineable: DataFrame | None = None) -> DataFrame:
+    """(key, rid, and what ranks a route, best first where greater): production,
+    price (negated), satisfied (the share of its slots in stock), ore_backed (1
+    if it has raw slots and all can be mined), plain (minus its slots and
+    outputs), machine (2 have, 1 buildable or unknown, 0 unavailable)."""
+    spark = g.recipe.sparkSession
+    r = rules(g, entry)
+    n = cost.count()
+    priced = recipe_prices(r.slots, node_prices(r, cost, n), n + r.n_more)
+    rows = r.outputs.join(priced, "rid").select("key", "rid", F.expr(PER_UNIT).alias("price"))
+    have = g.stock.where("qty > 0").select("key", F.lit(1).alias("have")).distinct()
+    made = g.output.select("key", F.lit(1).alias("made")).distinct()
+    found = (mineable if mineable is not None else g.stock.limit(0)).select("key", F.lit(1).alias("found")).distinct()
+    alts = g.slot.select("rid", "slot", "key").join(have, "key", "left").join(made, "key", "left").join(found, "key", "left")
+    slots = alts.groupBy("rid", "slot").agg(F.max("have").alias("have"), F.max("made").alias("made"), F.max("found").alias("found"))
+    raw = F.col("made").isNull()
+    facts = slots.groupBy("rid").agg(
+        F.count("have").alias("n_have"), F.count(F.lit(1)).alias("n_slots"), F.count_if(raw).alias("n_raw"), F.count_if(raw & F.col("found").isNotNull()).alias("n_found")
+    )
+    outs = g.output.groupBy("rid").agg(F.count(F.lit(1)).alias("n_out"))
+    about = g.recipe.select("rid", "category", "not_production").join(facts, "rid").join(outs, "rid")
+    rank = F.lit(1)
+    if states is not None:
+        about = about.join(states.select("category", "state"), "category", "left")
+        rank = F.when(F.col("state") == "have", 2).when(F.col("state") == "unavailable", 0).otherwise(1)
+    about = about.select(
+        "rid", F.col("not_production").isNull().cast("int").alias("production"), (F.col("n_have") / F.col("n_slots")).alias("satisfied"),
+        ((F.col("n_raw") > 0) & (F.col("n_raw") == F.col("n_found"))).cast("int").alias("ore_backed"), (-(F.col("n_slots") + F.col("n_out"))).alias("plain"), rank.alias("machine"),
+    )
+    return rows.join(about, "rid").select("key", "rid", "production", F.round(-F.col("price"), 9).alias("cheap"), "satisfied", "ore_backed", "plain", "machine")
+
+
+#: The order of routes: what comes first decides first.
+RANKS = ("production", "cheap", "satisfied", "ore_backed", "plain", "machine")
+
+
+def choose(scored: DataFrame, top: int, pinned: DataFrame | None = None) -> DataFrame:
+    """The best ``top`` routes of each key, numbered, and those that are pinned
+    (key, rid) wherever they stand."""
+    order = Window.partitionBy("key").orderBy(*[F.desc(c) for c in RANKS], "rid")
+    rows = scored.withColumn("place", F.row_number().over(order))
+    if pinned is None:
+        return rows.where(F.col("place") <= top).withColumn("pinned", F.lit(False))
+    rows = rows.join(pinned.select("key", "rid", F.lit(True).alias("pinned")).distinct(), ["key", "rid"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    return rows.where((F.col("place") <= top) | F.col("pinned"))
+
+
+def interchangeable(scored: DataFrame, least: int = 3) -> DataFrame:
+    """(key, first, alike): keys whose best routes are ``least`` or more of
+    equal rank in everything."""
+    best = scored.groupBy("key").agg(F.max(F.struct(*RANKS)).alias("best"))
+    top = scored.join(best, "key").where(F.struct(*RANKS) == F.col("best"))
+    return top.groupBy("key").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("alike")).where(F.col("alike") >= least)
+
+
+def best_recipes(g: Graph, cost: DataFrame, entry: DataFrame | None = None) -> DataFrame:
+    """(key, rid, price, per_run): of the real routes to a key, by the price of
+    one, then by the number of slots, then the first."""
+    r = rules(g, entry)
+    n = cost.count()
+    recipe = recipe_prices(r.slots, node_prices(r, cost, n), n + r.n_more).join(r.slots.groupBy("rid").agg(F.count(F.lit(1)).alias("slots")), "rid")
+    routes = r.outputs.join(recipe, "rid").join(g.recipe.where("not_production IS NULL").select("rid"), "rid")
+    routes = routes.withColumn("price", F.expr(PER_UNIT))
+    first = routes.groupBy("key").agg(F.min(F.struct(F.round("price", 9).alias("rounded"), "slots", "rid", "price")).alias("b")).select("key", "b.rid", "b.price")
     made = g.output.groupBy("rid", "key").agg(F.sum("qty").alias("per_run"))
-    return chosen.select("key", "rid", "price").join(made, ["rid", "key"]).select("key", "rid", "price", "per_run")
+    return first.join(made, ["rid", "key"]).select("key", "rid", "price", "per_run")
 
 
 NODE = "request long, path string, key string, depth int, need long, taken long, made long, rid long, runs long, status string"
 
 
-def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24) -> DataFrame:
+def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24, scenario: Scenario = Scenario(), max_nodes: int | None = None) -> DataFrame:
     """Expands requests (request, key, need) to crafting trees, level by level.
 
     All nodes of a level are expanded by joins at once.  Nodes of a level that
     want the same key draw on the request's stock in the order of their paths;
-    stock is never given out twice.  What is left is made by the key's route, in
-    whole runs, or is raw if it has none, or is a cycle if the key is one of its
-    own ancestors.  Returns NODE rows, status have, partial, craft, raw, cycle or
-    depth (stock drawn before that counts as taken).
+    stock is never given out twice.  What is left ends, in this order, as source
+    (free), emc, raw or craftable (what the scenario calls so), cycle (the key is
+    one of its own ancestors), raw (it can be mined), token or raw (no route);
+    else it is made by the key's route, in whole runs.  An input that a run does
+    not spend is needed once, however many runs there are; its path ends in
+    ``~``.  Where the depth, or a request's nodes (``max_nodes``, counted before
+    a level), are exceeded, the status is depth; stock drawn before that counts
+    as taken.  Returns NODE rows; have and partial are covered by stock.
     """
     spark = g.recipe.sparkSession
     routes = settled(spark, routes.select("key", "rid", "per_run"))
-    slots = settled(spark, g.slot.where("p > 0").groupBy("rid", "key").agg(F.sum("qty").alias("qty")))
+    kept = F.col("p") == 0
+    slots = settled(spark, g.slot.groupBy("rid", "key", kept.alias("kept")).agg(F.sum("qty").alias("qty")))
     stock = settled(spark, g.stock.groupBy("key").agg(F.sum("qty").cast("long").alias("have")))
+    ends = None
+    for nth, (name, table) in enumerate((("source", scenario.free), ("emc", scenario.emc), ("raw", scenario.raw), ("craftable", scenario.craftable), ("mined", scenario.mineable), ("token", scenario.tokens))):
+        if table is not None:
+            part = table.select("key", F.struct(F.lit(nth).alias("nth"), F.lit(name).alias("name")).alias("end"))
+            ends = part if ends is None else ends.unionByName(part)
+    ends = settled(spark, ends.groupBy("key").agg(F.min("end.nth").alias("first"), F.collect_set("end.name").alias("ends"))) if ends is not None else None
     level = requests.select("request", F.col("key").alias("path"), "key", F.lit(0).alias("depth"), "need", F.array().cast("array<string>").alias("above"))
     nodes, drawn = None, None
     for depth in range(max_depth + 1):
@@ -162,10 +427,18 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24)
         left = F.greatest(F.coalesce("have", F.lit(0)) - F.coalesce("drawn", F.lit(0)) - F.coalesce(F.sum("need").over(order), F.lit(0)), F.lit(0))
         rows = rows.withColumn("taken", F.least("need", left)).withColumn("want", F.col("need") - F.col("taken"))
         rows = rows.join(routes, "key", "left")
+        rows = rows.join(ends, "key", "left") if ends is not None else rows.withColumns({"first": F.lit(None).cast("int"), "ends": F.lit(None).cast("array<string>")})
+        over = F.lit(depth == max_depth)
+        if max_nodes is not None and nodes is not None:
+            counted = nodes.groupBy("request").count()
+            rows = rows.join(counted.select("request", F.col("count").alias("n_nodes")), "request")
+            over |= F.col("n_nodes") >= max_nodes
+        ends_as = lambda name: F.coalesce(F.array_contains("ends", name), F.lit(False))
         cycle = F.array_contains("above", F.col("key"))
         status = (
-            F.when(F.col("want") == 0, "have").when(cycle, "cycle").when(F.col("rid").isNull(), "raw")
-            .when(F.lit(depth == max_depth), "depth").when(F.col("taken") > 0, "partial").otherwise("craft")
+            F.when(F.col("want") == 0, "have").when(ends_as("source"), "source").when(ends_as("emc"), "emc").when(ends_as("raw"), "raw").when(ends_as("craftable"), "craftable")
+            .when(cycle, "cycle").when(ends_as("mined"), "raw").when(F.col("rid").isNull() & ends_as("token"), "token").when(F.col("rid").isNull(), "raw")
+            .when(over, "depth").when(F.col("taken") > 0, "partial").otherwise("craft")
         )
         rows = rows.withColumn("status", status)
         crafted = F.col("status").isin("craft", "partial")
@@ -177,15 +450,66 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24)
         drawn = took if drawn is None else settled(spark, drawn.unionByName(took).groupBy("request", "key").agg(F.sum("drawn").alias("drawn")))
         level = rows.where("rid IS NOT NULL").join(slots.withColumnRenamed("key", "part"), "rid")
         level = level.select(
-            "request", F.concat_ws(">", "path", "part").alias("path"), F.col("part").alias("key"), (F.col("depth") + 1).alias("depth"),
-            (F.col("runs") * F.col("qty")).alias("need"), F.array_append("above", F.col("key")).alias("above"),
+            "request", F.concat(F.concat_ws(">", "path", "part"), F.when(F.col("kept"), "~").otherwise("")).alias("path"), F.col("part").alias("key"), (F.col("depth") + 1).alias("depth"),
+            F.when(F.col("kept"), F.col("qty")).otherwise(F.col("runs") * F.col("qty")).alias("need"), F.array_append("above", F.col("key")).alias("above"),
         )
         if not rows.where("rid IS NOT NULL").limit(1).count():
             break
     return nodes
 
 
-def ledger(nodes: DataFrame) -> DataFrame:
-    """What a plan takes from stock and has to get: sums over its tree."""
-    lists = F.explode(F.array(F.struct(F.lit("from_stock").alias("list"), F.col("taken").alias("qty")), F.struct(F.when(F.col("status").isin("raw", "cycle", "depth"), F.lit("shopping")).alias("list"), F.col("want").alias("qty"))))
-    return nodes.select("request", "key", lists.alias("l")).where("l.list IS NOT NULL AND l.qty > 0").groupBy("request", "l.list", "key").agg(F.sum("l.qty").alias("qty"))
+#: The list that what is wanted of a node of a status goes on.
+LISTS = {"raw": "shopping", "cycle": "shopping", "depth": "shopping", "source": "sources", "emc": "emc", "token": "tokens", "craftable": "craftable"}
+
+
+def ledger(nodes: DataFrame, g: Graph | None = None, states: DataFrame | None = None) -> DataFrame:
+    """(request, list, key, qty): what a plan takes from stock and has to get,
+    as sums over its tree.  With the graph and the machines' states (category,
+    state), the machines that the tree's recipes need and that are only
+    buildable are a list too: a category's recipes in its place of a key."""
+    status = F.coalesce(*[F.when(F.col("status") == s, F.lit(to)) for s, to in LISTS.items()])
+    lists = F.explode(F.array(F.struct(F.lit("from_stock").alias("list"), F.col("taken").alias("qty")), F.struct(status.alias("list"), F.col("want").alias("qty"))))
+    out = nodes.select("request", "key", lists.alias("l")).where("l.list IS NOT NULL AND l.qty > 0").groupBy("request", "l.list", "key").agg(F.sum("l.qty").alias("qty"))
+    if g is None or states is None:
+        return out
+    used = nodes.where("rid IS NOT NULL").select("request", "rid").join(g.recipe.select("rid", "category"), "rid").join(states.where("state = 'buildable'").select("category"), "category")
+    return out.unionByName(used.groupBy("request", "category").agg(F.count_distinct("rid").alias("qty")).select("request", F.lit("machines").alias("list"), F.col("category").alias("key"), "qty"))
+
+
+def tree_summary(nodes: DataFrame) -> DataFrame:
+    """One row per request: its nodes, depth, cycles and cut-off nodes, and
+    whether something has to be got (needs) or cannot be (roadblock)."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return nodes.groupBy("request").agg(
+        F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), n("cycle").alias("cycles"), n("depth").alias("cut"),
+        (n("raw", "token") > 0).alias("needs"), (n("cycle", "depth") > 0).alias("roadblock"),
+    )
+
+
+def subtree_needs(nodes: DataFrame) -> DataFrame:
+    """(request, path, below, raw_below): for every node how many nodes are
+    below it and how much of them is raw; each node is sent to its ancestors'
+    paths, of which there are as many as it is deep."""
+    steps = F.split("path", ">")
+    up = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))
+    rows = nodes.select("request", "path", "status", "want", F.explode(up).alias("over"))
+    return rows.groupBy("request", F.col("over").alias("path")).agg((F.count(F.lit(1)) - 1).alias("below"), F.coalesce(F.sum(F.when(F.col("status") == "raw", F.col("want"))), F.lit(0)).alias("raw_below"))
+
+
+def pick_alternatives(g: Graph, cost: DataFrame, free: DataFrame | None = None, craftable: DataFrame | None = None) -> DataFrame:
+    """(rid, slot, key): the alternative of each slot to plan with: the one with
+    the best of stock (a millionth per item), a free source (1), craftable (a
+    half) and made at all (a quarter); of equals the cheapest, then the first.
+    An ore group stands for its best member."""
+    members = g.slot.join(g.ore_member.select(F.col("ore").alias("key"), F.col("key").alias("member"), F.col("ord").alias("nth")), "key", "left")
+    rows = members.select("rid", "slot", "alt", F.coalesce("nth", F.lit(0)).alias("nth"), F.coalesce("member", "key").alias("key"))
+    have = g.stock.groupBy("key").agg(F.sum("qty").alias("have"))
+    made = g.output.select("key", F.lit(0.25).alias("made")).distinct()
+    rows = rows.join(have, "key", "left").join(made, "key", "left").join(cost, "key", "left")
+    rank = F.least(F.coalesce("have", F.lit(0)), F.lit(1_000_000)) / 1e6 + F.coalesce("made", F.lit(0.0))
+    for name, table, worth in (("free", free, 1.0), ("craftable", craftable, 0.5)):
+        if table is not None:
+            rows = rows.join(table.select("key", F.lit(worth).alias(name)).distinct(), "key", "left")
+            rank = rank + F.coalesce(name, F.lit(0.0))
+    best = F.max_by("key", F.struct(rank, -F.coalesce("cost", F.lit(float("inf"))), -F.col("alt"), -F.col("nth")))
+    return rows.groupBy("rid", "slot").agg(best.alias("key"))

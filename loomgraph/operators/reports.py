@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import Graph, consumers, real_producers
+from .graph import Graph, consumers, places, real_producers
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -72,8 +72,7 @@ def rank_matches(names: DataFrame, terms: list[str]) -> DataFrame:
         hit &= label.contains(t.lower()) | F.lower("key").contains(t.lower())
     rank = F.when(label == query, 0).when(label.startswith(query), 1).when(label.contains(" " + query), 2).when(label.contains(query), 3).otherwise(4)
     found = names.where(hit).select("key", "label", rank.alias("rank"))
-    order = Window.orderBy("rank", F.length("label"), "label", "key")
-    return found.withColumn("position", F.row_number().over(order))
+    return places(found, [F.col("rank"), F.length("label"), F.col("label"), F.col("key")], "position")
 
 
 def name_ties(g: Graph, well_stocked: int = 64) -> DataFrame:
@@ -109,6 +108,54 @@ def cost_diff(before: DataFrame, after: DataFrame, least: float = 1e-9) -> DataF
     return both.groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("keys"))
 
 
+def gap_report(categories: DataFrame, k: int = 10) -> DataFrame:
+    """(category, mod, state, lost, place): of categories (category, mod, dumped,
+    threw, empty) those that lost something: blind, if nothing was dumped, worst
+    first by how much, and partial, by the share."""
+    gone = F.col("threw") + F.col("empty")
+    rows = categories.where(gone > 0).withColumn("state", F.when(F.col("dumped") == 0, "blind").otherwise("partial"))
+    lost = F.when(F.col("state") == "blind", gone.cast("double")).otherwise(gone / (F.col("dumped") + gone))
+    return top_k(rows.select("category", "mod", "state", lost.alias("lost")), ["state"], [F.desc("lost"), F.col("category")], k, "place")
+
+
+def skip_report(skips: DataFrame, k: int = 10) -> DataFrame:
+    """(what, value, n, place): the commonest reasons, errors and wrappers of a
+    log of what was skipped (reason, error, wrapper)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("value")) for c in ("reason", "error", "wrapper")])).alias("e")
+    n = skips.select(each).where("e.value IS NOT NULL AND e.value <> ''").groupBy("e.what", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(n, ["what"], [F.desc("n"), F.col("value")], k, "place")
+
+
+def stock_causes(g: Graph, reader: int = 1, digest_reader: int = 2, opaque: str = " (+nbt)") -> DataFrame:
+    """(cause, keys, qty): stock by why its key has no label, if it has none: an
+    opaque tag (stale if the reader is older than digests), an unknown variant
+    (stale if its suffix is no digest), or unknown."""
+    rows = g.stock.join(g.names.select("key", F.lit(True).alias("named")).distinct(), "key", "left")
+    suffix = K.digest_of("key")
+    cause = (
+        F.when(F.col("named"), "matched").when(F.col("key").endswith(opaque), "opaque" if reader >= digest_reader else "stale")
+        .when(suffix.isNull(), "unknown").when(K.is_digest(suffix), "unknown variant").otherwise("stale")
+    )
+    return rows.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("keys"), F.sum("qty").alias("qty"))
+
+
+def structure_blocks(parts: DataFrame, cost: DataFrame) -> DataFrame:
+    """(key, priced, blocked) of structures' controllers: the sum of the blocks'
+    prices, and the share of blocks without one; from (key, position, count,
+    part), a position by its cheapest alternative."""
+    best = parts.join(cost.select(F.col("key").alias("part"), "cost"), "part", "left").groupBy("key", "position", "count").agg(F.min("cost").alias("cost"))
+    missing = F.sum(F.when(F.col("cost").isNull(), F.col("count")).otherwise(0))
+    return best.groupBy("key").agg(F.sum(F.col("count") * F.coalesce("cost", F.lit(0.0))).alias("priced"), (missing / F.sum("count")).alias("blocked"))
+
+
+def blocking_keys(parts: DataFrame, cost: DataFrame) -> DataFrame:
+    """(part, structures, blocks): what the positions without any priced
+    alternative would take, by how many structures they hold up."""
+    rows = parts.join(cost.select(F.col("key").alias("part"), "cost"), "part", "left")
+    stuck = rows.groupBy("key", "position").agg(F.max("cost").alias("any")).where("any IS NULL").select("key", "position")
+    return rows.join(stuck, ["key", "position"], "left_semi").groupBy("part").agg(F.count_distinct("key").alias("structures"), F.sum("count").alias("blocks"))
+
+
 def structure_cost(parts: DataFrame, cost: DataFrame) -> DataFrame:
     """What a structure's positions cost, from (structure, position, count, key):
     each position by its cheapest alternative; the share of blocks without a

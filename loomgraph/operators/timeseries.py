@@ -64,3 +64,57 @@ def movers(levels: DataFrame, since: int, until: int) -> DataFrame:
 def pick_tier(window: int, tiers: dict[int, int] = TIERS) -> int:
     """The finest tier that keeps the whole window, or the last."""
     return next((size for size, kept in sorted(tiers.items()) if kept >= window), max(tiers))
+
+
+def stats(snapshots: DataFrame) -> DataFrame:
+    """Each key's last value, rows, and first and last time."""
+    return snapshots.groupBy("key").agg(F.max_by("qty", "seq").alias("latest"), F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+def tier_stats(levels: DataFrame) -> DataFrame:
+    """(tier, rows, keys, first_ts, last_ts) of a store of levels."""
+    return levels.groupBy("tier").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("keys"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def power(rows: DataFrame, since: int, until: int) -> DataFrame:
+    """Dense rows (ts, ...) of a network's power in [since, until], in order."""
+    return rows.where(F.col("ts").between(since, until)).orderBy("ts")
+
+
+def labelled(levels: DataFrame, names: DataFrame) -> DataFrame:
+    """With the label of each key, or the key itself."""
+    return levels.join(names.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def chart(levels: DataFrame, since: int, until: int, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What a chart shows: one row with how many keys gain and drain, and the
+    series of the ``k`` keys that move most."""
+    moved = movers(levels, since, until)
+    counts = moved.agg(F.count_if(F.col("delta") > 0).alias("gaining"), F.count_if(F.col("delta") < 0).alias("draining"))
+    top = moved.orderBy(F.desc(F.abs("delta")), "key").limit(k).select("key")
+    return counts, series(levels.join(F.broadcast(top), "key", "left_semi"), since, until)
+
+
+def store_levels(levels: DataFrame, folder: str) -> None:
+    """Adds rows (tier, key, ts, qty) to a store: rows of the same tier, key and
+    time replace those before; only the tiers at hand are written anew, each by
+    a version of its own that ``stored_levels`` reads until the next one."""
+    spark = levels.sparkSession
+    before = stored_levels(spark, folder)
+    now, version = levels.select("tier", "key", "ts", "qty", F.lit(1).alias("new")), 0
+    if before is not None:
+        same = before.join(levels.select("tier").distinct(), "tier", "left_semi")
+        now = now.unionByName(same.select("tier", "key", "ts", "qty", F.lit(0).alias("new")))
+        version = before.agg(F.max("version")).first()[0] + 1
+    one = now.groupBy("tier", "key", "ts").agg(F.max_by("qty", "new").alias("qty"))
+    one.write.mode("append").partitionBy("tier").parquet(f"{folder}/version={version}")
+
+
+def stored_levels(spark, folder: str) -> DataFrame | None:
+    """The newest version of each tier, None if nothing is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.parquet(folder)
+    newest = rows.groupBy("tier").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["tier", "version"]).select("tier", "key", "ts", "qty", "version")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..operators.store import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,23 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    lp = order_parts(spark, sf_dir)
+    """The graph, written to the shared folder once per application and path (as
+    a graph is loaded once by those who query it)."""
+    g = None
+
+    def part(name: str) -> DataFrame:
+        def make() -> DataFrame:
+            nonlocal g
+            g = g or made(spark, sf_dir)
+            return getattr(g, name)
+
+        return kept(spark, f"graph {sf_dir} {name}", make)
+
+    return Graph(*(part(name) for name in ("recipe", "output", "slot", "names", "ore_member", "stock")))
+
+
+def made(spark: SparkSession, sf_dir: str) -> Graph:
+    lp = kept(spark, f"order parts {sf_dir}", lambda: order_parts(spark, sf_dir))
     orders = table(spark, sf_dir, "orders")
     rids = lp.select("rid").distinct()
     recipe = rids.join(orders, F.col("rid") == F.col("o_orderkey")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..functions import keys as K
-from ..operators import costs, reports, rewrite, timeseries
+from ..operators import costs, reports, rewrite, search, timeseries
 from ..operators import graph as G
 from .adapter import CTE, graph, order_parts, part_key, snapshots, table
 
@@ -49,16 +49,18 @@ def sweep_text_funcs(spark, d):
 
 @query("SELECT key, coalesce(qty, -1) AS stock, row_number() OVER (ORDER BY qty DESC NULLS LAST, ord, key) AS place FROM uni LEFT JOIN stock USING (key)")
 def sweep_order_desc_nulls_last(spark, d):
+    """The order of ``scan``, with a column that not every key has."""
     g = graph(spark, d)
-    from pyspark.sql import Window
-
     rows = G.universe(g).join(g.stock.select("key", F.col("qty").alias("stock")), "key", "left")
-    return rows.select("key", F.coalesce("stock", F.lit(-1)).alias("stock"), F.row_number().over(Window.orderBy(F.col("stock").desc_nulls_last(), "ord", "key")).cast("long").alias("place"))
+    placed = G.places(rows, [F.col("stock").desc_nulls_last(), F.col("ord").asc(), F.col("key").asc()])
+    return placed.select("key", F.coalesce("stock", F.lit(-1)).alias("stock"), F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT key, label, mod FROM names WHERE contains(lower(label), 'ring') AND mod = 'brand12'")
 def keys_match(spark, d):
-    return graph(spark, d).names.where(F.lower("label").contains("ring") & (F.col("mod") == "brand12")).select("key", "label", "mod")
+    g = graph(spark, d)
+    found = search.find_keys(g, "ring", select=("key", "label"))
+    return found.join(g.names.where("mod = 'brand12'").select("key", "mod"), "key").select("key", "label", "mod")
 
 
 @query("SELECT key, CAST(ord AS INTEGER) AS ord FROM uni")
@@ -93,7 +95,7 @@ def live_keys(spark, d):
 
 @query("SELECT ore, count(*) AS members, arg_min(key, ord) AS first FROM ore GROUP BY ore")
 def ore_members(spark, d):
-    return graph(spark, d).ore_member.groupBy("ore").agg(F.count(F.lit(1)).alias("members"), F.min_by("key", "ord").alias("first"))
+    return G.ore_summary(graph(spark, d))
 
 
 @query(", s AS (SELECT 'm:b' || (l_partkey % 20) AS base, l_partkey % 7 AS meta, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1, 2) SELECT base || ':*' AS key, sum(qty)::BIGINT AS have FROM s GROUP BY base")
@@ -272,7 +274,7 @@ def machine_verdicts(spark, d):
 
 @query("SELECT DISTINCT key, 1.0::DOUBLE AS cost FROM slot WHERE key NOT IN (SELECT key FROM outp)")
 def seed_costs(spark, d):
-    return costs.seed_costs(graph(spark, d))
+    return costs.raw_seed(graph(spark, d))
 
 
 _RELAX = """, pen AS (SELECT rid, 20.0 + CASE WHEN transfer THEN 500.0 ELSE 0 END + CASE WHEN not_production IS NOT NULL THEN 50000.0 ELSE 0 END AS base FROM recipe),
@@ -338,8 +340,8 @@ def hop_all(spark, d):
     return costs.hops(edges, g.names.where("part % 100 = 99").select("key"))
 
 
-@query(f"""{_RELAX}{_passes(12)}, p AS (SELECT rid, sum(cost * amount) AS spent, count(*) AS slots FROM sl LEFT JOIN c12 USING (key) GROUP BY rid HAVING count(*) = count(cost))
-SELECT key, rid, round(base + spent / out, 4) AS price FROM op JOIN p USING (rid) JOIN recipe USING (rid) WHERE not_production IS NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(base + spent / out, 9), slots, rid) = 1""")
+@query(f"""{_RELAX}{_passes(12)}, p AS (SELECT rid, sum(CASE WHEN kept THEN cost * amount ELSE 0 END) AS retained, sum(CASE WHEN kept THEN 0 ELSE cost * amount END) AS spent, count(*) AS slots FROM sl LEFT JOIN c12 USING (key) GROUP BY rid HAVING count(*) = count(cost))
+SELECT key, rid, round(base + retained + spent / out, 4) AS price FROM op JOIN p USING (rid) JOIN recipe USING (rid) WHERE not_production IS NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(base + retained + spent / out, 9), slots, rid) = 1""")
 def recipe_score_top1(spark, d):
     g = graph(spark, d)
     cost, _ = costs.relax(g)
@@ -395,10 +397,11 @@ def movers(spark, d):
 
 @query("SELECT key, arg_max(qty, seq) AS latest, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM snap GROUP BY key")
 def level_stats(spark, d):
-    return snapshots(spark, d).groupBy("key").agg(F.max_by("qty", "seq").alias("latest"), F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return timeseries.stats(snapshots(spark, d))
 
 
-# Plans and digests: no SQL; tests hold them against brute force
+# Plans and digests: no SQL; tests/test_costs.py and tests/test_functions.py hold
+# them against brute force
 
 
 def _plan(spark, d):

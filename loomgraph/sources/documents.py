@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators.graph import Graph
+from ..operators.store import settled
 
 #: Split tables up to this many rows (one per split of a file) are broadcast.
 SPLITS = 200_000
@@ -89,36 +90,153 @@ def names_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("label IS NOT NULL").select("key", "label", K.mod_of("key").alias("mod"))
 
 
+def names_count(spark: SparkSession, path: str) -> int:
+    """How many labels a labels file holds, as it is written."""
+    return _map(spark, path, "string").count()
+
+
 def names_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, label, mod) of lines ``id,meta,label``; a label keeps its commas and
-    a key's first line stands."""
-    parts = F.split("value", ",", 3)
-    rows = numbered_lines(spark, path).select("line", K.norm_key(F.trim(parts[0]), F.trim(F.get(parts, F.lit(1))).try_cast("int")).alias("key"), K.clean_label(F.get(parts, F.lit(2))).alias("label"))
-    first = rows.where("label IS NOT NULL").groupBy("key").agg(F.min_by("label", "line").alias("label"))
+    """(key, label, mod) of lines ``id,label``, the id with its meta; labels
+    keep their commas, or are quoted; a header ``mod:item`` is left out and a
+    key's first line stands."""
+    quoted = r'^"((?:[^"]|"")*)"$'
+    rows = numbered_lines(spark, path).where(F.col("value").contains(","))
+    raw, rest = F.trim(F.regexp_replace(F.substring_index("value", ",", 1), '^"|"$', "")), F.regexp_replace("value", "^[^,]*,", "")
+    label = F.when(rest.rlike(quoted), F.replace(F.regexp_extract(rest, quoted, 1), F.lit('""'), F.lit('"'))).otherwise(rest)
+    rows = rows.where((raw != "") & ~F.lower(raw).startswith("mod:item")).select("line", K.canonical_item_key(raw).alias("key"), K.clean_label(label).alias("label"))
+    first = rows.where("label IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min_by("label", "line").alias("label"))
     return first.select("key", "label", K.mod_of("key").alias("mod"))
 
 
+def _written_key(raw: Column) -> Column:
+    """``<mod:name:meta> * n`` as a key; null for nothing."""
+    raw = F.trim(F.regexp_replace(F.regexp_replace(raw, "[<>]", ""), r"\s*\*\s*[0-9]+\s*$", ""))
+    pattern = r"^(.*:.*):([0-9]+|\*)$"
+    tail = F.regexp_extract(raw, pattern, 2)
+    return F.when(raw.rlike(pattern), K.norm_key(F.regexp_extract(raw, pattern, 1), F.when(tail == "*", F.lit(str(K.WILDCARD_META))).otherwise(tail))).otherwise(K.norm_key(raw))
+
+
 def ore_members(spark: SparkSession, path: str) -> DataFrame:
     """(ore, ord, key) of ``{ore: [member, ...]}``; members may be written
     ``<mod:name:meta> * n``."""
     rows = _map(spark, path, "array<string>").select(K.ore_key("key").alias("ore"), F.posexplode("value").alias("ord", "raw"))
-    raw = F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s*\*\s*\d+\s*$", ""), "[<>]", ""))
-    key = F.regexp_replace(F.regexp_replace(raw, r":(32767|\*)$", ":*"), r"^([^:]+:[^:]+):0$", "$1")
-    return rows.select("ore", "ord", key.alias("key")).where("key <> ''")
+    return rows.select("ore", "ord", _written_key(F.col("raw")).alias("key")).where("key IS NOT NULL")
+
+
+#: Lines of a script log that list or remove members of a group.
+ORE_LINE = r"Ore entries for\s*<?(?:ore(?:Dict)?:)?([A-Za-z0-9_.\-]+)>?\s*[:=]\s*(.*)"
+REMOVAL_LINE = r"Removing (.+?) from ore dictionary entry (\S+)\s*$"
+
+
+def ore_log(spark: SparkSession, path: str) -> DataFrame:
+    """(ore, ord, key) of a script log whose lines list a group's members, in
+    brackets or else with commas; each member once, where it is first."""
+    rows = numbered_lines(spark, path).where(F.col("value").contains("Ore entries for"))
+    rows = rows.select("line", F.regexp_extract("value", ORE_LINE, 1).alias("name"), F.regexp_extract("value", ORE_LINE, 2).alias("body")).where("name <> ''")
+    members = F.when(F.col("body").rlike("<[^>]+>"), F.regexp_extract_all("body", F.lit("<([^>]+)>"), 1)).otherwise(F.split("body", ","))
+    each = rows.select(K.ore_key("name").alias("ore"), "line", F.posexplode(members).alias("nth", "raw")).select("ore", "line", "nth", _written_key(F.col("raw")).alias("key"))
+    first = each.where("key IS NOT NULL").groupBy("ore", "key").agg(F.min(F.struct("line", "nth")).alias("at"))
+    return first.select("ore", (F.row_number().over(Window.partitionBy("ore").orderBy("at")) - 1).alias("ord"), "key")  # a group's members
+
+
+def ore_removals(spark: SparkSession, path: str) -> DataFrame:
+    """(label, ore): what a script log says was removed from a group."""
+    rows = spark.read.text(path).select(F.trim(F.regexp_extract("value", REMOVAL_LINE, 1)).alias("label"), F.regexp_extract("value", REMOVAL_LINE, 2).alias("ore"))
+    return rows.where("ore <> ''").distinct()
+
+
+#: Prefixes of ore groups and the word that labels have for them.
+PREFIX_WORDS = {
+    "ingot": "Ingot", "dust": "Dust", "nugget": "Nugget", "plate": "Plate", "gear": "Gear", "rod": "Rod", "stick": "Rod", "ore": "Ore", "block": "Block", "gem": "Gem", "crystal": "Crystal",
+    "shard": "Shard", "chunk": "Chunk", "log": "Log", "plank": "Planks", "slab": "Slab", "dye": "Dye", "wire": "Wire", "foil": "Foil", "cluster": "Cluster", "clump": "Clump", "coin": "Coin",
+}
 
 
-def ore_log(spark: SparkSession, path: str, pattern: str = r"(?i)adding <([^>]+)> to <ore:([^>]+)>") -> DataFrame:
-    """(ore, ord, key) of a script log, members in the order of their first line."""
-    rows = numbered_lines(spark, path).select("line", F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_extract("value", pattern, 2).alias("name"))
-    rows = rows.where("key <> '' AND name <> ''").groupBy(K.ore_key("name").alias("ore"), "key").agg(F.min("line").alias("line"))
-    return rows.select("ore", (F.row_number().over(Window.partitionBy("ore").orderBy("line", "key")) - 1).alias("ord"), "key")
+def ore_labels(groups: DataFrame) -> DataFrame:
+    """(ore, ord, candidate): labels that the members of a group (ore) may have,
+    most likely first: for ``ingotRedAlloy`` Red Alloy Ingot, Red Alloy, Ingot
+    of Red Alloy, Ingot Red Alloy."""
+    name = F.regexp_replace("ore", "^ore:", "")
+    pattern = "^(" + "|".join(sorted(PREFIX_WORDS, key=len, reverse=True)) + ")(.+)$"
+    words = F.trim(F.regexp_replace(F.regexp_extract(name, pattern, 2), "(?<=[a-z0-9])(?=[A-Z])", " "))
+    known = groups.sparkSession.createDataFrame(list(PREFIX_WORDS.items()), "prefix string, word string")
+    rows = groups.select("ore", F.regexp_extract(name, pattern, 1).alias("prefix"), words.alias("words")).where("words <> ''").join(F.broadcast(known), "prefix")
+    plain = F.array(F.concat_ws(" ", "words", "word"), F.col("words"), F.concat("word", F.lit(" of "), "words"), F.concat_ws(" ", "word", "words"))
+    some = F.when(F.col("word") == "Planks", F.concat(F.array(F.concat("words", F.lit(" Wood Planks"))), plain)).otherwise(plain)
+    return rows.select("ore", F.posexplode(some).alias("ord", "candidate"))
+
+
+def guessed_members(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """(ore, ord, key): for groups (ore) without members, all keys that have the
+    first of its candidate labels that any has."""
+    by = names.select(F.lower("label").alias("low"), "key")
+    met = ore_labels(groups).withColumn("low", F.lower("candidate")).join(by, "low")
+    first = met.groupBy("ore").agg(F.min("ord").alias("ord"))
+    hit = met.join(first, ["ore", "ord"]).select("ore", "key").distinct()
+    return hit.select("ore", (F.row_number().over(Window.partitionBy("ore").orderBy("key")) - 1).alias("ord"), "key")  # keys of one label
 
 
 def catalysts(spark: SparkSession, path: str) -> DataFrame:
-    """(category, ord, key) of ``{category: key or [key, ...]}``, each key once."""
+    """(category, ord, key) of ``{category: id or [id, ...]}``, ids with their
+    meta, each key once."""
     rows = _map(spark, path, "string")
     listed = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    return rows.select(F.col("key").alias("category"), F.posexplode(F.array_distinct(listed)).alias("ord", "machine")).withColumnRenamed("machine", "key")
+    keys = F.array_distinct(F.filter(F.transform(listed, _written_key), lambda k: k.isNotNull()))
+    return rows.select(F.col("key").alias("category"), F.posexplode(keys).alias("ord", "machine")).withColumnRenamed("machine", "key")
+
+
+def machine_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(machine, name), and (key, machine) of blueprints; blank names are left
+    out."""
+    d = _documents(spark, path).select(F.from_json("value", "machines map<string,string>, blueprints map<string,string>").alias("d")).select("d.*")
+    named = lambda c, key, value: d.select(F.explode(c).alias(key, value)).select(key, F.trim(value).alias(value)).where(F.col(value) != "")
+    return named("machines", "machine", "name"), named("blueprints", "key", "machine")
+
+
+class RefusedBuild(ValueError):
+    """A graph is not built from this dump."""
+
+
+class DamagedDump(RefusedBuild):
+    """The files of a dump do not belong together."""
+
+
+class WrongPack(RefusedBuild):
+    """The graph there is was built from another set of mods."""
+
+
+def dump_summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row: schema (1 if the document does not say), mod_version, names,
+    mods, mod_digest; what is missing or negative is null."""
+    schema = "schema string, mod_version string, names string, mods string, mod_digest string"
+    d = _documents(spark, path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    count = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).cast("long")).alias(c)
+    return d.select(F.coalesce(F.when(F.col("schema").rlike("^-?[0-9]+$"), F.col("schema").cast("int")), F.lit(1)).alias("schema"), "mod_version", count("names"), count("mods"), "mod_digest")
+
+
+def category_mods(spark: SparkSession, path: str) -> DataFrame:
+    """(category, mod) as a dump's summary records them."""
+    d = _documents(spark, path).select(F.explode(F.from_json("value", "categories map<string,struct<mod:string>>").categories).alias("category", "c"))
+    return d.select("category", F.trim("c.mod").alias("mod")).where("mod <> ''")
+
+
+def category_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(category, mod, dumped, threw, empty) as a dump's summary has them."""
+    d = _documents(spark, path).select(F.explode(F.from_json("value", "categories map<string,struct<mod:string,dumped:long,threw:long,empty:long>>").categories).alias("category", "c"))
+    return d.select("category", F.coalesce("c.mod", F.lit("")).alias("mod"), *[F.coalesce(f"c.{n}", F.lit(0)).alias(n) for n in ("dumped", "threw", "empty")])
+
+
+def check_dump(summary: DataFrame, names_on_disk: int | None = None, graph_digest: str | None = None) -> None:
+    """Raises DamagedDump if the labels on disk are not as many as the summary
+    says, WrongPack if the graph there is from another set of mods.  What either
+    side does not know is not compared."""
+    row = summary.first()
+    if row is None:
+        return
+    if row.names is not None and names_on_disk is not None and row.names != names_on_disk:
+        raise DamagedDump(f"{names_on_disk} labels on disk, {row.names} written: an interrupted or partial copy")
+    if row.mod_digest is not None and graph_digest is not None and row.mod_digest != graph_digest:
+        raise WrongPack("the graph there was built from another set of mods")
 
 
 def positive_values(spark: SparkSession, path: str) -> DataFrame:
@@ -140,6 +258,45 @@ def stock_document(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("key").agg(F.sum("qty").alias("qty"))
 
 
+def stock_world(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Beside the amounts of a stock document: (key, label), placed blocks
+    (block, n), and visited dimensions (folder, regions)."""
+    schema = "names map<string,string>, placed map<string,long>, dimensions map<string,long>"
+    d = _documents(spark, path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    return tuple(d.select(F.explode(c).alias(*columns)) for c, columns in (("names", ("key", "label")), ("placed", ("block", "n")), ("dimensions", ("folder", "regions"))))
+
+
+def save_stock(stock: DataFrame, folder: str) -> None:
+    """Writes (key, qty) as lines of JSON (kind, name, qty); every file is whole
+    or not there."""
+    name = F.when(K.is_item("key"), F.col("key")).otherwise(F.regexp_replace("key", "^[^:]*:", ""))
+    stock.select(K.kind_of("key").alias("kind"), name.alias("name"), "qty").write.mode("overwrite").json(folder)
+
+
+def load_stock(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.schema("kind string, name string, qty long").json(folder)
+    return rows.select(F.when(F.col("kind") == "item", F.col("name")).otherwise(F.concat_ws(":", "kind", "name")).alias("key"), "qty")
+
+
+def overrides(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """(key, value) of an object ``field`` of a document of the user's choices."""
+    rows = _documents(spark, path).select(F.get_json_object("value", f"$.{field}").alias("text"))
+    return rows.select(F.explode(F.from_json("text", "map<string,string>")).alias("key", "value"))
+
+
+def listed(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """(value): the texts of a list in such a document: categories without a
+    machine, what is disabled."""
+    rows = _documents(spark, path).select(F.get_json_object("value", f"$.{field}").alias("text"))
+    return rows.select(F.explode(F.from_json("text", "array<string>")).alias("value"))
+
+
+def save_overrides(rows: DataFrame, folder: str, field: str) -> None:
+    """Writes (key, value) as documents ``{field: {key: value}}``, one per
+    partition, which ``overrides`` reads together."""
+    rows.select(F.to_json(F.struct(F.map_from_arrays(F.array("key"), F.array("value")).alias(field))).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(folder)
+
+
 def craftables(spark: SparkSession, path: str) -> DataFrame:
     """(key): what a stock document calls craftable, as a list or an object."""
     text = _documents(spark, path).select(F.get_json_object("value", "$.craftables").alias("c"))
@@ -161,21 +318,137 @@ def dimension_ores(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("at").rlike(pattern)).select("key", F.regexp_extract("at", pattern, 1).cast("int").alias("dim"), F.regexp_extract("at", pattern, 2).alias("name"))
 
 
+def planet_ores(spark: SparkSession, path: str) -> DataFrame:
+    """(key, dim, name): ores of planets in files of XML-like text; what follows
+    a planet's tag, up to the next one, is its own, however tags are nested."""
+    blocks = _documents(spark, path).select(F.explode(F.split(F.regexp_replace("value", r"(<planet\b)", "\u0001$1"), "\u0001")).alias("block")).where(F.col("block").startswith("<planet"))
+    tag = F.regexp_extract("block", r"^(<planet\b[^>]*>)", 1)
+    dim = F.regexp_extract(tag, r'DIMID="(-?[0-9]+)"', 1)
+    rows = blocks.where(dim != "").select(dim.cast("int").alias("dim"), F.regexp_extract(tag, r'name="([^"]+)"', 1).alias("name"), F.explode(F.regexp_extract_all(F.regexp_replace("block", r"^<planet\b[^>]*>", ""), F.lit(r"(<ore\b[^>]*>)"), 1)).alias("ore"))
+    block, meta = F.regexp_extract("ore", r'block="([^"]+)"', 1), F.regexp_extract("ore", r'meta="([0-9]+)"', 1)
+    key = F.when(meta.isin("", "0"), block).otherwise(F.concat_ws(":", block, meta))
+    name = F.when(F.col("name") == "", F.concat(F.lit("DIM"), F.col("dim").cast("string"))).otherwise(F.col("name"))
+    return rows.where(block != "").select(key.alias("key"), "dim", name.alias("name")).distinct()
+
+
 def visited_dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, regions): folders of a save with region files, by their listing
-    alone; no content is read."""
+    """(folder, regions): folders of a save with region files, ``.`` for the
+    save itself, by their listing alone; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mca").load(path).select("path")
-    return files.groupBy(F.regexp_extract("path", r"([^/]+)/region/[^/]+$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("regions"))
+    root = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
+    folder = F.regexp_extract("path", r"([^/]+)/region/[^/]+$", 1)
+    rows = files.withColumn("folder", F.when(folder == root, ".").otherwise(folder)).where("folder <> ''")
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("regions"))
+
+
+#: Calls in scripts that declare where an item comes from.
+LOOT_CALL = r"addItemEntry\s*\(\s*(<[^>]+>)"
+PUZZLE_CALL = r'addPuzzle(?:Shaped|Shapeless)\s*\(\s*"[^"]*"\s*,\s*(<[^>]+>)'
+
+
+def script_provenance(spark: SparkSession, path: str) -> DataFrame:
+    """(key, kind): items that scripts (``*.zs``) put into loot tables (loot) or
+    make the result of a puzzle, which counts for more."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zs").text(path, wholetext=True)
+    calls = [texts.select(F.explode(F.regexp_extract_all("value", F.lit(call), 1)).alias("handle"), F.lit(kind).alias("kind")) for kind, call in (("loot", LOOT_CALL), ("puzzle", PUZZLE_CALL))]
+    item = r"^<([a-zA-Z0-9_]+:[A-Za-z0-9_./-]+)(?::([0-9*]+))?[^>]*>"
+    name, meta = F.regexp_extract("handle", item, 1), F.regexp_extract("handle", item, 2)
+    rows = calls[0].union(calls[1]).where(name != "").select(F.when(meta.isin("", "0"), name).otherwise(F.concat_ws(":", name, meta)).alias("key"), "kind")
+    return rows.groupBy("key").agg(F.max("kind").alias("kind"))  # puzzle comes after loot
+
+
+def quest_rewards(spark: SparkSession, path: str) -> DataFrame:
+    """(key, kind): ids anywhere below the rewards of quests, in a folder of
+    JSON documents.  Documents are taken apart level by level, as variants, each
+    level a job's rows, until nothing is below."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    level, found = files.select(F.col("value").alias("node"), F.lit(False).alias("inside")), None
+    for _ in range(DEEPEST):
+        here = level.withColumn("list", F.col("node").startswith("["))
+        fields = here.where("NOT list").select("inside", F.explode(F.from_json("node", "map<string,string>")).alias("name", "value"))
+        ids = fields.where("inside AND name = 'id:8' AND value LIKE '%:%'").select(F.col("value").alias("key"))
+        found = ids if found is None else found.union(ids)
+        below = fields.select(F.col("value").alias("node"), (F.col("inside") | (F.substring_index("name", ":", 1) == "rewards")).alias("inside"))
+        items = here.where("list").select(F.explode(F.from_json("node", "array<string>")).alias("node"), "inside")
+        level = settled(spark, below.union(items).where("node LIKE '{%' OR node LIKE '[%'"))
+        if not level.limit(1).count():
+            break
+    else:
+        raise ValueError(f"documents are nested deeper than {DEEPEST}")
+    return found.distinct().withColumn("kind", F.lit("quest"))
+
+
+#: Levels of nested documents that are followed.
+DEEPEST = 64
+
+
+def block_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, element) of lines ``element alias``."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.size(parts) == 2).select(parts[1].alias("alias"), parts[0].alias("element"))
+
+
+def multiblocks(spark: SparkSession, path: str, aliases: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Structures, one JSON document each: (registry, name, slots, blind) and
+    their parts (registry, position, count, part), a position per distinct set
+    of blocks, a row per block that may stand there.  Blind are positions of
+    which no block can be told.  A meta that ``known`` (key) does not have is
+    left out, if the plain block is known."""
+    schema = "registryname string, localizedname string, parts array<struct<elements:string>>"
+    docs = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*").where("registryname <> ''")
+    machine = docs.select(F.col("registryname").alias("registry"), F.coalesce("localizedname", "registryname").alias("name"), F.coalesce(F.size("parts"), F.lit(0)).alias("slots"), "parts")
+    places = machine.select("registry", F.posexplode("parts").alias("at", "part"))
+    text = F.col("part.elements")
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    each = places.select("registry", "at", F.explode(listed).alias("element"))
+    if aliases is not None:
+        each = each.join(aliases.withColumnsRenamed({"alias": "element", "element": "real"}), "element", "left").withColumn("element", F.coalesce("real", "element"))
+    meta = F.when(F.col("element").contains("@"), F.substring_index("element", "@", -1))
+    base = F.when(meta.isNotNull(), F.regexp_replace("element", "@[^@]*$", "")).otherwise(F.col("element"))
+    each = each.where(F.col("element").contains(":")).select("registry", "at", K.norm_key(base, meta).alias("key"), K.norm_key(base).alias("plain"))
+    if known is not None:
+        have = known.select("key", F.lit(True).alias("exact")).distinct()
+        each = each.join(have, "key", "left").join(have.withColumnsRenamed({"key": "plain", "exact": "is_plain"}), "plain", "left")
+        each = each.withColumn("key", F.when(F.col("exact").isNull() & F.col("is_plain"), F.col("plain")).otherwise(F.col("key")))
+    sets = each.groupBy("registry", "at").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # blocks of one position
+    counted = sets.groupBy("registry", "keys").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("position"))
+    told = sets.groupBy("registry").agg(F.count(F.lit(1)).alias("told"))
+    out = machine.join(told, "registry", "left").select("registry", "name", "slots", (F.col("slots") - F.coalesce("told", F.lit(0))).alias("blind"))
+    return out, counted.select("registry", "position", "count", F.explode("keys").alias("part"))
+
+
+PARTS = ("recipe", "output", "slot", "names", "ore_member", "stock")
 
 
 def save_graph(g: Graph, folder: str) -> None:
     """One Parquet table per part of the graph."""
-    for name in ("recipe", "output", "slot", "names", "ore_member", "stock"):
+    for name in (*PARTS, *(["catalyst"] if g.catalyst is not None else [])):
         getattr(g, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def load_graph(spark: SparkSession, folder: str) -> Graph:
-    return Graph(*(spark.read.parquet(f"{folder}/{name}") for name in ("recipe", "output", "slot", "names", "ore_member", "stock")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/catalyst")
+    machines = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return Graph(*(spark.read.parquet(f"{folder}/{name}") for name in PARTS), spark.read.parquet(f"{folder}/catalyst") if machines else None)
+
+
+def graph_document(spark: SparkSession, path: str) -> Graph:
+    """A graph that is one JSON document: ``recipes``, a list of objects (id,
+    src, cat, machine, out: [[key, qty], ...], q: [chance, ...], in: [{alt: [key,
+    ...], qty, p}, ...], transfer, variant), ``names``, ``ores`` and
+    ``catalysts``.  The document is one row; its recipes are rows at once."""
+    ins = "array<struct<alt:array<string>,qty:long,p:double>>"
+    recipe = f"array<struct<id:string,src:string,cat:string,machine:string,`out`:array<array<string>>,q:array<double>,`in`:{ins},transfer:boolean,variant:boolean>>"
+    d = _documents(spark, path).select(F.from_json("value", f"recipes {recipe}, names map<string,string>, ores map<string,array<string>>, catalysts map<string,array<string>>").alias("d")).select("d.*")
+    rows = settled(spark, d.select(F.posexplode("recipes").alias("rid", "r")).select(F.col("rid").cast("long").alias("rid"), "r.*"))
+    table = rows.select("rid", F.col("id").alias("name"), F.col("cat").alias("category"), "src", "machine", F.coalesce("transfer", F.lit(False)).alias("transfer"), F.coalesce("variant", F.lit(False)).alias("variant"), F.lit(None).cast("string").alias("not_production"))
+    made = rows.select("rid", "q", F.posexplode("out").alias("ord", "o"))
+    output = made.select("rid", "ord", F.get("o", F.lit(0)).alias("key"), F.coalesce(F.get("o", F.lit(1)).try_cast("long"), F.lit(1)).alias("qty"), F.coalesce(K.chance(F.get("q", F.col("ord"))), F.lit(1.0)).alias("q"))
+    slots = rows.select("rid", F.posexplode("in").alias("slot", "s")).select("rid", "slot", F.posexplode("s.alt").alias("alt", "key"), F.coalesce("s.qty", F.lit(1)).alias("qty"), F.coalesce(K.chance("s.p"), F.lit(1.0)).alias("p"))
+    names = d.select(F.explode("names").alias("key", "label")).select("key", "label", K.mod_of("key").alias("mod"))
+    ores = d.select(F.explode("ores").alias("ore", "members")).select(K.ore_key("ore").alias("ore"), F.posexplode("members").alias("ord", "key"))
+    machines = d.select(F.explode("catalysts").alias("category", "keys")).select("category", F.posexplode("keys").alias("ord", "key"))
+    return Graph(table, output, slots, names, ores, spark.createDataFrame([], "key string, qty long"), machines)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -1,4 +1,12 @@
-"""Change-only levels as a stream: the state is one value per key and tier."""
+"""Change-only levels as a stream.
+
+A key's state is its level and its open buckets: of each the last value and the
+extremes.  A bucket is closed, and its row given out once if it differs from the
+level before it, when the watermark has passed its end.  So the rows are those
+of ``timeseries.change_only`` on the same snapshots, however these are cut into
+micro-batches, as long as none is later than the watermark allows; later ones
+are left out.
+"""
 
 from __future__ import annotations
 
@@ -10,44 +18,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEVEL = "key string, ts long, qty long"
-STATE = "bucket long, level long, last long"
+#: The level (null before the first), and the open buckets.
+STATE = "level long, ts array<long>, seq array<long>, qty array<long>, lo array<long>, hi array<long>"
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per bucket: the value of the highest seq, and the extremes."""
+    rows = rows.sort_values(["ts", "seq"])
+    by = rows.groupby("ts", sort=True)
+    return by.agg(seq=("seq", "last"), qty=("qty", "last"), lo=("lo", "min"), hi=("hi", "max")).reset_index()
 
 
-def _changes(size: int):
+def _changes(size: int, keep: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """state: the open bucket, the level before it, its last value."""
-        begun = state.exists
-        at, level, last = state.get if begun else (-1, None, None)
-        out: list[tuple] = []
-        for batch in batches:
-            for t, qty in batch.sort_values("t")[["t", "qty"]].itertuples(index=False):
-                b = t - t % size
-                if at >= 0 and b < at:
-                    continue  # later than its bucket's close: dropped
-                if b != at:
-                    level, at = last, b
-                if level is None or qty != level or (out and out[-1][1] == b):
-                    if out and out[-1][1] == b:
-                        out.pop()
-                    out.append((key[0], b, qty))
-                last = qty
-        if at >= 0:
-            state.update((at, level if level is not None else last, last))
+        passed = state.getCurrentWatermarkMs()
+        level, *held = state.get if state.exists else (None, [], [], [], [], [])
+        now = pd.DataFrame(dict(zip(("ts", "seq", "qty", "lo", "hi"), held)), dtype="int64")
+        if state.hasTimedOut and not len(now):
+            state.remove()
+            return
+        for batch in () if state.hasTimedOut else batches:
+            new = pd.DataFrame({"ts": batch["t"] - batch["t"] % size, "seq": batch["seq"], "qty": batch["qty"], "lo": batch["qty"], "hi": batch["qty"]})
+            now = _merged(pd.concat([now, new[(new["ts"] + size) * 1000 > passed]]))
+        closed, out = (now["ts"] + size) * 1000 <= passed, []
+        for ts, qty, lo, hi in now.loc[closed, ["ts", "qty", "lo", "hi"]].itertuples(index=False):
+            if level is None or lo != level or hi != level:
+                out.append((key[0], ts, qty))
+            level = int(qty)
+        now = now[~closed]
+        state.update((level, *(now[c].astype(int).tolist() for c in ("ts", "seq", "qty", "lo", "hi"))))
+        state.setTimeoutTimestamp(max(passed + 1, (int(now["ts"].min()) + size) * 1000) if len(now) else passed + keep * 1000)
         yield pd.DataFrame(out, columns=["key", "ts", "qty"])
 
     return run
 
 
-def stream_changes(snapshots: DataFrame, size: int) -> DataFrame:
-    """Levels of a stream of snapshots (key, t, qty): a row where a bucket's
-    value differs from the level before it.  A bucket that several micro-batches
-    share gives a row in each; the last one stands (``latest``)."""
-    return snapshots.groupBy("key").applyInPandasWithState(_changes(size), LEVEL, STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_changes(snapshots: DataFrame, size: int, late: str = "10 minutes", keep: int = 60 * 86400) -> DataFrame:
+    """Levels (key, ts, qty) of a stream of snapshots (key, t, seq, qty), t in
+    seconds: a row where a bucket of ``size`` seconds differs from the level
+    before it.  A key's state goes ``keep`` seconds of event time after its last
+    bucket was closed; its next row is then its first."""
+    rows = snapshots.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(_changes(size, keep), LEVEL, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(levels: DataFrame) -> DataFrame:
-    """One row per key and bucket of a batch of levels."""
-    return levels.dropDuplicates(["key", "ts", "qty"])
+    """One row per key and bucket of levels (key, ts, qty, version), the one of
+    the highest version: for stores that a batch has been written to twice."""
+    return levels.groupBy("key", "ts").agg(F.max_by("qty", "version").alias("qty"))
 
 
 def windowed(snapshots: DataFrame, size: str, late: str) -> DataFrame:

@@ -42,7 +42,7 @@ def brute_routes(recipes):
     best = defaultdict(list)
     for rid, (key, n, mark, used) in recipes.items():
         if not mark and all(k in cost for k in used):
-            best[key].append((round(base[rid] + sum(cost[k] * m for k, (m, _) in used.items()) / n, 9), len(used), rid))
+            best[key].append((round(base[rid] + sum(cost[k] * m / (n if p else 1) for k, (m, p) in used.items()), 9), len(used), rid))
     return {k: min(v)[2] for k, v in best.items()}
 
 
@@ -60,7 +60,7 @@ def brute_plan(key, need, recipes, routes, stock):
             if status in ("partial", "craft"):
                 per_run, used = recipes[rid][1], recipes[rid][3]
                 runs = -(-(n - taken) // per_run)
-                after += [(f"{path}>{u}", u, runs * m, (*above, k)) for u, (m, p) in used.items() if p > 0]
+                after += [(f"{path}>{u}" + ("" if p else "~"), u, runs * m if p else m, (*above, k)) for u, (m, p) in used.items()]
         level, depth = after, depth + 1
     return out
 
