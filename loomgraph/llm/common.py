@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches are bounded by bytes, as rows hold whole texts; the
+    session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -50,7 +69,8 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
@@ -60,7 +80,8 @@ class Scratch:
     def result(self, df: DataFrame) -> DataFrame:
         """Stores the operator's result and deletes the tables before it."""
         path = f"{self.folder}/result"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         for made in self.made:
             delete(self.spark, made)
         self.made = []

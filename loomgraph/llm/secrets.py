@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, sized, small_batches
 from .textops import pieces
 
 
@@ -122,7 +122,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     unseen = scratch.store(unseen, "unseen")
     if unseen.limit(1).count():
         texts = rows.select(*at, "text").join(sized(unseen), ["at_id", "at_text"]).select("text", "todo")
-        texts.mapInArrow(_scan_rows(rules), LEDGER).write.mode("append").parquet(ledger)
+        with small_batches(spark):
+            texts.mapInArrow(_scan_rows(rules), LEDGER).write.mode("append").parquet(ledger)
 
     order = [F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)]
     found = read_ledger(spark, ledger).where(F.size("spans") > 0).select("blob", F.coalesce(*order).alias("nth"), "spans").where("nth IS NOT NULL")

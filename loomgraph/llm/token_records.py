@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .textops import pieces
 from .tokens import encoding, tokenizer_file
 
@@ -103,7 +103,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
     by = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by, "text")
     out = rows.mapInArrow(_encode_rows(tokenizer, end_id), "frame binary")
-    out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    with small_batches(docs.sparkSession):
+        out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

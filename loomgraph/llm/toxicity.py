@@ -76,13 +76,15 @@ class Model:
     def embed(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([t[codes[:, i]] for i, t in enumerate(self.tables)], axis=1)
 
-    def maps(self, x: np.ndarray) -> list[np.ndarray]:
-        """By width, each place's filters; windows past the end see zeros."""
+    def maps(self, x: np.ndarray, pad: np.ndarray) -> list[np.ndarray]:
+        """By width, each place's filters; windows past the end see zeros, and
+        those that begin in the padding (``pad``) nothing at all."""
         out = []
         for w, bias in zip(self.filters, self.bias):
             z = x @ w[0]
             for j in range(1, len(w)):
                 z[:-j] += x[j:] @ w[j]
+            z[pad] = 0
             out.append(z + bias)
         return out
 
@@ -91,7 +93,7 @@ class Model:
         padding keeps windows from reaching into the next text."""
         if len(first) < 2:
             return np.zeros(0)
-        pooled = [np.maximum(np.maximum.reduceat(z, first[:-1], axis=0), 0) for z in self.maps(self.embed(codes))]
+        pooled = [np.maximum(np.maximum.reduceat(z, first[:-1], axis=0), 0) for z in self.maps(self.embed(codes), codes[:, 0] == 0)]
         return np.concatenate(pooled, axis=1) @ self.out + self.out_bias
 
     def scores(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -129,9 +131,9 @@ def train(codes: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 0) ->
             parts = [codes[first[i] : first[i + 1]] for i in take]
             c = np.concatenate(parts)
             f = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            x = m.embed(c)
+            x, pad = m.embed(c), c[:, 0] == 0
             pooled, where = [], []
-            for z in m.maps(x):
+            for z in m.maps(x, pad):
                 arg = np.stack([z[a:b].argmax(axis=0) + a for a, b in zip(f[:-1], f[1:])])
                 where.append(arg)
                 pooled.append(np.maximum(z[arg, np.arange(k)], 0))
@@ -149,7 +151,7 @@ def train(codes: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 0) ->
                 g_w = np.zeros_like(w)
                 for j in range(len(w)):
                     at_j = np.minimum(arg + j, len(x) - 1)
-                    ok = part * (arg + j < len(x))
+                    ok = part * ((arg + j < len(x)) & ~pad[arg])
                     g_w[j] = np.einsum("nkd,nk->dk", x[at_j], ok)
                     np.add.at(d_x, at_j.ravel(), (ok[:, :, None] * w[j].T[None]).reshape(-1, TABLES * DIM))
                 g_f[i] += g_w * g_w

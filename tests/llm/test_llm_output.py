@@ -222,6 +222,30 @@ def test_mix_of_odd_rows(spark):
     assert [r.doc_id for r in one] == [2, 2]
 
 
+def test_each_epoch_has_an_order_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 20)
+    docs = spark.createDataFrame([(i, "a" if i < 40 else "b", "x y z") for i in range(400)], "doc_id long, source string, text string")
+    mix = mixing.decide(docs, Scratch(spark, "test-epochs"), mixing.Target(1.0, None))
+    rows = mixing.realise(docs, mix).select("doc_id", "_key", "_epoch", "_block", "_nth").collect()
+    orders = defaultdict(dict)
+    for r in rows:
+        if r._key == "=a":
+            orders[r._epoch][r._block] = r._nth
+    whole = {e: tuple(sorted(o, key=o.get)) for e, o in orders.items() if len(o) == max(map(len, orders.values()))}
+    assert len(whole) >= 4 and len(set(whole.values())) == len(whole)
+    for e, blocks in whole.items():
+        assert sorted(orders[e].values()) == list(range(1, len(blocks) + 1))
+    assert len({r.doc_id for r in rows if r._key == "=a"}) == 40
+
+
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    docs = spark.createDataFrame([(None, "a", f"text {i}") for i in range(300)] + [(-1, "a", "text")], "doc_id long, source string, text string")
+    mix = mixing.decide(docs, Scratch(spark, "test-no-ids"), mixing.Target(None, 1.0))
+    blocks = Counter(r._block for r in mixing.realise(docs, mix).collect())
+    assert len(blocks) >= 12 and max(blocks.values()) < 60 and sum(blocks.values()) == 301
+
+
 def test_token_counts(spark):
     rows = spark.createDataFrame([(None,), ("",), (" \x0b",), ("a",), (" a\tb\n",)], "t string")
     assert [r[0] for r in rows.select(mixing.token_count(F.col("t"))).collect()] == [1, 1, 1, 2, 3]
@@ -260,6 +284,99 @@ def test_versions_and_conflicts(spark, tmp_path):
         store.manifest(99)
 
 
+def test_a_writer_that_dies_leaves_no_version(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20)
+    store.append(spark.range(10).coalesce(1))
+    with monkeypatch.context() as m:
+        m.setattr(sharding.os, "link", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.append(spark.range(10, 20).coalesce(1))
+    assert [v for v, _ in store.versions()] == [1] and store.read().count() == 10
+    assert store.append(spark.range(20, 25).coalesce(1)) == 2
+    assert sorted(r.id for r in store.read().collect()) == [*range(10), *range(20, 25)]
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """Both runs are there in the end, whoever is first."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    at = f"file://{tmp_path}/store"
+    stores = [sharding.ShardStore(spark, at, target=1 << 20) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: stores[k].append(spark.range(100 * k, 100 * k + 50).coalesce(1)), range(4)))
+    assert sorted(made) == [1, 2, 3, 4]
+    assert sorted(r.id for r in stores[0].read().collect()) == [100 * k + i for k in range(4) for i in range(50)]
+
+
+def test_a_merge_gives_up_on_shards_that_are_gone(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, fanout=2, smallest=1 << 12)
+    for k in range(2):
+        store.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+    commit, other = sharding.ShardStore.commit, []
+
+    def raced(self, after, files):
+        if not other:  # another writer merges the same shards first
+            other.append(sharding.ShardStore(spark, store.path, target=1 << 20, fanout=2, smallest=1 << 12))
+            other[0].compact()
+        return commit(self, after, files)
+
+    monkeypatch.setattr(sharding.ShardStore, "commit", raced)
+    store.compact()
+    assert sorted(r.id for r in store.read().collect()) == list(range(20)) and store.manifest()[1].count() == 1
+
+
+def brute_merges(sizes, target, fanout, smallest):
+    """Which sizes each merge takes, in order."""
+    tier = lambda n: max(0, math.ceil(math.log(max(n, 1) / smallest, fanout)))
+    sizes, merges = dict(sizes), []
+    while True:
+        by = defaultdict(list)
+        for f, n in sizes.items():
+            if n < target * 3 // 4:
+                by[tier(n)].append(f)
+        due = sorted(t for t, fs in by.items() if len(fs) >= fanout)
+        if not due:
+            return merges
+        merges.append(set(by[due[0]]))
+        for f in by[due[0]]:
+            del sizes[f]
+        return merges  # sizes of merged files are only known once they are written
+
+
+def test_merges_are_those_of_the_lowest_due_tier(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=200_000, fanout=3, smallest=1000)
+    rng = random.Random(1)
+    for rows in (10, 3000, 20, 9000, 15, 5000, 30_000, 4000):
+        store.append(spark.createDataFrame([(rng.random(),) for _ in range(rows)], "x double").coalesce(1))
+    for _ in range(20):
+        before = {r.file: r.bytes for r in store.manifest()[1].collect()}
+        want = brute_merges(before, store.target, store.fanout, store.smallest)
+        tiers = store.tiers(store.manifest()[1])
+        due = tiers.groupBy("tier").count().where(f"count >= {store.fanout}").orderBy("tier").first()
+        if due is None:
+            assert want == []
+            break
+        assert {r.file for r in tiers.where(F.col("tier") == due.tier).collect()} == want[0]
+        store.compact()
+    after = {r.file: r.bytes for r in store.manifest()[1].collect()}
+    assert brute_merges(after, store.target, store.fanout, store.smallest) == []
+    assert store.read().count() == sum((10, 3000, 20, 9000, 15, 5000, 30_000, 4000))
+
+
+def test_sharding_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, file string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op5_sharding(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text_sha256", "shard", "shard_rows", "shard_bytes", "version"]
+
+
+def test_sharding_of_odd_rows(spark, tmp_path):
+    rows = [(None, None, "f"), (None, "a", "f"), (1, "b", None), (1, "b", None), (2, "", "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, file string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op5_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text_sha256 is None) for r in out) == Counter((i, t is None) for i, t, _ in rows)
+
+
 def test_full_shards_stay(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1000, fanout=2, smallest=100)
     for _ in range(3):
@@ -305,12 +422,27 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Rows without anything, and each row twice: of every text that the stages
+    keep one stays, as if the table had none of them."""
     import corpus_pipeline as P
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = docs.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]).union(docs.limit(30)).union(docs.limit(30))
-    for at in (odd, docs.limit(0)):
-        at = at.withColumn("component_id", F.lit(1))
-        for _, stage in P.STAGES:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(30).withColumn("component_id", F.lit(1))
+    docs = Scratch(spark, "test-odd").store(docs)
+    none = docs.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    kept = []
+    for at in (docs, none.union(docs).union(docs)):
+        kept.append([])
+        for name, stage in P.STAGES[:3]:
             at = Scratch(spark, "test-odd").store(stage(spark, at, sf_dir))
-        assert at.count() >= 0
+            kept[-1].append(Counter(r.doc_id for r in at.collect()))
+    plain, odd = kept
+    assert plain[0] and set(plain[0].values()) == {1}
+    assert odd[0] == Counter({i: 2 for i in plain[0]})  # quality: both copies stay, rows without text go
+    assert odd[1] == plain[1] and odd[2] == plain[2]
+    for name, stage in P.STAGES[3:]:
+        at = Scratch(spark, "test-odd").store(stage(spark, at, sf_dir))
+    assert {r.doc_id for r in at.collect()} <= set(plain[2])
+    at = docs.limit(0)
+    for _, stage in P.STAGES:
+        at = Scratch(spark, "test-odd").store(stage(spark, at, sf_dir))
+        assert at.count() == 0

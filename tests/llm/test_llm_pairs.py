@@ -104,13 +104,23 @@ def test_join_at_the_very_threshold(spark):
 
 def test_join_odd_rows(spark):
     docs = spark.createDataFrame(
-        [(1, "a b c d e f", 9, "k"), (1, "a b c d e f", 9, "k"), (None, "a b c d e f", 9, "k"), (2, "A B C D E F", 9, None)], "doc_id long, text string, n_shingles long, gram string"
+        [(1, "a b c d e f", 9, "k"), (1, "a b c d e f", 9, "k"), (None, "a b c d e f", 9, "k"), (2, "A B C D E F", 9, None), (2, "other", 9, None), (None, "", 9, "k"), (None, "lone text", 9, "k"), (3, "Lone TEXT", 9, "k")],
+        "doc_id long, text string, n_shingles long, _row long".replace("_row long", "gram string"),
     )
-    assert {tuple(r) for r in ngram_join.near_duplicates(docs).collect()} == {(1, 2, 1), (2, 2, 1)}
-    kept = ngram_join.keep_one(docs, ngram_join.near_duplicates(docs))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 2, 1), (2, 1, 2), (None, 0, None), (None, 1, 3), (3, 1, 3)], key=str)
+    kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
-    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
+    assert sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (2, "other"), (None, ""), (3, "lone text")], key=str)
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_join_of_negative_ids(spark):
+    rows = [(-1 - i if i % 2 else i, t) for i, t in near_rows(5)]
+    got = {tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(rows)
+    kept = {r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _, c in got if i == c}
 
 
 def test_join_of_a_long_text(spark):
@@ -161,6 +171,26 @@ def test_exact_odd_rows(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_of_the_least_id(spark):
+    """No id is less than every id."""
+    rows = [(None, "a"), (-(1 << 63), "a"), (None, "b"), (None, "b"), (-(1 << 63), "c")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    low = -(1 << 63)
+    assert got == sorted([(None, low, 2, False), (low, low, 2, True), (None, None, 1, True), (None, None, 1, True), (low, low, 1, True)], key=str)
+
+
+def test_exact_keeps_every_text_once(spark):
+    rows = [(1, "a", 1), (1, "b", 1), (2, "a", 1), (3, "C", 1), (3, "c", 1), (None, "d", 1), (None, "d", 1), (None, "a", 1), (4, None, 1), (5, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digit int")
+    kept = exact_dedup.keep_largest(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "b"), (2, "a"), (3, "c"), (None, "d"), (5, "")], key=str)
+    plain = spark.createDataFrame([(1, "a", 1), (2, "A", 1), (3, "b", 1)], docs.schema)
+    assert sorted(r.doc_id for r in exact_dedup.keep_largest(plain).collect()) == [2, 3]
+    assert exact_dedup.keep_largest(docs.limit(0)).count() == 0
+
+
 def test_exact_of_long_texts(spark):
     long = "ab" * 700_000
     rows = [(1, long), (2, long.upper()), (3, long[:-1] + "c"), (4, long + "d")]

@@ -97,7 +97,9 @@ def test_quality_rules_keep_clean_documents(spark, sf_dir):
     assert not got[got.base_failed].kept.any()
     good, bad = passed[passed.quality == 1], passed[passed.quality == 0]
     assert good.kept.mean() >= 0.98
-    assert len(bad) < 20 or bad.kept.mean() < good.kept.mean()
+    assert len(bad) >= 5 and bad.kept.mean() <= 0.5  # of what the base rules let pass
+    everything = got[got.quality == 0]
+    assert everything.kept.mean() <= 0.25
 
 
 def test_quality_odd_tables(spark):
@@ -119,6 +121,89 @@ def test_forest_finds_what_stands_apart():
     assert np.quantile(f.score(rows), 0.99) < f.score(odd).min()
 
 
+def test_scores_are_those_of_plain_recursion():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(0, 1, (300, 6))
+    f = quality_rules.Forest(rows, rows.min(0), rows.max(0), trees=7, psi=64, seed=3)
+
+    def path(tree, x, at=0):
+        feature, value, left, right, length = (v[at] for v in tree)
+        return length if feature < 0 else path(tree, x, int(left if x[int(feature)] < value else right))
+
+    want = [2.0 ** (-np.mean([path(t, x) for t in f.trees]) / f.norm) for x in rows]
+    assert f.score(rows) == pytest.approx(want)
+    for tree in f.trees:  # every leaf's length is its depth, and what is expected below it
+        assert (tree[4][tree[0] < 0] >= 1).all() and (tree[4][tree[0] < 0] <= f.depth + f.below(64)).all()
+
+
+def plain_logit(m, codes):
+    """The classifier for one text, place by place."""
+    x = [np.concatenate([t[c] for t, c in zip(m.tables, place)]) for place in codes]
+    out = []
+    for w, bias in zip(m.filters, m.bias):
+        for k in range(w.shape[2]):
+            best = 0.0
+            for at in range(len(x)):
+                best = max(best, bias[k] + sum(float(x[at + j] @ w[j, :, k]) for j in range(len(w)) if at + j < len(x)))
+            out.append(best)
+    return float(np.dot(out, m.out) + m.out_bias)
+
+
+def small_model(seed, texts):
+    import pyarrow as pa
+
+    codes, first = toxicity.word_codes(pa.array(texts))
+    m = toxicity.train(codes, first, np.array([float(i % 2) for i in range(len(texts))]), seed=seed)
+    return m, codes, first
+
+
+def test_logits_are_those_of_plain_loops():
+    texts = ["a b c", "a vile b c", "", "x " * 30 + "vile", None, "b c a vile vile d"] * 4
+    m, codes, first = small_model(0, texts)
+    got = m.logits(codes, first)
+    assert got == pytest.approx([plain_logit(m, codes[a:b]) for a, b in zip(first[:-1], first[1:])], abs=1e-4)
+
+
+def test_training_follows_the_gradient(monkeypatch):
+    """One step from the same start: each weight moves against the slope of the
+    loss, measured by differences."""
+    import pyarrow as pa
+
+    texts = [f"w{i} w{i + 1} vile w{i + 2}" if i % 2 else f"w{i} w{i + 1} w{i + 2}" for i in range(6)] * 4
+    codes, first = toxicity.word_codes(pa.array(texts))
+    y = np.array([float(i % 2) for i in range(len(texts))])
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    start = toxicity.train(codes, first, y, seed=4)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "BATCH", len(texts))
+    after = toxicity.train(codes, first, y, seed=4)
+
+    def loss():
+        p = toxicity.sigmoid(start.logits(codes, first).astype(float))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    def slope(weights, at, step=2e-3):
+        was = weights[at]
+        weights[at] = was + step
+        up = loss()
+        weights[at] = was - step
+        down = loss()
+        weights[at] = was
+        return (up - down) / (2 * step)
+
+    checked = 0
+    pairs = [(start.out, after.out), *zip(start.bias, after.bias), *zip(start.filters, after.filters), *zip(start.tables, after.tables)]
+    rng = np.random.default_rng(0)
+    for before, then in pairs:
+        moved = np.argwhere(np.abs(then - before) > 1e-3)
+        for at in map(tuple, moved[rng.permutation(len(moved))[:12]]):
+            g = slope(before, at)
+            if abs(g) > 1e-4:  # below that, rounding in single precision decides
+                assert np.sign(before[at] - then[at]) == np.sign(g)
+                checked += 1
+    assert checked >= 40
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
