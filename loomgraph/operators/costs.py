@@ -29,10 +29,14 @@ SOURCE_COST, EMC_COST, CRAFTABLE_COST = 0.02, 0.5, 0.25
 UNSOURCED_COST, LOOT_COST, GATE_COST = 2000.0, 200.0, 1000.0
 PROVENANCE_COST = {"puzzle": GATE_COST, "quest": GATE_COST, "loot": LOOT_COST}
 TOKEN_COST = {"loot": LOOT_COST, "gate": GATE_COST, "hint": K.BASE_RAW_COST, "method": K.BASE_RAW_COST}
+#: Version of the way prices are made, for caches of them.
+FORMULA = 1
 #: An improvement below this is none.
 LEAST_GAIN = 1e-9
 #: Steps after which a loop that still finds something is an error.
 CEILING = 1000
+#: Share of changed keys from which on a pass prices all recipes.
+MANY = 0.25
 #: Rows of (key, cost) up to which prices are broadcast (about 30 MB).
 PRICES_BROADCAST = 500_000
 
@@ -64,7 +68,14 @@ class Rules:
     slots: DataFrame
     choices: DataFrame
     ores: DataFrame
-    n_more: int  # rows of choices and ores
+    groups: DataFrame  # (key) of all ore groups in use
+    n_choices: int
+    n_ores: int
+    n_groups: int
+
+    @property
+    def n_more(self) -> int:
+        return self.n_choices + self.n_ores + self.n_groups
 
 
 def rules(g: Graph, entry: DataFrame | None = None, bare: DataFrame | None = None) -> Rules:
@@ -95,9 +106,9 @@ def rules(g: Graph, entry: DataFrame | None = None, bare: DataFrame | None = Non
     choices = settled(spark, alts.where("many").select("node", "key", "amount"))
     slots = alts.groupBy("rid", "slot", F.col("node").alias("key")).agg(F.max(F.when(F.col("many"), 1.0).otherwise(F.col("amount"))).alias("amount"), F.expr("bool_and(kept)").alias("kept"))
     slots = settled(spark, slots)
-    used = slots.select("key").union(choices.select("key")).where(K.kind_of("key") == "ore").select(F.col("key").alias("ore")).distinct()
-    ores = settled(spark, g.ore_member.select("ore", "key").join(used, "ore", "left_semi"))
-    return Rules(settled(spark, outputs), slots, choices, ores, choices.count() + ores.count())
+    groups = settled(spark, slots.select("key").union(choices.select("key")).where(K.kind_of("key") == "ore").distinct())
+    ores = settled(spark, g.ore_member.select("ore", "key").join(groups.select(F.col("key").alias("ore")), "ore", "left_semi"))
+    return Rules(settled(spark, outputs), slots, choices, ores, groups, choices.count(), ores.count(), groups.count())
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -107,12 +118,14 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 def node_prices(r: Rules, cost: DataFrame, n_cost: int) -> DataFrame:
     """``cost`` with the prices of ore groups and choices.  A group costs what
     its cheapest priced member does, else its own price, else a raw unit."""
-    known = _small(cost, n_cost)
-    member = r.ores.join(known, "key").groupBy(F.col("ore").alias("key")).agg(F.min("cost").alias("cost"))
-    raw = r.ores.select(F.col("ore").alias("key")).distinct().union(r.slots.where(K.kind_of("key") == "ore").select("key")).union(r.choices.where(K.kind_of("key") == "ore").select("key")).distinct()
-    ore = raw.join(member, "key", "left").join(known.withColumnRenamed("cost", "own"), "key", "left").select("key", F.coalesce("cost", "own", F.lit(K.BASE_RAW_COST)).alias("cost"))
-    plain = cost.where(K.kind_of("key") != "ore").unionByName(ore)
-    chosen = r.choices.join(plain, "key").groupBy(F.col("node").alias("key")).agg(F.min(F.col("cost") * F.col("amount")).alias("cost"))
+    known, plain = _small(cost, n_cost), cost
+    if r.n_groups:
+        member = r.ores.join(known, "key").groupBy(F.col("ore").alias("key")).agg(F.min("cost").alias("cost"))
+        ore = r.groups.join(member, "key", "left").join(known.withColumnRenamed("cost", "own"), "key", "left").select("key", F.coalesce("cost", "own", F.lit(K.BASE_RAW_COST)).alias("cost"))
+        plain = cost.where(K.kind_of("key") != "ore").unionByName(ore)
+    if not r.n_choices:
+        return plain
+    chosen = r.choices.join(_small(plain, n_cost + r.n_groups), "key").groupBy(F.col("node").alias("key")).agg(F.min(F.col("cost") * F.col("amount")).alias("cost"))
     return plain.unionByName(chosen)
 
 
@@ -207,22 +220,24 @@ def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = Non
     spark = g.recipe.sparkSession
     r = prepared or rules(g, entry, bare)
     cost = settled(spark, (seed if seed is not None else raw_seed(g)).select("key", "cost", F.lit(True).alias("changed")))
+    n, n_new = cost.count(), 0
     for done in range(1, (CEILING if passes is None else passes) + 1):
-        n = cost.count()
         nodes = node_prices(r, cost.select("key", "cost"), n)
         slots = r.slots
-        if done > 1:  # recipes that no changed key goes into are as they were
+        if done > 1 and n_new < n * MANY:  # recipes that no changed key goes into are as they were
             new = cost.where("changed").select("key")
-            groups = r.ores.join(new, "key", "left_semi").select(F.col("ore").alias("key")).distinct()
-            new = new.union(groups)
-            new = settled(spark, new.union(r.choices.join(new, "key", "left_semi").select(F.col("node").alias("key"))).distinct())
-            slots = slots.join(slots.join(_small(new, new.count()), "key", "left_semi").select("rid").distinct(), "rid", "left_semi")
+            if r.n_ores:
+                new = new.union(r.ores.join(_small(new, n_new), "key", "left_semi").select(F.col("ore").alias("key")))
+            if r.n_choices:
+                new = new.union(r.choices.join(_small(new, n_new + r.n_ores), "key", "left_semi").select(F.col("node").alias("key")))
+            slots = slots.join(slots.join(_small(new, n_new + r.n_more), "key", "left_semi").select("rid").distinct(), "rid", "left_semi")
         found = r.outputs.join(recipe_prices(slots, nodes, n + r.n_more), "rid").select("key", F.expr(PER_UNIT).alias("cost"))
         both = cost.select("key", F.col("cost").alias("was"), F.lit(None).cast("double").alias("now")).unionByName(found.select("key", F.lit(None).cast("double").alias("was"), F.col("cost").alias("now")))
         both = both.groupBy("key").agg(F.min("was").alias("was"), F.min("now").alias("now"))
         better = F.col("now").isNotNull() & (F.col("was").isNull() | (F.col("now") < F.col("was") - LEAST_GAIN))
         cost = settled(spark, both.select("key", F.when(better, F.col("now")).otherwise(F.col("was")).alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")))
-        if not cost.where("changed").limit(1).count():
+        n, n_new = cost.agg(F.count(F.lit(1)), F.count_if("changed")).first()
+        if not n_new:
             break
     else:
         if passes is None:

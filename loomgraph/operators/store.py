@@ -61,6 +61,17 @@ def fingerprint(*inputs) -> str:
     return hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
 
 
+def cached(spark: SparkSession, folder: str, inputs: tuple, make) -> DataFrame:
+    """A table that is expensive to make, such as prices, kept in ``folder``
+    under the fingerprint of what it was made of; made and written if there is
+    none.  Spark's marker of a whole table tells one that was not finished."""
+    path = f"{folder.rstrip('/')}/{fingerprint(*inputs)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified) of the files below a path; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

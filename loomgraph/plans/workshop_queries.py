@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import costs, machines, names, reports, rewrite, search, sourcing, timeseries
 from ..operators import graph as G
+from ..operators.store import cached, listing, shared_folder
 from ..sources import documents
 from .adapter import snapshots, table
 from .queries import QUERIES, SINCE, SQL, UNTIL
@@ -378,6 +379,13 @@ def _scenario(spark, d) -> costs.Scenario:
     )
 
 
+def _prices(spark, d):
+    """Made once for tables as they are, for the queries that only read them."""
+    g = graph(spark, d)
+    files = [tuple(r) for t in ("lineitem", "orders", "part", "supplier", "nation") for r in listing(spark, f"{d}/{t}.parquet").orderBy("path").collect()]
+    return cached(spark, f"{shared_folder(spark)}/loomgraph-prices", ("workshop", costs.FORMULA, files), lambda: costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))[0])
+
+
 @query(f"{_SEED} SELECT key, cost FROM seed")
 def seed_layers(spark, d):
     return costs.layered_seed(graph(spark, d), _scenario(spark, d))
@@ -407,8 +415,8 @@ _SETTLED = f"""{_SEED}{_FLAT},{_relaxed(PASSES, 'seed', 'flat', 'a')}"""
 def relax_alternatives(spark, d):
     """To the fixpoint, with choices, ore groups and all layers of the seed."""
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
-    return cost.select("key", F.round("cost", 4).alias("cost"))
+    found, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    return found.select("key", F.round("cost", 4).alias("cost"))
 
 
 _ENTRY = f"""{_SETTLED}, mach AS (SELECT category, min(CASE WHEN cost IS NULL THEN 111.0 ELSE 40 + 70 * ln(1 + cost / 64) / (ln(1 + cost / 64) + 70.0 / 79) END) AS entry_cost FROM catalyst LEFT JOIN ac{PASSES} USING (key) GROUP BY 1),
@@ -418,7 +426,7 @@ entry AS MATERIALIZED (SELECT category, coalesce(m.entry_cost, 20.0)::DOUBLE AS
 @query(f"{_ENTRY} SELECT category, round(entry_cost, 6) AS entry_cost FROM mach")
 def machine_entry_cost(spark, d):
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    cost = _prices(spark, d)
     return costs.machine_entries(g.catalyst, cost).select("category", F.round("entry_cost", 6).alias("entry_cost"))
 
 
@@ -433,7 +441,7 @@ def relax_two_phase(spark, d):
 @query(f"{_ENTRY} SELECT CASE WHEN entry_cost BETWEEN 40 - 1e-9 AND 110 + 1e-9 THEN 'priced' WHEN abs(entry_cost - 111) <= 1e-9 THEN 'unpriced item' WHEN entry_cost BETWEEN 112 AND 119 THEN 'blocked structure' ELSE 'outside' END AS region, count(*) AS categories, round(min(entry_cost), 6) AS lowest, round(max(entry_cost), 6) AS highest FROM entry GROUP BY 1")
 def entry_census(spark, d):
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    cost = _prices(spark, d)
     entry = costs.category_entry(g.recipe, costs.machine_entries(g.catalyst, cost))
     return machines.entry_census(entry).select("region", "categories", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest"))
 
@@ -441,7 +449,7 @@ def entry_census(spark, d):
 @query(f"{_SETTLED} SELECT (SELECT count(*) FROM ac{PASSES}) AS keys, (SELECT count(*) FROM ac{PASSES}) AS priced, 0::BIGINT AS unpriced, (SELECT count(*) FROM flat) AS categories")
 def cost_summary(spark, d):
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    cost = _prices(spark, d)
     return search.cost_summary(cost, costs.category_entry(g.recipe))
 
 
@@ -452,7 +460,7 @@ sc AS (SELECT key, rid, CASE WHEN not_production IS NULL THEN 1 ELSE 0 END AS pr
 SELECT key, rid, row_number() OVER (PARTITION BY key ORDER BY production DESC, cheap DESC, satisfied DESC, ore_backed DESC, plain DESC, rid) AS place FROM sc QUALIFY place <= 3""")
 def recipe_chooser(spark, d):
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    cost = _prices(spark, d)
     scored = costs.scores(g, cost, mineable=sourcing.mineable(g, places(spark, d)))
     return costs.choose(scored, 3).select("key", "rid", F.col("place").cast("long").alias("place"))
 
@@ -462,7 +470,7 @@ x AS (SELECT m.*, least(coalesce(qty, 0), 1000000) / 1e6 + CASE WHEN m.key IN (S
 SELECT rid, slot, key FROM x QUALIFY row_number() OVER (PARTITION BY rid, slot ORDER BY worth DESC, cost, alt, nth) = 1""")
 def picked_alternatives(spark, d):
     g = graph(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))
+    cost = _prices(spark, d)
     return costs.pick_alternatives(g, cost)
 
 
@@ -484,7 +492,7 @@ def plan_trees(spark, d):
     """A plan of each key that is made, with sources, tokens and what is mined:
     its nodes, depth and what it needs."""
     g, s = graph(spark, d), _scenario(spark, d)
-    cost, _ = costs.relax(g, costs.layered_seed(g, s))
+    cost = _prices(spark, d)
     chosen = costs.pick_alternatives(g, cost).join(g.slot.groupBy("rid", "slot").agg(F.max("qty").alias("qty"), F.max("p").alias("p")), ["rid", "slot"]).withColumn("alt", F.lit(0))
     picked = G.Graph(g.recipe, g.output, chosen.select("rid", "slot", "alt", "key", "qty", "p"), g.names, g.ore_member, g.stock, g.catalyst)
     requests = g.output.select("key").distinct().select(F.xxhash64("key").alias("request"), "key", F.lit(10).cast("long").alias("need"))

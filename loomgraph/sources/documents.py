@@ -402,13 +402,13 @@ def multiblocks(spark: SparkSession, path: str, aliases: DataFrame | None = None
     listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
     each = places.select("registry", "at", F.explode(listed).alias("element"))
     if aliases is not None:
-        each = each.join(aliases.withColumnsRenamed({"alias": "element", "element": "real"}), "element", "left").withColumn("element", F.coalesce("real", "element"))
+        each = each.join(aliases.select(F.col("alias").alias("element"), F.col("element").alias("real")), "element", "left").withColumn("element", F.coalesce("real", "element"))
     meta = F.when(F.col("element").contains("@"), F.substring_index("element", "@", -1))
     base = F.when(meta.isNotNull(), F.regexp_replace("element", "@[^@]*$", "")).otherwise(F.col("element"))
     each = each.where(F.col("element").contains(":")).select("registry", "at", K.norm_key(base, meta).alias("key"), K.norm_key(base).alias("plain"))
     if known is not None:
         have = known.select("key", F.lit(True).alias("exact")).distinct()
-        each = each.join(have, "key", "left").join(have.withColumnsRenamed({"key": "plain", "exact": "is_plain"}), "plain", "left")
+        each = each.join(have, "key", "left").join(have.select(F.col("key").alias("plain"), F.col("exact").alias("is_plain")), "plain", "left")
         each = each.withColumn("key", F.when(F.col("exact").isNull() & F.col("is_plain"), F.col("plain")).otherwise(F.col("key")))
     sets = each.groupBy("registry", "at").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # blocks of one position
     counted = sets.groupBy("registry", "keys").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("position"))

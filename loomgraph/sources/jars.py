@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..operators.store import settled
 
 ENTRY = "jar string, entry string, text string"
 
@@ -73,36 +74,52 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _LEAF = "type string, modid string, value string, `values` array<string>"
 #: Levels of conditions within conditions, and of constants within constants, that are followed.
-DEEPEST = 8
-
-
-def _verdict(node: Column, mods: Column, depth: int = 0) -> Column:
-    """A condition's truth, null where it cannot be told: SQL's own and, or and
-    not are three-valued."""
-    c = F.from_json(node, _LEAF)
-    leaf = F.when(c.type == "forge:mod_loaded", F.coalesce(F.array_contains(mods, c.modid), F.lit(False))).when(c.type == "forge:false", F.lit(False))
-    if depth == DEEPEST:
-        return leaf
-    within = lambda n: _verdict(n, mods, DEEPEST if depth + 1 >= 2 else depth + 1)
-    parts = F.transform(c["values"], within)
-    all_met = F.when(F.exists(parts, lambda p: ~p), F.lit(False)).when(F.exists(parts, lambda p: p.isNull()), F.lit(None).cast("boolean")).otherwise(F.lit(True))
-    any_met = F.when(F.exists(parts, lambda p: p), F.lit(True)).when(F.exists(parts, lambda p: p.isNull()), F.lit(None).cast("boolean")).otherwise(F.lit(False))
-    some = F.size(c["values"]) > 0
-    return leaf.when(c.type == "forge:not", ~within(c.value)).when((c.type == "forge:and") & some, all_met).when((c.type == "forge:or") & some, any_met)
-
-
-def conditions(documents: DataFrame, mods: DataFrame) -> DataFrame:
-    """``documents`` (text, ...) with met: whether all of their conditions are,
-    null where that cannot be told; without conditions they are.  Conditions
-    within conditions are followed for two levels; what is deeper cannot be
-    told.  ``mods`` (modid) is one list of a pack."""
-    known = F.array(*[F.lit(r.modid) for r in mods.orderBy("modid").collect()]).cast("array<string>")  # the mods of one pack
+DEEPEST = 32
+
+
+def _three_valued(kind: str, verdict: str = "verdict") -> Column:
+    """And, or, and not of a group's verdicts, null where it cannot be told."""
+    v = F.col(verdict)
+    some_false, some_true, some_null = F.bool_or(~v), F.bool_or(v), F.bool_or(v.isNull())
+    null = F.lit(None).cast("boolean")
+    all_met = F.when(some_false, False).when(some_null, null).otherwise(True)
+    any_met = F.when(some_true, True).when(some_null, null).otherwise(False)
+    return F.when(F.first(kind) == "forge:or", any_met).when(F.first(kind) == "forge:not", ~F.first(verdict)).otherwise(all_met)
+
+
+def conditions(documents: DataFrame, mods: DataFrame, id_cols: tuple[str, ...] = ("jar", "entry")) -> DataFrame:
+    """``documents`` (id_cols, text, ...) with met: whether all of their
+    conditions are, null where that cannot be told; without conditions they are.
+    A condition is that a mod is loaded (``mods``: modid), false, or not, and,
+    or of conditions; any other cannot be told.  Conditions are taken apart
+    level by level, and their verdicts gathered from the deepest level up."""
+    spark, ids = documents.sparkSession, list(id_cols)
     text = F.get_json_object("text", "$.conditions")
-    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text))
-    rows = documents.withColumns({"_text": text, "_each": F.transform(listed, lambda n: _verdict(n, known))})
-    told = F.when(F.exists("_each", lambda v: ~v), F.lit(False)).when(F.exists("_each", lambda v: v.isNull()), F.lit(None).cast("boolean")).otherwise(F.lit(True))
-    met = F.when(F.col("_text").isNull() | F.col("_text").isin("[]", "{}", "null"), F.lit(True)).otherwise(told)
-    return rows.withColumn("met", met).drop("_text", "_each")
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text)).when(text.isNotNull() & (text != "null"), F.array(F.lit("")))
+    top = documents.select(*ids, F.posexplode(listed).alias("i", "node")).select(*ids, F.lit("").alias("above"), F.col("i").cast("string").alias("path"), "node")
+    levels = [settled(spark, top)]
+    while levels[-1].limit(1).count():
+        if len(levels) > DEEPEST:
+            raise ValueError(f"conditions are nested deeper than {DEEPEST}")
+        c = levels[-1].withColumn("c", F.from_json("node", _LEAF))
+        below = F.when(F.col("c.type") == "forge:not", F.array("c.value")).when(F.col("c.type").isin("forge:and", "forge:or"), F.col("c.values"))
+        inner = c.select(*ids, F.col("path").alias("above"), F.posexplode(below).alias("i", "node"))
+        levels.append(settled(spark, inner.select(*ids, "above", F.concat_ws(".", "above", F.col("i").cast("string")).alias("path"), "node")))
+    loaded = mods.select("modid", F.lit(True).alias("loaded")).distinct()
+    inner = None
+    for level in reversed(levels[:-1]):
+        rows = level.withColumn("c", F.from_json("node", _LEAF)).select(*ids, "above", "path", F.col("c.type").alias("kind"), F.col("c.modid").alias("modid")).join(loaded, "modid", "left")
+        leaf = F.when(F.col("kind") == "forge:mod_loaded", F.coalesce("loaded", F.lit(False))).when(F.col("kind") == "forge:false", F.lit(False))
+        if inner is not None:
+            of = inner.join(rows.select(*ids, F.col("path").alias("above"), "kind"), [*ids, "above"]).groupBy(*ids, "above").agg(_three_valued("kind").alias("within"))
+            rows = rows.join(of.withColumnRenamed("above", "path"), [*ids, "path"], "left")
+        else:
+            rows = rows.withColumn("within", F.lit(None).cast("boolean"))
+        inner = settled(spark, rows.select(*ids, "above", "path", F.coalesce(leaf, "within").alias("verdict")))
+    if inner is None:
+        return documents.withColumn("met", F.lit(True))
+    whole = inner.withColumn("kind", F.lit("forge:and")).groupBy(*ids).agg(_three_valued("kind").alias("told"), F.lit(True).alias("has"))
+    return documents.join(whole, ids, "left").withColumn("met", F.when(F.col("has"), F.col("told")).otherwise(True)).drop("told", "has")
 
 
 _NODE = "item string, ore string, tag string, type string, data string, meta string"
@@ -113,7 +130,8 @@ def _alternatives(nodes: DataFrame, constants: DataFrame) -> DataFrame:
     tag, a list of such, or a constant ``#name`` of its namespace (ns, name,
     node).  Lists and constants are opened round by round; a constant that leads
     back to itself has no alternatives."""
-    level = nodes.select("at", "ns", "node", F.array().cast("array<int>").alias("alt"), F.array().cast("array<string>").alias("seen"))
+    spark = nodes.sparkSession
+    level = settled(spark, nodes.select("at", "ns", "node", F.array().cast("array<int>").alias("alt"), F.array().cast("array<string>").alias("seen")))
     found = None
     for _ in range(DEEPEST):
         lists = level.where(F.col("node").startswith("["))
@@ -129,8 +147,11 @@ def _alternatives(nodes: DataFrame, constants: DataFrame) -> DataFrame:
         key = F.when(F.col("group").isNotNull(), K.ore_key("group")).otherwise(K.norm_key(item, F.coalesce("n.data", "n.meta", F.lit("0"))))
         plain = rows.where(F.col("group").isNotNull() | ~(F.col("n.item").startswith("[") | F.col("n.item").startswith("#"))).select("at", "alt", key.alias("key"))
         found = plain if found is None else found.unionByName(plain)
-        level = opened.unionByName(inner).unionByName(called)
-        level = level.where("node IS NOT NULL")
+        level = settled(spark, opened.unionByName(inner).unionByName(called).where("node IS NOT NULL"))
+        if not level.limit(1).count():
+            break
+    else:
+        raise ValueError(f"ingredients are nested deeper than {DEEPEST}")
     return found.where("key IS NOT NULL")
 
 
@@ -143,6 +164,7 @@ def recipe_documents(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     recipe has a slot per sign of its pattern, a shapeless one per distinct list
     of alternatives.
     """
+    entries = settled(entries.sparkSession, entries)  # jars are opened once
     docs = entries.where("text IS NOT NULL AND entry <> 'mcmod.info'").withColumn("ns", _namespace())
     constant = docs.where(F.col("entry").endswith("/_constants.json")).select("ns", F.explode(F.from_json("text", "array<struct<name:string,ingredient:string>>")).alias("c")).select("ns", "c.name", F.col("c.ingredient").alias("node"))
     constant = constant.groupBy("ns", "name").agg(F.max("node").alias("node"))

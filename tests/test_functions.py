@@ -31,6 +31,7 @@ def rows(spark):
         ("-stock < -5", {"fluid:water"}),
         ("(stock == 0 or live) and contains(lower(label), 'o')", {"m:a", "m:b:2"}),
         ("matches(key, '^m:[ab]$')", {"m:a"}),
+        ("matches(lower(label), '^i.*\\\\s')", {"m:a"}),
         ("len(label) == 6", {"m:b:2"}),
         ("label == 3", set()),
         ("label != 3", {"m:a", "m:b:2", "fluid:water"}),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.plans import queries
+from loomgraph.plans import workshop_queries as queries  # both graphs'
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
