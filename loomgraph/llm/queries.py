@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, ngram_join, packing, quality_rules, secrets, sharding, token_records, toxicity
+from . import exact_dedup, fingerprints, license_scan, mixing, ngram_join, packing, quality_rules, secrets, sharding, token_records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_records": token_records.op9_token_records,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_order_minhash": fingerprints.op13_order_minhash,
     "op1_ngram_jaccard_links": ngram_join.op1_ngram_jaccard_links,
     "op3_wrapped_license_scan": license_scan.op3_wrapped_license_scan,
 }
