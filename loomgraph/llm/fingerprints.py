@@ -137,7 +137,7 @@ def edited_fingerprints(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     ids = scratch.store(ids, "ids")
     repeats = (ids.agg(F.max("n")).first()[0] or 0) > 1
     follows = scratch.store(next_ids(ids.drop("n"), scratch).select(F.col("doc_id").alias("for_id"), "next_id", "need"), "next")
-    marked = with_fingerprint(rows, "text", "fp").repartition("doc_id")
+    marked = with_fingerprint(rows, "text", "fp")  # both joins below read one shuffle of it
     source = marked.groupBy("doc_id").agg(F.min(F.struct("text", "fp")).alias("s")).select("doc_id", "s.*") if repeats else marked
     source = source.join(follows.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("next_id")))
     heads = source.select("for_id", F.expr("substring(text, 1, need)").alias("head"), F.col("fp").alias("next_fp"))
