@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -386,6 +387,117 @@ def test_full_shards_stay(spark, tmp_path):
     assert {r.file for r in store.manifest()[1].collect()} == before  # each is beyond the target
 
 
+def _steps(monkeypatch, store, each):
+    """Calls ``each`` before and after every step of a writer that a vacuum can
+    come between: what it declares, writes, reads and names."""
+
+    def wrap(owner, name):
+        before, busy = getattr(owner, name), []
+
+        def run(*args, **kw):
+            if busy:
+                return before(*args, **kw)
+            busy.append(1)
+            try:
+                each()
+                out = before(*args, **kw)
+                each()
+                return out
+            finally:
+                busy.pop()
+
+        monkeypatch.setattr(owner, name, run)
+
+    for name in ("_begin", "_written", "manifest", "_check", "_named", "_end"):
+        wrap(type(store), name)
+
+
+def test_vacuum_between_all_steps_of_a_writer(spark, tmp_path, monkeypatch):
+    """Whatever step of an append or a merge a vacuum comes between, all rows
+    that were appended are there, and nothing else is left."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, fanout=2, smallest=1 << 12)
+    store.append(spark.range(10).coalesce(1))
+    plain, calls = sharding.ShardStore.vacuum, []
+    other = sharding.ShardStore(spark, store.path, target=1 << 20, fanout=2, smallest=1 << 12)
+
+    def vacuum():
+        if not calls or calls[-1] != "in":
+            calls.append("in")
+            plain(other)
+            calls.append("out")
+
+    with monkeypatch.context() as m:
+        _steps(m, store, vacuum)
+        store.append(spark.range(10, 20).coalesce(1))
+        store.compact()
+        assert sorted(r.id for r in store.read().collect()) == list(range(20))
+    assert calls.count("in") > 20
+    store.vacuum()
+    files = {r.file for r in store.manifest()[1].collect()}
+    left = {str(p) for p in tmp_path.rglob("data/*/*.parquet")}
+    assert left == {re.sub("^file:/+", "/", f) for f in files} and len(store.versions()) == 1
+    assert len(list(tmp_path.glob("store/_manifests/*"))) == 1 and not list(tmp_path.glob("store/_open/*"))
+
+
+def test_vacuum_keeps_versions_and_says_what_is_gone(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20, fanout=2, smallest=1 << 12)
+    for k in range(4):
+        store.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+        store.compact()
+    numbers = [v for v, _ in store.versions()]
+    rows = {v: sorted(r.id for r in store.read(v).collect()) for v in numbers}
+    store.vacuum(keep=3)
+    assert [v for v, _ in store.versions()] == numbers[-3:]
+    assert {v: sorted(r.id for r in store.read(v).collect()) for v in numbers[-3:]} == {v: rows[v] for v in numbers[-3:]}
+    with pytest.raises(ValueError, match="not kept"):
+        store.read(numbers[0])
+    with pytest.raises(ValueError, match="no version"):
+        store.read(numbers[-1] + 1)
+    with pytest.raises(ValueError):
+        store.vacuum(keep=0)
+    assert store.append(spark.range(40, 45).coalesce(1)) == numbers[-1] + 1  # numbers are not given out again
+    assert sorted(r.id for r in store.read().collect()) == list(range(45))
+
+
+def test_a_dead_run_goes_after_the_grace_and_its_writer_is_told(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1 << 20)
+    store.append(spark.range(10).coalesce(1))
+    run = store._begin()
+    spark.range(5).coalesce(1).write.parquet(f"{store.path}/data/{run}")
+    (tmp_path / "store/_versions/draft-x").write_text("half")
+    store.vacuum()
+    assert list(tmp_path.glob(f"store/data/{run}/*.parquet")) and (tmp_path / "store/_versions/draft-x").exists()
+    store.vacuum(grace=-1)
+    assert not (tmp_path / f"store/data/{run}").exists() and not (tmp_path / "store/_versions/draft-x").exists()
+    with pytest.raises(sharding.Expired):
+        store._committed(run, lambda version, files: files)
+    assert store.read().count() == 10 and len(store.versions()) == 1
+
+
+def test_random_appends_merges_and_vacuums(spark, tmp_path):
+    """The store against a list of what was appended, and each kept version
+    against what it held when it was made."""
+    rng, rows, seen = random.Random(11), [], {}
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=40_000, fanout=3, smallest=1000)
+    for step in range(24):
+        what = rng.choice(["append", "append", "append", "compact", "vacuum"])
+        if what == "append":
+            more = [(step, rng.random(), None if rng.random() < 0.1 else "x") for _ in range(rng.choice([0, 1, 40, 2000]))]
+            rows += more
+            store.append(spark.createDataFrame(more, "doc_id long, x double, file string").coalesce(rng.choice([1, 2])))
+        elif what == "compact":
+            store.compact()
+        else:
+            store.vacuum(keep=rng.choice([1, 2, 5]))
+        kept = [v for v, _ in store.versions()]
+        if kept:
+            seen[kept[-1]] = len(rows)
+    for v in [v for v, _ in store.versions()][-3:]:
+        if seen.get(v):
+            assert store.read(v).count() == seen[v]
+    assert Counter(map(tuple, store.read().collect())) == Counter(rows)
+
+
 # Pipeline
 
 
