@@ -97,6 +97,15 @@ def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(table) if size <= limit else table
 
 
+def names_beside(df: DataFrame, *wanted: str) -> dict[str, str]:
+    """A name for each of ``wanted`` that no column of ``df`` has, in any case:
+    it after as few underscores as do."""
+    prefix, taken = "_", {c.lower() for c in df.columns}
+    while any(prefix + w in taken for w in wanted):
+        prefix += "_"
+    return {w: prefix + w for w in wanted}
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z as a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, names_beside
 
 #: Characters of a word; a longer one is several words.
 WORD = 16
@@ -33,12 +33,6 @@ _PLACE = (1 << PLACE_BITS) - 1
 _HASH = f"{-(1 << PLACE_BITS)}L"
 
 
-def _names(df: DataFrame, *wanted: str) -> dict[str, str]:
-    """A name for each of ``wanted`` that no column of ``df`` has in any case."""
-    prefix = "_" * (1 + max([0, *(len(c) for c in df.columns)]))
-    return {w: prefix + w for w in wanted}
-
-
 def _slot(x: str, slots: int) -> str:
     return f"shiftrightunsigned({x}, {64 - (slots - 1).bit_length()})"
 
@@ -56,7 +50,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, slots: int
     """
     if slots & (slots - 1) or slots < 2:
         raise ValueError("slots has to be a power of two")
-    c = _names(df, "words", "w", "h", "run", "s", "q", "n")
+    c = names_beside(df, "words", "w", "h", "run", "s", "q", "n")
     keep = [f"`{x}`" for x in df.columns]
 
     def step(now: DataFrame, **made: str) -> DataFrame:

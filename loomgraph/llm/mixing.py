@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, names_beside, sized
 
 #: Tokens of a block, on average.
 BLOCK_TOKENS = 1 << 18
@@ -95,17 +95,25 @@ class Mix:
     seed: int
 
 
-def _keyed(docs: DataFrame, source_col: str, tokens: Column, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """The columns that decide about a row.  A null source is one of its own; in
-    place of a null id, the text's hash spreads and orders rows."""
-    given = F.col(id_col).cast("long")
-    return docs.withColumns(
-        {"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")), "_tokens": tokens, "_id": F.coalesce(given, F.xxhash64(text_col)), "_none": given.isNull()}
-    ).withColumns({"_spread": F.xxhash64("_id", "_none", F.lit(seed)), "_order": F.xxhash64(F.lit(seed), "_none", "_id")})
+def names_of(docs: DataFrame) -> dict[str, str]:
+    """What the columns that a mix adds to ``docs`` are called."""
+    return names_beside(docs, *"key tokens id spread order s_key s_blocks block b_key b_block nths epochs part c_order c_id has_cut copies epoch nth".split())
+
+
+def _keyed(docs: DataFrame, source_col: str, text_col: str, seed: int, id_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that decide about a row (key, tokens, id,
+    spread, order), and the names that these and others have beside those of
+    ``docs``.  A null source is one of its own; in place of a null id, the
+    text's hash spreads and orders rows."""
+    n = names_of(docs)
+    source, text, given = F.col(f"`{source_col}`"), F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumns({n["key"]: F.coalesce(F.concat(F.lit("="), source), F.lit("null")), n["tokens"]: token_count(text), n["id"]: F.coalesce(given, F.xxhash64(text))})
+    return rows.withColumns({n["spread"]: F.xxhash64(n["id"], given.isNull(), F.lit(seed)), n["order"]: F.xxhash64(F.lit(seed), given.isNull(), n["id"])}), n
 
 
 def decide(docs: DataFrame, scratch: Scratch, target: Target = Target(), source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> Mix:
-    rows = _keyed(docs, source_col, token_count(F.col(text_col)), seed, id_col, text_col).select("_key", "_tokens", "_id", "_spread", "_order")
+    rows, n = _keyed(docs, source_col, text_col, seed, id_col)
+    rows = rows.select(*[F.col(n[c]).alias(f"_{c}") for c in ("key", "tokens", "id", "spread", "order")])
     rows = scratch.store(rows, "tokens")
     sources = scratch.store(rows.groupBy("_key").agg(F.sum("_tokens").alias("tokens")).withColumnRenamed("_key", "key"), "sources")
     a = exponent(sources, target)
@@ -142,24 +150,27 @@ def decide(docs: DataFrame, scratch: Scratch, target: Target = Target(), source_
 
 def realise(docs: DataFrame, mix: Mix, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The mix's rows: each row of ``docs`` once per epoch that has it, with the
-    columns of ``docs`` and _key, _tokens, _epoch, _block, _nth.
+    columns of ``docs`` and _key, _tokens, _epoch, _block, _nth (under the names
+    of ``names_of``, which have more underscores if ``docs`` has such columns).
 
     The decisions per block are joined to the rows where they are read, and
-    texts are not shuffled, as long as the table of blocks is small.
+    texts are not shuffled, as long as the table of blocks is small.  Defined
+    results are those of ``temperature_mix``.
     """
-    rows = _keyed(docs, source_col, token_count(F.col(text_col)), mix.seed, id_col, text_col)
-    sources = mix.sources.select(F.col("key").alias("_s_key"), F.col("n_blocks").alias("_s_blocks"))
-    rows = rows.join(sized(sources), F.col("_key") == F.col("_s_key")).withColumn("_block", F.pmod("_spread", "_s_blocks"))
+    rows, n = _keyed(docs, source_col, text_col, mix.seed, id_col)
+    c = {w: F.col(name) for w, name in n.items()}
+    sources = mix.sources.select(F.col("key").alias(n["s_key"]), F.col("n_blocks").alias(n["s_blocks"]))
+    rows = rows.join(sized(sources), c["key"] == c["s_key"]).withColumn(n["block"], F.pmod(c["spread"], c["s_blocks"]))
     blocks = mix.blocks.select(
-        F.col("key").alias("_b_key"), F.col("block").alias("_b_block"), F.col("nths").alias("_nths"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"),
-        F.col("cut._order").alias("_c_order"), F.col("cut._id").alias("_c_id"), F.col("has_cut").alias("_has_cut"),
+        F.col("key").alias(n["b_key"]), F.col("block").alias(n["b_block"]), F.col("nths").alias(n["nths"]), F.col("epochs").alias(n["epochs"]), F.col("part").alias(n["part"]),
+        F.col("cut._order").alias(n["c_order"]), F.col("cut._id").alias(n["c_id"]), F.col("has_cut").alias(n["has_cut"]),
     )
-    rows = rows.join(sized(blocks), (F.col("_key") == F.col("_b_key")) & (F.col("_block") == F.col("_b_block")))
-    within = F.expr("_has_cut AND (_order < _c_order OR (_order = _c_order AND _id <= _c_id))")
-    copies = F.col("_epochs") + F.when(F.col("_part") == "all", 1).when((F.col("_part") == "prefix") & within, 1).otherwise(0)
-    rows = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    nth = F.get("_nths", F.col("_epoch").cast("int")).alias("_nth")
-    return rows.select(*docs.columns, "_key", "_tokens", "_epoch", "_block", nth)
+    rows = rows.join(sized(blocks), (c["key"] == c["b_key"]) & (c["block"] == c["b_block"]))
+    within = c["has_cut"] & ((c["order"] < c["c_order"]) | ((c["order"] == c["c_order"]) & (c["id"] <= c["c_id"])))
+    copies = c["epochs"] + F.when(c["part"] == "all", 1).when((c["part"] == "prefix") & within, 1).otherwise(0)
+    rows = rows.withColumn(n["copies"], copies).where(c["copies"] > 0).withColumn(n["epoch"], F.explode(F.sequence(F.lit(0).cast("long"), c["copies"] - 1)))
+    nth = F.get(n["nths"], c["epoch"].cast("int")).alias(n["nth"])
+    return rows.select(*[f"`{x}`" for x in docs.columns], n["key"], n["tokens"], n["epoch"], n["block"], nth)
 
 
 def temperature_mix(docs: DataFrame, target: Target = Target(), source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
@@ -167,12 +178,11 @@ def temperature_mix(docs: DataFrame, target: Target = Target(), source_col: str
 
     Defined results: a null source is a source of its own; null and empty texts
     have one token, the end token; rows that repeat an id, or that have none and
-    the same text, stay or go together in an epoch; other columns, whatever their names (but
-    for those that begin with an underscore and are used here), are carried
-    along; an empty table gives an empty result.
+    the same text, stay or go together in an epoch; other columns, whatever
+    their names, are carried along; an empty table gives an empty result.
     """
     mix = decide(docs, Scratch(docs.sparkSession, "mixing"), target, source_col, text_col, id_col, seed)
-    return realise(docs, mix, source_col, text_col, id_col).select(*docs.columns)
+    return realise(docs, mix, source_col, text_col, id_col).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

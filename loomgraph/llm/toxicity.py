@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -29,6 +29,8 @@ TABLES = 1 + len(STEMS)
 WIDTHS, FILTERS = (1, 2, 3), 12
 #: Labelled rows that the classifier trains on at most, toxic and clean.
 TOXIC, CLEAN = 1500, 2500
+#: Bytes of the texts that train, together: what comes to the driver is bounded.
+TRAIN_BYTES = 64 << 20
 #: One in FOLDS labelled rows, by a hash of the id, only calibrates.
 FOLDS = 3
 #: Steps of a logit of 1 in the histogram that calibration reads, and its ends.
@@ -235,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[Model, dict[
     """The classifier and the thresholds by language, from labelled rows whose
     ids are not held out.  One in FOLDS of them, by a hash of the id, calibrates
     and never trains; of the others, TOXIC and CLEAN with the least hashes
-    train.  All rows of the calibration fold count; if it has labels of one
+    train, as far as their texts have TRAIN_BYTES together (of an id that
+    repeats, the least text).  All rows of the calibration fold count; if it has labels of one
     kind only, scores stay as trained and every threshold is CUT."""
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -243,7 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[Model, dict[
     order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
     parts = [marks.where(~calibrates & (F.col("toxic") == t)).orderBy(*order).limit(n) for t, n in ((1, TOXIC), (0, CLEAN))]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most TOXIC + CLEAN rows
-    rows = docs.join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_code_rows, "doc_id long, codes binary, toxic int").collect()
+    # a row per id, however often the table has it, and TRAIN_BYTES of text in the order of the hashes
+    bounded = docs.join(chosen, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    bounded = bounded.withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order)))
+    rows = bounded.where(F.col("upto") <= TRAIN_BYTES).select("doc_id", "text", "toxic").mapInArrow(_code_rows, "doc_id long, codes binary, toxic int").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.codes)))
     if len({r.toxic for r in rows}) < 2:
         return Model([np.zeros((1 << BITS, DIM), np.float32)] * TABLES, [np.zeros((w, TABLES * DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), -3.0), {}

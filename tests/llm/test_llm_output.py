@@ -247,6 +247,64 @@ def test_rows_without_ids_are_spread(spark, monkeypatch):
     assert len(blocks) >= 12 and max(blocks.values()) < 60 and sum(blocks.values()) == 301
 
 
+def brute_mix(rows, target, exponent, seed=0):
+    """Which rows (place in ``rows``, key, tokens, epoch, block, nth) a mix has."""
+    from tests.llm.test_llm_search import spark_hash
+
+    facts, of = [], defaultdict(int)
+    for at, (doc_id, source, text) in enumerate(rows):
+        none = (int(doc_id is None),)
+        key, n = "null" if source is None else "=" + source, len(re.findall("[^\x20\x09-\x0d]+", text or "")) + 1
+        row_id = doc_id if doc_id is not None else spark_hash(text) if text is not None else 42
+        facts.append((at, key, n, spark_hash(row_id, none, (seed,)), spark_hash((seed,), none, row_id), row_id))
+        of[key] += n
+    total, raw = sum(of.values()), {k: (n / sum(of.values())) ** exponent for k, n in of.items()}
+    out = []
+    for key, n in of.items():
+        budget = math.floor(raw[key] / sum(raw.values()) * (target.tokens or total) + 1e-6)
+        budget = min(budget, math.floor(n * target.repeats)) if target.repeats is not None else budget
+        epochs, rest, n_blocks = budget // n, budget % n, math.ceil(n / mixing.BLOCK_TOKENS)
+        blocks = defaultdict(list)
+        for f in facts:
+            if f[1] == key:
+                blocks[f[3] % n_blocks].append(f)
+        for epoch in range(epochs + 1):
+            ahead = 0
+            for nth, b in enumerate(sorted(blocks, key=lambda b: (spark_hash((seed,), key, b, epoch), b)), 1):
+                size, room = sum(f[2] for f in blocks[b]), rest - ahead
+                if epoch < epochs or size <= room:
+                    taken = blocks[b]
+                else:
+                    inner = sorted({(f[4], f[5]) for f in blocks[b]})
+                    upto = {x: sum(f[2] for f in blocks[b] if (f[4], f[5]) <= x) for x in inner}
+                    taken = [f for f in blocks[b] if 0 < room >= upto[f[4], f[5]]]
+                out += [(f[0], key, f[2], epoch, b, nth) for f in taken]
+                ahead += size
+    return out
+
+
+@pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(1.0, None), mixing.Target(None, 1.5, 4000), mixing.Target(0.9, 2.0, 900)])
+def test_mix_against_brute_force(spark, monkeypatch, target):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    rng = random.Random(4)
+    rows = [(rng.choice([i, i, i, None, 3]), rng.choice(["a"] * 8 + ["b", "c", None, "null"]), rng.choice([None, "", "x", f"w{i} " * rng.randint(1, 25)])) for i in range(260)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, source string, text string, at long")
+    mix = mixing.decide(docs, Scratch(spark, "test-brute-mix"), target)
+    got = mixing.realise(docs, mix).select("at", "_key", "_tokens", "_epoch", "_block", "_nth").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_mix(rows, target, mix.exponent))
+
+
+def test_mix_leaves_the_callers_columns(spark):
+    rows = [(i, "ab"[i % 2], f"t{i} " * (i % 9), "mine", i, [i], 1, 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _key string, _TOKENS long, _epochs array<long>, __nth int, `a b.c` int")
+    assert min(mixing.names_of(docs).values()).startswith("___")
+    plain = mixing.temperature_mix(docs.select("doc_id", "source", "text"), mixing.Target(1.0, None))
+    out = mixing.temperature_mix(docs, mixing.Target(1.0, None))
+    assert out.columns == docs.columns
+    assert set(map(str, out.collect())) <= set(map(str, docs.collect()))
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in plain.collect())
+
+
 def test_token_counts(spark):
     rows = spark.createDataFrame([(None,), ("",), (" \x0b",), ("a",), (" a\tb\n",)], "t string")
     assert [r[0] for r in rows.select(mixing.token_count(F.col("t"))).collect()] == [1, 1, 1, 2, 3]

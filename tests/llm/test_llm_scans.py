@@ -272,3 +272,18 @@ def test_scratch_tables_are_dropped(spark):
     for path in made:
         fs = spark._jvm.org.apache.hadoop.fs.Path(path)
         assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+def test_toxicity_trains_on_a_bound_of_bytes_and_a_row_per_id(spark, monkeypatch):
+    """An id that repeats is one row, and texts beyond the bound do not train."""
+    rows = [(i, ("vile " if i % 3 == 0 else "kind ") * (1 + i % 5), "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, before = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda codes, first, y, seed=0: (seen.append((len(y), len(codes))), before(codes, first, y, seed=seed))[1])
+    plain, _ = toxicity.fit(docs, labels)
+    again, _ = toxicity.fit(docs.union(docs).union(docs), labels)
+    assert seen[0] == seen[1] and all(np.array_equal(a, b) for a, b in zip(plain.tables, again.tables))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400)
+    toxicity.fit(docs, labels)
+    assert 0 < 5 * seen[2][1] <= 400 < 5 * seen[0][1]
