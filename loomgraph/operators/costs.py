@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import Graph, real_outputs
+from .cycles import merged_uses
+from .graph import Graph, producers_any_variant, real_outputs, wildcard_stock
 from .store import settled
 
 #: Penalties and prices of machines by their state.
@@ -300,22 +301,6 @@ def estimate(g: Graph, seed: DataFrame, machines: DataFrame | None = None, struc
     return cost, entry
 
 
-def sensitivity(g: Graph, seed: DataFrame, values: list[float]) -> DataFrame:
-    """(value, keys, moved): for each flat price of a machine in ``values``, how
-    many keys have a price, and how many of them another best recipe than at the
-    first of the values.  One relaxation per value."""
-    out, first = None, None
-    for value in values:
-        entry = g.recipe.select("category").distinct().withColumn("entry_cost", F.lit(float(value)))
-        cost, _ = relax(g, seed, entry)
-        best = settled(g.recipe.sparkSession, best_recipes(g, cost, entry).select("key", "rid"))
-        first = best if first is None else first
-        moved = best.join(first.withColumnRenamed("rid", "first"), "key", "left").agg(F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("rid").eqNullSafe(F.col("first"))).alias("moved"))
-        row = moved.select(F.lit(float(value)).alias("value"), "keys", "moved")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(key, hop): keys by how many steps along (a, b) they are from ``start``,
     all that can be reached."""
@@ -334,40 +319,70 @@ def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
-def scores(g: Graph, cost: DataFrame, entry: DataFrame | None = None, states: DataFrame | None = None, mineable: DataFrame | None = None) -> DataFrame:
-    """(key, rid, and what ranks a route, best first where greater): production,
-    price (negated), satisfied (the share of its slots in stock), ore_backed (1
-    if it has raw slots and all can be mined), plain (minus its slots and
-    outputs), machine (2 have, 1 buildable or unknown, 0 unavailable)."""
-    spark = g.recipe.sparkSession
-    r = rules(g, entry)
-    n = cost.count()
-    priced = recipe_prices(r.slots, node_prices(r, cost, n), n + r.n_more)
-    rows = r.outputs.join(priced, "rid").select("key", "rid", F.expr(PER_UNIT).alias("price"))
-    have = g.stock.where("qty > 0").select("key", F.lit(1).alias("have")).distinct()
-    made = g.output.select("key", F.lit(1).alias("made")).distinct()
-    found = (mineable if mineable is not None else g.stock.limit(0)).select("key", F.lit(1).alias("found")).distinct()
-    alts = g.slot.select("rid", "slot", "key").join(have, "key", "left").join(made, "key", "left").join(found, "key", "left")
-    slots = alts.groupBy("rid", "slot").agg(F.max("have").alias("have"), F.max("made").alias("made"), F.max("found").alias("found"))
-    raw = F.col("made").isNull()
-    facts = slots.groupBy("rid").agg(
-        F.count("have").alias("n_have"), F.count(F.lit(1)).alias("n_slots"), F.count_if(raw).alias("n_raw"), F.count_if(raw & F.col("found").isNotNull()).alias("n_found")
-    )
-    outs = g.output.groupBy("rid").agg(F.count(F.lit(1)).alias("n_out"))
-    about = g.recipe.select("rid", "category", "not_production").join(facts, "rid").join(outs, "rid")
-    rank = F.lit(1)
+def scores(
+    g: Graph, cost: DataFrame, entry: DataFrame | None = None, states: DataFrame | None = None, mineable: DataFrame | None = None,
+    free: DataFrame | None = None, craftable: DataFrame | None = None, raw: DataFrame | None = None, planning: bool = False,
+) -> DataFrame:
+    """(key, rid, what ranks a route, best first where greater, and its offer).
+
+    production: neither a transfer nor marked as none.  clean: minus the slots
+    that take the key itself, where a plan is made (``planning``); 0 where
+    routes are only shown.  cheap: minus the price of one run, each slot at the
+    alternative that would be taken (infinite if one has no price).  uncycled:
+    minus the slots that take what the recipe makes.  satisfied: slots that are
+    covered by stock, craftable or free.  ore_backed: 1 if there are dead ends
+    and all can be mined.  plain: 1 / (1 + slots), and a tenth for what is made
+    by hand.  machine: 2 have, 1 buildable or unknown, 0 unavailable.  Slots
+    that take one key with one chance count as one; a slot that stock covers is
+    in no cycle.
+
+    A dead end is an ore group without members, what the user calls raw, and
+    what stock does not cover and nothing makes, under a digest or without; what
+    is free or craftable is none.  offer: what two routes have in common that
+    are the same offer: slots by their number of alternatives and quantity, the
+    expected yield, the category, and whether they are production.
+    """
+    picks = settled(g.recipe.sparkSession, pick_alternatives(g, cost, free, craftable))
+    uses = settled(g.recipe.sparkSession, merged_uses(g, picks))
+    none = g.stock.select("key").limit(0)
+    named = lambda table, name: (table if table is not None else none).select("key", F.lit(True).alias(name)).distinct()
+    routable = producers_any_variant(g).join(g.recipe.select("rid", "transfer", "not_production"), "rid").where("not_production IS NULL").where(~(F.col("transfer") & (K.kind_of("key") == "fluid")))
+    rows = uses.join(wildcard_stock(g, uses), "key", "left").join(cost, "key", "left")
+    for name, table in (("is_free", free), ("is_craftable", craftable), ("is_raw", raw), ("is_found", mineable), ("is_routable", routable)):
+        rows = rows.join(named(table, name), "key", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    ore = K.kind_of("key") == "ore"
+    price = F.coalesce("cost", F.when(ore, K.BASE_RAW_COST)) * K.scaled_qty("qty", 1.0, "key") * F.when(F.col("p") == 0, 1.0).otherwise(F.col("p"))
+    covered = F.col("have") >= F.col("qty")
+    got = covered | F.col("is_craftable") | F.col("is_free")
+    dead = F.when(ore, True).when(F.col("is_free") | F.col("is_craftable"), False).when(F.col("is_raw"), True).when(covered, False).otherwise(~F.col("is_routable"))
+    rows = settled(g.recipe.sparkSession, rows.select("rid", "key", "qty", "options", price.alias("price"), covered.alias("covered"), got.alias("got"), dead.alias("dead"), (dead & F.col("is_found")).alias("found")))
+    facts = rows.groupBy("rid").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.sum("price").alias("price"), F.count_if("got").alias("satisfied"), F.count_if("dead").alias("n_dead"), F.count_if("found").alias("n_found"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", "options", "qty"))), " ").alias("slots"),  # one recipe's
+    )
+    outs = g.output.groupBy("rid", "key").agg(F.sum(F.col("qty") * F.col("q")).alias("yield"))
+    took = rows.where(~F.col("covered")).select("rid", F.col("key").alias("took"))
+    own = took.join(outs.select("rid", F.col("key").alias("took")), ["rid", "took"])
+    cyclic = outs.select("rid", "key").join(own, "rid").groupBy("rid", "key").agg(F.count_if(F.col("took") == F.col("key")).alias("direct"), F.count(F.lit(1)).alias("all_own"))
+    about = g.recipe.select("rid", "category", "transfer", "not_production").join(facts, "rid").join(entry if entry is not None else category_entry(g.recipe, None, states), "category")
+    machine = F.lit(1)
     if states is not None:
         about = about.join(states.select("category", "state"), "category", "left")
-        rank = F.when(F.col("state") == "have", 2).when(F.col("state") == "unavailable", 0).otherwise(1)
-    about = about.select(
-        "rid", F.col("not_production").isNull().cast("int").alias("production"), (F.col("n_have") / F.col("n_slots")).alias("satisfied"),
-        ((F.col("n_raw") > 0) & (F.col("n_raw") == F.col("n_found"))).cast("int").alias("ore_backed"), (-(F.col("n_slots") + F.col("n_out"))).alias("plain"), rank.alias("machine"),
+        machine = F.when(F.col("state") == "have", 2).when(F.col("state") == "unavailable", 0).otherwise(1)
+    extra = F.when(F.col("transfer"), TRANSFER_PENALTY).otherwise(0.0) + F.when(F.col("not_production").isNotNull(), NON_PRODUCTION_PENALTY).otherwise(0.0)
+    run = F.when(F.col("unpriced") > 0, F.lit(float("-inf"))).otherwise(F.round(-(F.col("entry_cost") + extra + F.col("price")), 9))
+    out = outs.where(~F.col("key").isNull()).join(about, "rid").join(cyclic, ["rid", "key"], "left").where(~(F.col("transfer") & (K.kind_of("key") == "fluid")))
+    direct, all_own = F.coalesce("direct", F.lit(0)), F.coalesce("all_own", F.lit(0))
+    return out.select(
+        "key", "rid", (~F.col("transfer") & F.col("not_production").isNull()).cast("int").alias("production"), (-direct if planning else F.lit(0).cast("long")).alias("clean"), run.alias("cheap"),
+        (direct - all_own if planning else -all_own).alias("uncycled"), "satisfied", ((F.col("n_dead") > 0) & (F.col("n_dead") == F.col("n_found"))).cast("int").alias("ore_backed"),
+        (1.0 / (1 + F.col("n")) + F.when(K.is_hand_crafting("category"), 0.1).otherwise(0.0)).alias("plain"), machine.alias("machine"),
+        F.concat_ws("|", "slots", F.round("yield", 9).cast("string"), "category", F.col("transfer").cast("string"), F.coalesce("not_production", F.lit(""))).alias("offer"),
     )
-    return rows.join(about, "rid").select("key", "rid", "production", F.round(-F.col("price"), 9).alias("cheap"), "satisfied", "ore_backed", "plain", "machine")
 
 
 #: The order of routes: what comes first decides first.
-RANKS = ("production", "cheap", "satisfied", "ore_backed", "plain", "machine")
+RANKS = ("production", "clean", "cheap", "uncycled", "satisfied", "ore_backed", "plain", "machine")
 
 
 def choose(scored: DataFrame, top: int, pinned: DataFrame | None = None) -> DataFrame:
@@ -382,11 +397,13 @@ def choose(scored: DataFrame, top: int, pinned: DataFrame | None = None) -> Data
 
 
 def interchangeable(scored: DataFrame, least: int = 3) -> DataFrame:
-    """(key, first, alike): keys whose best routes are ``least`` or more of
-    equal rank in everything."""
+    """(key, first, alike): keys whose best route is one of ``least`` or more
+    that are of equal rank in everything and the same offer."""
     best = scored.groupBy("key").agg(F.max(F.struct(*RANKS)).alias("best"))
     top = scored.join(best, "key").where(F.struct(*RANKS) == F.col("best"))
-    return top.groupBy("key").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("alike")).where(F.col("alike") >= least)
+    offers = top.groupBy("key", "offer").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("alike"))
+    chosen = offers.groupBy("key").agg(F.min(F.struct("first", "alike")).alias("b"))
+    return chosen.where(F.col("b.alike") >= least).select("key", "b.first", "b.alike")
 
 
 def best_recipes(g: Graph, cost: DataFrame, entry: DataFrame | None = None) -> DataFrame:

@@ -180,14 +180,6 @@ def mark_not_production(g: Graph, marked: DataFrame) -> DataFrame:
     return mine.groupBy("rid").agg(F.expr("bool_and(coalesce(other, false))").alias("demoted")).where("demoted").select("rid")
 
 
-def drop_non_recipes(recipes: DataFrame, patterns: list[str], kept: list[str] = ()) -> DataFrame:
-    """Without categories whose name has one of the patterns."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit |= F.lower("category").contains(p.lower())
-    return recipes.where(~hit | F.col("category").isin(*kept) if kept else ~hit)
-
-
 def exclusive_dimension(places: DataFrame) -> DataFrame:
     """Keys of (key, dim, name) that come from one dimension alone."""
     return places.groupBy("key").agg(F.count_distinct("dim").alias("dims"), F.min("dim").alias("dim"), F.min_by("name", "dim").alias("name")).where("dims = 1").drop("dims")

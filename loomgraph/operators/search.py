@@ -151,21 +151,58 @@ def search(g: Graph, query: str, max_damage: DataFrame | None = None, limit: int
     return found, counts
 
 
+#: Letters of the longest pieces by which texts are looked up.
+GRAM = 3
+
+
+def _grams(text) -> object:
+    """The pieces of up to GRAM letters of a text, each once."""
+    n = F.length(text)
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, GRAM + 1)]))
+
+
 def resolve(g: Graph, queries: DataFrame) -> DataFrame:
     """(query, key, how) of many queries (query) at once: a query that is a key
     with a label or stock, as written or made a key of, is that key; else the
-    best ranked live or stocked key whose label contains it, else null."""
-    have = g.names.select("key").union(g.stock.select("key")).distinct()
-    asked = queries.select("query").distinct().withColumn("q", F.trim("query"))
+    first key that ``search`` ranks for it, else null.
+
+    Labels and keys are looked up by pieces of up to three letters: a query goes
+    to those that have the rarest piece of its longest term, and all its terms
+    are then looked for there.
+    """
+    spark = g.recipe.sparkSession
+    have = settled(spark, stock_of(g))
+    known = g.names.select("key").union(have.select("key")).distinct()
+    asked = settled(spark, queries.select("query").where("query IS NOT NULL").distinct().withColumn("q", F.trim("query")))
     each = asked.select("query", F.posexplode(F.array("q", K.norm_key("q"))).alias("nth", "key")).where("key <> ''")
-    exact = each.join(have, "key", "left_semi").groupBy("query").agg(F.min_by("key", "nth").alias("exact"))
-    live = settled(g.recipe.sparkSession, live_keys(g).union(g.stock.where("qty > 0").select("key")).distinct().join(g.names.select("key", "label"), "key").select("key", "label", F.lower("label").alias("low")))
-    rest = asked.join(exact, "query", "left_anti").withColumn("low_q", F.lower("q")).where("q <> ''")
-    # a query meets the labels that have its first word, whole or as a word's begin
-    words = live.select("key", "label", "low", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda n: F.substring("word", 1, n))).alias("begin"))
-    met = rest.withColumn("begin", F.get(F.split("low_q", " "), F.lit(0))).join(words.where("begin <> ''"), "begin").where(F.col("low").contains(F.col("low_q")))
-    rank = F.when(F.col("low") == F.col("low_q"), 0).when(F.col("low").startswith(F.col("low_q")), 1).otherwise(2)
-    ranked = met.groupBy("query").agg(F.min(F.struct(rank.alias("rank"), F.length("label"), "label", F.col("key").alias("key"))).alias("b")).select("query", F.col("b.key").alias("ranked"))
+    exact = settled(spark, each.join(known, "key", "left_semi").groupBy("query").agg(F.min_by("key", "nth").alias("exact")))
+
+    stocked = have.where("qty > 0").select("key")
+    named = g.names.select("key", "label").join(live_keys(g).union(stocked).distinct(), "key", "left_semi").withColumn("bare", F.lit(False))
+    bare = have.select("key").join(g.names.select("key"), "key", "left_anti").select("key", F.col("key").alias("label"), F.lit(True).alias("bare"))
+    shown = settled(spark, named.unionByName(bare).withColumns({"low": F.lower("label"), "low_key": F.lower("key")}))
+    index = settled(spark, shown.select("key", "label", F.explode(F.array_union(_grams(F.col("low")), _grams(F.col("low_key")))).alias("gram")).distinct())
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    terms = F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "")
+    rest = asked.join(exact, "query", "left_anti").select("query", terms.alias("terms")).where("size(terms) > 0").withColumn("low_q", F.array_join("terms", " "))
+    longest = F.element_at(F.array_sort(F.transform("terms", lambda t: F.struct(-F.length(t), t.alias("t")))), 1).getField("t")
+    # of the longest term only its longest pieces: each text with the term has all of them
+    width = F.least(F.length(longest), F.lit(GRAM))
+    pieces = rest.select("query", "terms", "low_q", longest.alias("term"), width.alias("width")).select("query", "terms", "low_q", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - F.col("width") + 1), lambda i: F.substring("term", i, F.col("width")))).alias("gram"))
+    rarest = pieces.join(common, "gram", "left").groupBy("query", "terms", "low_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("query", "terms", "low_q", "g.gram")
+    met = rarest.join(index, "gram").select("query", "terms", "low_q", "key", "label").join(shown, ["key", "label"])
+    met = met.where(F.forall("terms", lambda t: F.contains("low", t) | F.contains("low_key", t)))
+    q, low = F.col("low_q"), F.col("low")
+    rank = F.when(F.col("bare"), F.when(low.startswith(q), 2).otherwise(3)).when(low == q, 0).when(low.startswith(q), 1).when(F.contains(low, F.concat(F.lit(" "), q)), 2).when(F.contains(low, q), 3).otherwise(4)
+    met = settled(spark, met.groupBy("query", "key").agg(F.min(F.struct(rank.alias("rank"), F.length("label").alias("length"), "label")).alias("at")))
+    wanted = met.select("key").distinct()
+    used = consumers(g).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    made = real_producers(g).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("makes"))
+    met = met.join(have, "key", "left").join(used, "key", "left").join(made, "key", "left").na.fill(0, ["qty", "uses", "makes"])
+    first = F.struct("at", (F.col("qty") < WELL_STOCKED).alias("low_stock"), (-F.col("uses")).alias("uses"), (-F.col("makes")).alias("makes"), F.col("key").alias("key"))
+    ranked = met.groupBy("query").agg(F.min(first).alias("b")).select("query", F.col("b.key").alias("ranked"))
     out = asked.join(exact, "query", "left").join(ranked, "query", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("ranked").isNotNull(), "ranked").otherwise("none")
     return out.select("query", F.coalesce("exact", "ranked").alias("key"), how.alias("how"))

@@ -44,13 +44,13 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
             g = g or made(spark, sf_dir)
             return getattr(g, name)
 
-        return kept(spark, f"graph {sf_dir} {name}", make)
+        return kept(spark, f"graph {sf_dir} {name}", make, sf_dir)
 
     return Graph(*(part(name) for name in ("recipe", "output", "slot", "names", "ore_member", "stock")))
 
 
 def made(spark: SparkSession, sf_dir: str) -> Graph:
-    lp = kept(spark, f"order parts {sf_dir}", lambda: order_parts(spark, sf_dir))
+    lp = kept(spark, f"order parts {sf_dir}", lambda: order_parts(spark, sf_dir), sf_dir)
     orders = table(spark, sf_dir, "orders")
     rids = lp.select("rid").distinct()
     recipe = rids.join(orders, F.col("rid") == F.col("o_orderkey")).select(

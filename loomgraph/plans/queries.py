@@ -11,7 +11,8 @@ from ..functions import digests
 from ..functions import keys as K
 from ..operators import costs, reports, rewrite, search, timeseries
 from ..operators import graph as G
-from ..operators.store import cached, listing, shared_folder
+from ..operators.store import cached, code_version, files_state, shared_folder
+from . import adapter
 from .adapter import CTE, graph, order_parts, part_key, snapshots, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,8 +300,8 @@ def _prices(spark, d):
     folder = f"{shared_folder(spark)}/loomgraph-prices"
     if not d:  # a graph that no table is behind
         return costs.relax(g)[0]
-    files = [tuple(r) for t in ("lineitem", "orders") for r in listing(spark, f"{d}/{t}.parquet").orderBy("path").collect()]
-    return cached(spark, folder, ("orders", costs.FORMULA, files), lambda: costs.relax(g)[0])
+    files = [files_state(spark, f"{d}/{t}.parquet") for t in ("lineitem", "orders", "part")]
+    return cached(spark, folder, ("orders", code_version(costs, G, K, adapter), *files), lambda: costs.relax(g)[0])
 
 
 @query(f"{_RELAX}{_passes(1)} SELECT key, round(cost, 4) AS cost FROM c1")

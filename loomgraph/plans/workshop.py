@@ -50,7 +50,7 @@ def made(spark: SparkSession, sf_dir: str) -> Graph:
     li, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     lp = li.groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").cast("long").alias("qty"), F.min("l_tax").alias("tax"), F.max("l_discount").alias("discount"))
     two = lp.groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("ps")).where("size(ps) >= 2")  # one order's
-    lp = kept(spark, f"workshop parts {sf_dir}", lambda: lp.join(two.select("rid", F.get("ps", F.lit(0)).alias("p1"), F.when((F.col("rid") % 3 == 0) & (F.size("ps") >= 3), F.get("ps", F.lit(1))).alias("p2")), "rid"))
+    lp = kept(spark, f"workshop parts {sf_dir}", lambda: lp.join(two.select("rid", F.get("ps", F.lit(0)).alias("p1"), F.when((F.col("rid") % 3 == 0) & (F.size("ps") >= 3), F.get("ps", F.lit(1))).alias("p2")), "rid"), sf_dir)
     recipe = lp.select("rid").distinct().join(orders, F.col("rid") == F.col("o_orderkey")).select(
         "rid", F.concat(F.lit("mod"), (F.col("rid") % 5).cast("string"), F.lit(".cat"), (F.col("rid") % 40).cast("string")).alias("category"), F.col("o_orderstatus").alias("src"),
         (F.col("rid") % 50 == 0).alias("transfer"), F.when(F.col("rid") % 23 == 0, "loot").alias("not_production"), (F.col("rid") % 7 == 0).alias("variant"),
@@ -82,7 +82,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
             g = g or made(spark, sf_dir)
             return getattr(g, name)
 
-        return kept(spark, f"workshop {sf_dir} {name}", make)
+        return kept(spark, f"workshop {sf_dir} {name}", make, sf_dir)
 
     return Graph(*(part(name) for name in ("recipe", "output", "slot", "names", "ore_member", "stock", "catalyst")))
 

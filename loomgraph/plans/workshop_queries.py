@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import costs, machines, names, reports, rewrite, search, sourcing, timeseries
 from ..operators import graph as G
-from ..operators.store import cached, listing, shared_folder
+from ..operators.store import cached, code_version, files_state, shared_folder
 from ..sources import documents
 from .adapter import snapshots, table
 from .queries import QUERIES, SINCE, SQL, UNTIL
+from . import workshop
 from .workshop import CTE, graph, key_of, places, sql_key
 
 
@@ -302,12 +303,20 @@ def search_ranked(spark, d):
     return found.select(F.col("position").cast("long").alias("position"), "key", "label")
 
 
-@query(""", q AS (SELECT 'stone' AS query UNION SELECT p_name FROM part WHERE p_partkey % 50 = 1 UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT 'm0:i0'), have AS (SELECT key FROM names UNION SELECT key FROM stock), lv AS (SELECT DISTINCT key, label FROM names WHERE key IN (SELECT key FROM live) OR key IN (SELECT key FROM stock)),
-r AS (SELECT query, key FROM q JOIN lv ON contains(label, query) AND regexp_matches(label, '(^| )' || split_part(query, ' ', 1)) WHERE query NOT IN (SELECT key FROM have) QUALIFY row_number() OVER (PARTITION BY query ORDER BY CASE WHEN label = query THEN 0 WHEN starts_with(label, query) THEN 1 ELSE 2 END, len(label), label, key) = 1)
-SELECT query, coalesce(r.key, CASE WHEN query IN (SELECT key FROM have) THEN query END) AS key, CASE WHEN query IN (SELECT key FROM have) THEN 'exact' WHEN r.key IS NOT NULL THEN 'ranked' ELSE 'none' END AS how FROM q LEFT JOIN r USING (query)""")
+@query(f""", q AS (SELECT 'stone' AS query UNION SELECT p_name FROM part WHERE p_partkey % 50 = 1 UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT substr(p_name, 2, 4) FROM part WHERE p_partkey % 20 = 1 UNION SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 20 = 2 UNION SELECT 'm0:i0' UNION SELECT ' i1  M1 ' UNION SELECT 'i' UNION SELECT 'no such thing'),
+have AS (SELECT key FROM names UNION SELECT key FROM stock), lv AS (SELECT DISTINCT key, label, false AS bare FROM names WHERE key IN (SELECT key FROM live) OR key IN (SELECT key FROM stock WHERE qty > 0) UNION SELECT key, key, true FROM stock WHERE key NOT IN (SELECT key FROM names)),
+used_n AS (SELECT key, count(*) AS uses FROM cons GROUP BY 1), made_n AS (SELECT key, count(*) AS makes FROM realp GROUP BY 1),
+ask AS (SELECT query, lower(trim(regexp_replace(query, '[ ]+', ' ', 'g'))) AS lq FROM q WHERE trim(query) NOT IN (SELECT key FROM have)),
+hit AS (SELECT query, key, label, CASE WHEN bare THEN CASE WHEN starts_with(lower(label), lq) THEN 2 ELSE 3 END WHEN lower(label) = lq THEN 0 WHEN starts_with(lower(label), lq) THEN 1 WHEN contains(lower(label), ' ' || lq) THEN 2 WHEN contains(lower(label), lq) THEN 3 ELSE 4 END AS rank
+  FROM ask, lv WHERE len(list_filter(string_split(lq, ' '), lambda t: NOT (contains(lower(label), t) OR contains(lower(key), t)))) = 0),
+r AS (SELECT query, hit.key FROM hit LEFT JOIN stock USING (key) LEFT JOIN used_n USING (key) LEFT JOIN made_n USING (key) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, len(label), label, coalesce(qty, 0) >= 64 DESC, coalesce(uses, 0) DESC, coalesce(makes, 0) DESC, hit.key) = 1)
+SELECT query, coalesce(r.key, CASE WHEN trim(query) IN (SELECT key FROM have) THEN trim(query) END) AS key, CASE WHEN trim(query) IN (SELECT key FROM have) THEN 'exact' WHEN r.key IS NOT NULL THEN 'ranked' ELSE 'none' END AS how FROM q LEFT JOIN r USING (query)""")
 def resolved_queries(spark, d):
     part = table(spark, d, "part")
-    asked = part.where("p_partkey % 50 = 1").select(F.col("p_name").alias("query")).union(part.select(F.split_part("p_name", F.lit(" "), F.lit(2)))).union(spark.createDataFrame([("stone",), ("m0:i0",)], "query string"))
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    asked = part.where("p_partkey % 50 = 1").select(F.col("p_name").alias("query")).union(part.select(word(2)))
+    asked = asked.union(part.where("p_partkey % 20 = 1").select(F.substring("p_name", 2, 4))).union(part.where("p_partkey % 20 = 2").select(F.concat_ws(" ", word(2), word(1))))
+    asked = asked.union(spark.createDataFrame([("stone",), ("m0:i0",), (" i1  M1 ",), ("i",), ("no such thing",)], "query string"))
     return search.resolve(graph(spark, d), asked)
 
 
@@ -382,8 +391,8 @@ def _scenario(spark, d) -> costs.Scenario:
 def _prices(spark, d):
     """Made once for tables as they are, for the queries that only read them."""
     g = graph(spark, d)
-    files = [tuple(r) for t in ("lineitem", "orders", "part", "supplier", "nation") for r in listing(spark, f"{d}/{t}.parquet").orderBy("path").collect()]
-    return cached(spark, f"{shared_folder(spark)}/loomgraph-prices", ("workshop", costs.FORMULA, files), lambda: costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))[0])
+    files = [files_state(spark, f"{d}/{t}.parquet") for t in ("lineitem", "orders", "part", "supplier", "nation")]
+    return cached(spark, f"{shared_folder(spark)}/loomgraph-prices", ("workshop", code_version(costs, G, K, sourcing, workshop), *files), lambda: costs.relax(g, costs.layered_seed(g, _scenario(spark, d)))[0])
 
 
 @query(f"{_SEED} SELECT key, cost FROM seed")
@@ -453,16 +462,38 @@ def cost_summary(spark, d):
     return search.cost_summary(cost, costs.category_entry(g.recipe))
 
 
-@query(f"""{_SETTLED}, rr AS (SELECT rid, sum(CASE WHEN kept THEN price ELSE 0 END) AS retained, sum(CASE WHEN kept THEN 0 ELSE price END) AS spent FROM as{PASSES} GROUP BY 1 HAVING count(*) = count(price)),
-sl AS (SELECT rid, slot, bool_or(key IN (SELECT key FROM stock WHERE qty > 0)) AS have, bool_or(key IN (SELECT key FROM outp)) AS made, bool_or(key IN (SELECT key FROM place UNION SELECT key FROM ore WHERE starts_with(ore, 'ore:ore'))) AS found FROM slot GROUP BY 1, 2),
-f AS (SELECT rid, count(*) FILTER (WHERE have) / count(*) AS satisfied, count(*) AS n, count(*) FILTER (WHERE NOT made) AS raw, count(*) FILTER (WHERE NOT made AND found) AS fnd FROM sl GROUP BY 1),
-sc AS (SELECT key, rid, CASE WHEN not_production IS NULL THEN 1 ELSE 0 END AS production, round(-(base + retained + spent / out), 9) AS cheap, satisfied, CASE WHEN raw > 0 AND raw = fnd THEN 1 ELSE 0 END AS ore_backed, -(n + (SELECT count(*) FROM outp o WHERE o.rid = aop.rid)) AS plain FROM aop JOIN rr USING (rid) JOIN f USING (rid) JOIN recipe USING (rid))
-SELECT key, rid, row_number() OVER (PARTITION BY key ORDER BY production DESC, cheap DESC, satisfied DESC, ore_backed DESC, plain DESC, rid) AS place FROM sc QUALIFY place <= 3""")
+_PICKED = f""", m31 AS (SELECT key, min(part) % 31 AS m FROM names GROUP BY 1), alts AS (SELECT rid, slot, alt, coalesce(ord, 0) AS nth, coalesce(ore.key, slot.key) AS key FROM slot LEFT JOIN ore ON ore.ore = slot.key),
+worth AS (SELECT alts.*, least(coalesce(qty, 0), 1000000) / 1e6 + CASE WHEN alts.key IN (SELECT key FROM outp) THEN 0.25 ELSE 0 END + CASE m WHEN 3 THEN 1.0 WHEN 9 THEN 0.5 ELSE 0 END AS worth, coalesce(cost, 'inf'::DOUBLE) AS cost FROM alts LEFT JOIN stock USING (key) LEFT JOIN ac{PASSES} USING (key) LEFT JOIN m31 USING (key)),
+pick AS MATERIALIZED (SELECT rid, slot, key FROM worth QUALIFY row_number() OVER (PARTITION BY rid, slot ORDER BY worth DESC, cost, alt, nth) = 1)"""
+_SCORED = f"""{_SETTLED}{_PICKED}, sl AS (SELECT rid, slot, max(qty) AS qty, max(p) AS p, count(DISTINCT key) AS options FROM slot GROUP BY 1, 2),
+u AS (SELECT rid, key, p, sum(qty)::BIGINT AS qty, max(options) AS options FROM pick JOIN sl USING (rid, slot) GROUP BY 1, 2, 3),
+hv AS (SELECT w.key, coalesce(sum(s.qty), 0) AS have FROM (SELECT DISTINCT key FROM u) w LEFT JOIN stock s ON regexp_replace(s.key, '^([^:]*:.*):([0-9]+)$', '\\1') = regexp_replace(w.key, '^([^:]*:.*):(\\*|[0-9]+)$', '\\1') AND (ends_with(w.key, ':*') OR s.key = w.key) GROUP BY 1),
+routes AS (SELECT key FROM realp UNION SELECT regexp_replace(key, '#.*$', '') FROM realp),
+e AS MATERIALIZED (SELECT u.*, CASE WHEN starts_with(u.key, 'ore:') THEN coalesce(cost, 1.0) ELSE cost END * greatest(greatest(qty, 1) * CASE WHEN starts_with(u.key, 'fluid:') THEN 0.001 ELSE 1 END, 0.001) * CASE WHEN p = 0 THEN 1 ELSE p END AS price, have >= qty AS covered, coalesce(m IN (3, 9), false) AS got,
+  CASE WHEN starts_with(u.key, 'ore:') THEN true WHEN m IN (3, 9) THEN false WHEN m = 8 THEN true WHEN have >= qty THEN false ELSE u.key NOT IN (SELECT key FROM routes) END AS dead,
+  u.key IN (SELECT key FROM place UNION SELECT key FROM ore WHERE starts_with(ore, 'ore:ore')) AS mine FROM u LEFT JOIN hv USING (key) LEFT JOIN ac{PASSES} USING (key) LEFT JOIN m31 USING (key)),
+f AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE price IS NULL) AS unpriced, sum(price) AS price, count(*) FILTER (WHERE covered OR got) AS satisfied, count(*) FILTER (WHERE dead) AS nd, count(*) FILTER (WHERE dead AND mine) AS nm, array_to_string(list_sort(list(options || 'x' || qty)), ' ') AS slots FROM e GROUP BY 1),
+ow AS (SELECT e.rid, count(*) AS own FROM e JOIN (SELECT DISTINCT rid, key FROM outp) o ON o.rid = e.rid AND o.key = e.key WHERE NOT covered GROUP BY 1),
+sc AS MATERIALIZED (SELECT key, rid, CASE WHEN NOT transfer AND not_production IS NULL THEN 1 ELSE 0 END AS production, CASE WHEN unpriced > 0 THEN '-inf'::DOUBLE ELSE round(-(20.0 + CASE WHEN transfer THEN 500.0 ELSE 0 END + CASE WHEN not_production IS NOT NULL THEN 50000.0 ELSE 0 END + price), 9) END AS cheap, -coalesce(own, 0) AS uncycled, satisfied,
+  CASE WHEN nd > 0 AND nd = nm THEN 1 ELSE 0 END AS ore_backed, 1.0 / (1 + n) AS plain, slots || '|' || category || '|' || transfer || '|' || coalesce(not_production, '') AS offer, y
+  FROM (SELECT rid, key, sum(qty * q) AS y FROM outp GROUP BY 1, 2) JOIN recipe USING (rid) JOIN f USING (rid) LEFT JOIN ow USING (rid) WHERE NOT (transfer AND starts_with(key, 'fluid:')))"""
+
+
+def _scored(spark, d):
+    g, s = graph(spark, d), _scenario(spark, d)
+    return costs.scores(g, _prices(spark, d), mineable=s.mineable, free=s.free, craftable=s.craftable, raw=s.raw)
+
+
+@query(f"{_SCORED} SELECT key, rid, row_number() OVER (PARTITION BY key ORDER BY production DESC, cheap DESC, uncycled DESC, satisfied DESC, ore_backed DESC, plain DESC, rid) AS place FROM sc QUALIFY place <= 3")
 def recipe_chooser(spark, d):
-    g = graph(spark, d)
-    cost = _prices(spark, d)
-    scored = costs.scores(g, cost, mineable=sourcing.mineable(g, places(spark, d)))
-    return costs.choose(scored, 3).select("key", "rid", F.col("place").cast("long").alias("place"))
+    return costs.choose(_scored(spark, d), 3).select("key", "rid", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{_SCORED} SELECT production, uncycled, satisfied, ore_backed, count(*) AS routes, count(*) FILTER (WHERE isinf(cheap)) AS unpriced, round(avg(plain), 6) AS plain FROM sc GROUP BY 1, 2, 3, 4")
+def route_ranks(spark, d):
+    """What ranks routes, by how many have it."""
+    rows = _scored(spark, d)
+    return rows.groupBy("production", "uncycled", "satisfied", "ore_backed").agg(F.count(F.lit(1)).alias("routes"), F.count_if(F.col("cheap") == float("-inf")).alias("unpriced"), F.round(F.avg("plain"), 6).alias("plain"))
 
 
 @query(f"""{_SETTLED}, m AS (SELECT rid, slot, alt, coalesce(ord, 0) AS nth, coalesce(ore.key, slot.key) AS key FROM slot LEFT JOIN ore ON ore.ore = slot.key),

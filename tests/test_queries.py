@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.plans import workshop_queries as queries  # both graphs'
+from loomgraph.plans import loop_queries as queries  # of all graphs
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
