@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from .cycles import merged_uses
 from .graph import Graph, producers_any_variant, real_outputs, wildcard_stock
-from .store import settled
+from .store import forget, settled
 
 #: Penalties and prices of machines by their state.
 TRANSFER_PENALTY, NON_PRODUCTION_PENALTY = 500.0, 50_000.0
@@ -236,7 +236,9 @@ def relax(g: Graph, seed: DataFrame | None = None, entry: DataFrame | None = Non
         both = cost.select("key", F.col("cost").alias("was"), F.lit(None).cast("double").alias("now")).unionByName(found.select("key", F.lit(None).cast("double").alias("was"), F.col("cost").alias("now")))
         both = both.groupBy("key").agg(F.min("was").alias("was"), F.min("now").alias("now"))
         better = F.col("now").isNotNull() & (F.col("was").isNull() | (F.col("now") < F.col("was") - LEAST_GAIN))
+        last = cost
         cost = settled(spark, both.select("key", F.when(better, F.col("now")).otherwise(F.col("was")).alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")))
+        forget(spark, last)
         n, n_new = cost.agg(F.count(F.lit(1)), F.count_if("changed")).first()
         if not n_new:
             break

@@ -77,7 +77,7 @@ def test_pack_items_and_emc(spark):
 
 def test_machines_without_catalysts(spark):
     recipes = [(i, c, [(f"m:o{i}", 1)], [(["m:in"], 1, 1)], {"machine": t}) for i, (c, t) in enumerate([("mod.press", "Press"), ("other.Press", "Press"), ("mod.AlloySmelter", "Gone"), ("minecraft.crafting.x", "Table"), ("mod.none", "None"), ("my.hand", "Hand")])]
-    g = make(spark, recipes, [("mod:press_a", "Press"), ("far:press", "§aPress"), ("mod:alloysmelter", "Smelter")])
+    g = make(spark, recipes, [("mod:press_a", "Press"), ("far:press", "Press"), ("mod:alloysmelter", "Smelter")])
     titles = g.recipe.select("category", F.col("machine").alias("title"))
     got = rows(machines.candidates(g, titles))
     assert got == [("mod.AlloySmelter", 0, "mod:alloysmelter", False), ("mod.press", 0, "mod:press_a", False), ("other.Press", 0, "far:press", False), ("other.Press", 1, "mod:press_a", False)]
