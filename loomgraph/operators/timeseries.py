@@ -96,25 +96,17 @@ def chart(levels: DataFrame, since: int, until: int, k: int = 10) -> tuple[DataF
 
 
 def store_levels(levels: DataFrame, folder: str) -> None:
-    """Adds rows (tier, key, ts, qty) to a store: rows of the same tier, key and
-    time replace those before; only the tiers at hand are written anew, each by
-    a version of its own that ``stored_levels`` reads until the next one."""
-    spark = levels.sparkSession
-    before = stored_levels(spark, folder)
-    now, version = levels.select("tier", "key", "ts", "qty", F.lit(1).alias("new")), 0
-    if before is not None:
-        same = before.join(levels.select("tier").distinct(), "tier", "left_semi")
-        now = now.unionByName(same.select("tier", "key", "ts", "qty", F.lit(0).alias("new")))
-        version = before.agg(F.max("version")).first()[0] + 1
-    one = now.groupBy("tier", "key", "ts").agg(F.max_by("qty", "new").alias("qty"))
-    one.write.mode("append").partitionBy("tier").parquet(f"{folder}/version={version}")
+    """Adds rows (tier, key, ts, qty) to the store in ``folder``, in place of
+    those of the same tier, key and time."""
+    from .levelstore import LevelStore
+
+    LevelStore(levels.sparkSession, folder).merge(levels)
 
 
 def stored_levels(spark, folder: str) -> DataFrame | None:
-    """The newest version of each tier, None if nothing is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    rows = spark.read.parquet(folder)
-    newest = rows.groupBy("tier").agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), ["tier", "version"]).select("tier", "key", "ts", "qty", "version")
+    """The newest version of the store, None if nothing was ever stored."""
+    from .levelstore import LevelStore
+
+    store = LevelStore(spark, folder)
+    number, _ = store.version()
+    return store.read().withColumn("version", F.lit(number)) if number else None
