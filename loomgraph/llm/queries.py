@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_order_minhash": fingerprints.op13_order_minhash,
     "op1_ngram_jaccard_links": ngram_join.op1_ngram_jaccard_links,
     "op3_wrapped_license_scan": license_scan.op3_wrapped_license_scan,
+    "op3_full_license_texts": license_scan.op3_full_license_texts,
 }
 
-SQL = {"op11_ranked_search": lexical.SQL, "op12_conversation_repair": turns.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": license_scan.sql(), "op3_wrapped_license_scan": license_scan.sql(wrapped=True)}
+SQL = {"op11_ranked_search": lexical.SQL, "op12_conversation_repair": turns.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_license_scan": license_scan.sql(), "op3_wrapped_license_scan": license_scan.sql(wrapped=True), "op3_full_license_texts": license_scan.sql(wrapped=True, full=True)}

@@ -262,3 +262,26 @@ def test_key_words_prune_nothing(spark):
         grams = license_scan.template_bigrams(text)
         free = [g for g in grams if not keys & set(g.split())]
         assert len(free) < len(grams) * 0.8 / (2 - 0.8)
+
+
+def test_full_licence_texts_in_files(spark, same_as_sql):
+    """The paragraphs of each full text, wrapped and as a comment inside a file;
+    a text without one of them is not named."""
+    import textwrap
+
+    import duckdb
+
+    rows = []
+    for i, (name, parts) in enumerate(sorted(license_scan.FULL_TEXTS.items())):
+        for j, (mark, width) in enumerate((("", 79), ("# ", 60), (" * ", 1000))):
+            paragraphs = [textwrap.indent(textwrap.fill(license_scan.TEMPLATES[p], width), mark, lambda _: True) for p in parts]
+            text = "import os\n\n" + f"\n{mark.rstrip()}\n".join(paragraphs) + "\n\ndef main():\n    return os.name\n"
+            rows.append((10 * i + j, name, text))
+        rows.append((10 * i + 9, "", "\n\n".join(license_scan.TEMPLATES[p] for p in parts[:-1] if p not in ("BSD-conditions",)) + "\n\nNo more."))
+    docs = spark.createDataFrame([*rows, (990, "", None), (991, "", "")], "doc_id long, name string, text string")
+    found = license_scan.full_texts(license_scan.licences(docs, wrapped=True, lines=True))
+    assert {r.doc_id: r.full for r in found.collect()} == {r[0]: r[1] for r in rows} | {990: "", 991: ""}
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(license_scan.sql(wrapped=True, full=True)).fetchall())
+    same_as_sql(license_scan.op3_full_license_texts, license_scan.sql(wrapped=True, full=True))
