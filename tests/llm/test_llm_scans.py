@@ -276,6 +276,8 @@ def test_scratch_tables_are_dropped(spark):
 
 def test_toxicity_trains_on_a_bound_of_bytes_and_a_row_per_id(spark, monkeypatch):
     """An id that repeats is one row, and texts beyond the bound do not train."""
+    import pyarrow as pa
+
     rows = [(i, ("vile " if i % 3 == 0 else "kind ") * (1 + i % 5), "en") for i in range(300)]
     labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -286,4 +288,6 @@ def test_toxicity_trains_on_a_bound_of_bytes_and_a_row_per_id(spark, monkeypatch
     assert seen[0] == seen[1] and all(np.array_equal(a, b) for a, b in zip(plain.tables, again.tables))
     monkeypatch.setattr(toxicity, "TRAIN_BYTES", 400)
     toxicity.fit(docs, labels)
-    assert 0 < 5 * seen[2][1] <= 400 < 5 * seen[0][1]
+    pads = len(toxicity.word_codes(pa.array(["kind"]))[0]) - 1  # of each text
+    words = lambda n, codes: codes - n * pads
+    assert 0 < 5 * words(*seen[2]) <= 400 < 5 * words(*seen[0])
