@@ -366,7 +366,8 @@ def scores(
     took = rows.where(~F.col("covered")).select("rid", F.col("key").alias("took"))
     own = took.join(outs.select("rid", F.col("key").alias("took")), ["rid", "took"])
     cyclic = outs.select("rid", "key").join(own, "rid").groupBy("rid", "key").agg(F.count_if(F.col("took") == F.col("key")).alias("direct"), F.count(F.lit(1)).alias("all_own"))
-    about = g.recipe.select("rid", "category", "transfer", "not_production").join(facts, "rid").join(entry if entry is not None else category_entry(g.recipe, None, states), "category")
+    # a recipe that takes nothing has no row there
+    about = g.recipe.select("rid", "category", "transfer", "not_production").join(facts, "rid", "left").na.fill(0, ["n", "unpriced", "price", "satisfied", "n_dead", "n_found"]).na.fill("", ["slots"]).join(entry if entry is not None else category_entry(g.recipe, None, states), "category")
     machine = F.lit(1)
     if states is not None:
         about = about.join(states.select("category", "state"), "category", "left")

@@ -442,8 +442,8 @@ def fnv_digest(spark, d):
 @query()
 def blake2_fingerprint(spark, d):
     g = graph(spark, d)
-    text = lambda c: F.concat_ws("*", c, F.col("qty").cast("string"))
-    made = g.output.groupBy("rid").agg(F.collect_list(text("key")).alias("made"))  # one recipe's
-    used = g.slot.groupBy("rid").agg(F.collect_list(text("key")).alias("used"))
+    made = g.output.groupBy("rid").agg(F.collect_list(F.struct("key", "qty")).alias("made"))  # one recipe's
+    slots = g.slot.groupBy("rid", "slot").agg(F.collect_list("key").alias("alternatives"), F.max("qty").alias("qty"), F.when(F.max("p") == 0, "kept").alias("role"))
+    used = slots.groupBy("rid").agg(F.collect_list(F.struct("alternatives", "qty", "role")).alias("used"))
     r = g.recipe.join(made, "rid").join(used, "rid")
     return r.select("rid", digests.recipe_fingerprint(F.col("category"), F.col("made"), F.col("used")).alias("fingerprint"))

@@ -17,8 +17,14 @@ from ..operators.store import settled
 ENTRY = "jar string, entry string, text string"
 
 
+#: Characters of the documents that go to Spark in one batch, about, and its rows.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 4096
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each jar, one at a time; what is no archive has none."""
+    """The documents of each jar, in batches; what is no archive has none."""
+    rows, chars = [], 0
+    table = lambda: pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["jar", "entry", "text"])
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             try:
@@ -29,7 +35,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wanted = entry == "mcmod.info" or (entry.startswith("assets/") and "/recipes/" in entry and entry.endswith(".json"))
                 if wanted or entry.startswith("assets/"):  # of other files only the name is of use
                     text = archive.read(entry).decode("utf-8", "replace") if wanted else None
-                    yield pa.record_batch([pa.array([path.rsplit("/", 1)[-1]]), pa.array([entry]), pa.array([text], pa.string())], names=["jar", "entry", "text"])
+                    rows.append((path.rsplit("/", 1)[-1], entry, text))
+                    chars += len(text or "")
+                    if chars > BATCH_CHARS or len(rows) >= BATCH_ROWS:
+                        yield table()
+                        rows, chars = [], 0
+    if rows:
+        yield table()
 
 
 def jar_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +62,14 @@ def mod_ids(entries: DataFrame) -> DataFrame:
 
 
 def unread_folders(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, jars, recipes): folders below whose jars are not read, the most
-    recipes first."""
+    """(folder, jars, recipes): folders right below whose jars are not read, the
+    most recipes first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][aA][rR]").load(path)
-    root = path.rstrip("/").rsplit("/", 1)[-1]
-    folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
-    files = files.where(folder != root)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index(F.concat(F.lit("\0"), F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?(?=/)", "")), "\0" + root, -1)
+    folder = F.regexp_extract(below, "^(.+)/[^/]+$", 1)
+    files = files.where((folder != "") & ~folder.contains("/"))
     counted = files.select("path", "content").mapInArrow(_counts, "path string, recipes long")
     return counted.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("jars"), F.sum("recipes").alias("recipes")).orderBy(F.desc("recipes"), "folder")
 

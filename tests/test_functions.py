@@ -32,6 +32,7 @@ def rows(spark):
         ("(stock == 0 or live) and contains(lower(label), 'o')", {"m:a", "m:b:2"}),
         ("matches(key, '^m:[ab]$')", {"m:a"}),
         ("matches(lower(label), '^i.*\\s')", {"m:a"}),
+        ("label == 'a\\\\' or contains(key, 'm:')", {"m:a", "m:b:2"}),
         ("len(label) == 6", {"m:b:2"}),
         ("label == 3", set()),
         ("label != 3", {"m:a", "m:b:2", "fluid:water"}),
@@ -101,7 +102,23 @@ def test_digests(spark):
     assert tuple(row) == (digests.fnv1a("abc"), hashlib.blake2b(b"abc", digest_size=6).hexdigest(), None)
 
 
-def test_fingerprint_ignores_order(spark):
-    rows = spark.createDataFrame([("c", ["x", "y"], ["a", "b"]), ("c", ["y", "x"], ["b", "a"]), ("d", ["x", "y"], ["a", "b"])], "c string, o array<string>, s array<string>")
+def test_digests_of_a_batch(spark):
+    texts = ["", None, "a", "aé中𝒳", "x" * 300, "abc", None, "ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r[0] for r in rows.select(digests.fnv_digest("t")).collect()] == [None if t is None else digests.fnv1a(t) for t in texts]
+
+
+def test_fingerprint_is_that_of_the_layout(spark):
+    recipes = [
+        ("c", [("x", 1), ("y", 2)], [(["b", "a"], 1, None), (["c"], 10, "kept")]), ("c", [("y", 2), ("x", 1)], [(["c"], 10, "kept"), (["a", "b"], 1, None)]),
+        (None, [("x", 10), ("x", 9)], [(["é"], 1, "")]), ("d", [], []), ("c", [("x", 1), ("y", 2)], [(["a", "b"], 1, None), (["c"], 9, "kept")]),
+    ]
+
+    def plain(category, outputs, slots):
+        parts = [category or ""] + [f"o{k}\x1e{n}" for k, n in sorted(outputs)]
+        parts += [f"i{a}\x1e{n}\x1e{r}" for a, n, r in sorted(("\x1d".join(sorted(a)), n, r or "") for a, n, r in slots)]
+        return hashlib.blake2b("\x1f".join(parts).encode(), digest_size=6).hexdigest()
+
+    rows = spark.createDataFrame(recipes, "c string, o array<struct<key:string,qty:long>>, s array<struct<alternatives:array<string>,qty:long,role:string>>").coalesce(1)
     got = [r[0] for r in rows.select(digests.recipe_fingerprint(F.col("c"), F.col("o"), F.col("s"))).collect()]
-    assert got[0] == got[1] != got[2]
+    assert got == [plain(*r) for r in recipes] and got[0] == got[1] != got[4]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import churn, costs, cycles, planning, repricing, rewrite, search, store
+from loomgraph.operators import churn, costs, cycles, pins, planning, repricing, rewrite, search, store
 from loomgraph.operators.graph import Graph
 from tests.test_workshop import make, rows
 
@@ -367,6 +367,26 @@ def test_a_plan_leaves_a_cheap_cycle(spark):
     assert got[1, "m:block>m:ingot"] == (3, "craft") and got[1, "m:block>m:ingot>m:ore"] == (None, "raw")
 
 
+def test_pins(spark):
+    """A pin holds over another numbering; one whose recipe is gone falls back to
+    all recipes of its category; one that only leads back is overruled."""
+    recipes = [(1, "c", [("m:x", 1), ("m:y", 1)], [(["m:a", "m:b"], 1, 1)] + [([f"m:s{i}"], 2, 1) for i in range(4)], {}), (2, "c", [("m:x", 1)], [(["m:b"], 1, 1)], {}), (3, "d", [("m:x", 1)], [(["m:x2"], 1, 1)], {}), (4, "d", [("m:x2", 1)], [(["m:x"], 1, 1)], {}), (5, "e", [("m:x2", 1)], [], {})]  # the last takes nothing
+    g = make(spark, recipes, [("m:x", "Ex"), ("m:a", "Ay")])
+    chosen = spark.createDataFrame([("m:x", 1), ("m:x2", 5)], "key string, rid long")
+    stored = pins.make(g, chosen)
+    assert {r.key: (r.category, r.label) for r in stored.collect()} == {"m:x": ("c", "Ex from Ay, m:s0, m:s1, m:s2, ..."), "m:x2": ("e", "m:x2 from nothing")}
+    again = make(spark, [(r + 100, c, o[::-1], [(a[::-1], n, p) for a, n, p in i[::-1]], m) for r, c, o, i, m in recipes])
+    assert {(r.key, r.rid, r.how, r.note) for r in pins.resolve(again, stored).collect()} == {("m:x", 101, "exact", ""), ("m:x2", 105, "exact", "")}
+    without = make(spark, [r for r in recipes if r[0] not in (1, 5)] + [(6, "c", [("m:x", 2)], [(["m:b"], 3, 1)], {})])
+    assert {(r.key, r.rid, r.how, r.note) for r in pins.resolve(without, stored).collect()} == {("m:x", 2, "category", "the pinned recipe is gone; using another c recipe"), ("m:x", 6, "category", "the pinned recipe is gone; using another c recipe"), ("m:x2", None, "dead", "nothing here makes this e any more")}
+    cost = costs.relax(g)[0]
+    pinned = spark.createDataFrame([("m:x", 3), ("m:x2", 4)], "key string, rid long")
+    asked = spark.createDataFrame([(1, "m:x", 1)], "request long, key string, need long")
+    nodes, _ = planning.plan(asked, g, costs.scores(g, cost), costs.pick_alternatives(g, cost), pinned=pinned)
+    assert {(r.path, r.rid) for r in nodes.where("rid IS NOT NULL").collect()} == {("m:x", 3), ("m:x>m:x2", 5)}
+    assert rows(pins.overruled(nodes, pinned)) == [(1, "m:x2")]
+
+
 # ---- kept tables
 
 
