@@ -437,9 +437,13 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24,
     not spend is needed once, however many runs there are; its path ends in
     ``~``.  Where the depth, or a request's nodes (``max_nodes``, counted before
     a level), are exceeded, the status is depth; stock drawn before that counts
-    as taken.  Returns NODE rows; have and partial are covered by stock.
+    as taken.  Returns NODE rows; have and partial are covered by stock.  A slot
+    takes one key: ValueError where one has several (``pick_alternatives``
+    chooses, ``planning.plan`` takes what it chose).
     """
     spark = g.recipe.sparkSession
+    if g.slot.groupBy("rid", "slot").agg((F.min("key") != F.max("key")).alias("many")).where("many").limit(1).count():
+        raise ValueError("a slot has several alternatives; pick one of each first")
     routes = settled(spark, routes.select("key", "rid", "per_run"))
     kept = F.col("p") == 0
     slots = settled(spark, g.slot.groupBy("rid", "key", kept.alias("kept")).agg(F.sum("qty").alias("qty")))

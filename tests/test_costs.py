@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import costs
 from loomgraph.operators.graph import Graph
@@ -127,3 +128,11 @@ def test_hops_and_prices_go_to_the_end(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         costs.relax(g)
     assert costs.relax(g, passes=2)[1] == 2
+
+
+def test_plans_take_one_alternative_a_slot(spark):
+    g = small_graph(spark, {1: ("p:1", 1, None, {"p:2": (2, 1.0)})}, {})
+    two = Graph(g.recipe, g.output, g.slot.union(g.slot.withColumn("key", F.lit("p:3"))), g.names, g.ore_member, g.stock)
+    asked = spark.createDataFrame([(1, "p:1", 1)], "request long, key string, need long")
+    with pytest.raises(ValueError, match="several alternatives"):
+        costs.plan(asked, two, costs.best_recipes(g, costs.raw_seed(g)))
