@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators.graph import Graph
 from ..operators.store import settled
+from .ranges import members
 
 #: Split tables up to this many rows (one per split of a file) are broadcast.
 SPLITS = 200_000
@@ -436,18 +437,22 @@ def graph_document(spark: SparkSession, path: str) -> Graph:
     """A graph that is one JSON document: ``recipes``, a list of objects (id,
     src, cat, machine, out: [[key, qty], ...], q: [chance, ...], in: [{alt: [key,
     ...], qty, p}, ...], transfer, variant), ``names``, ``ores`` and
-    ``catalysts``.  The document is one row; its recipes are rows at once."""
+    ``catalysts``.  The document is read in as many tasks as Spark splits its
+    file into; a recipe's id is its place in the list.  A recipe that is no
+    object has its id and nothing else, a name or group that cannot be read is
+    left out."""
     ins = "array<struct<alt:array<string>,qty:long,p:double>>"
-    recipe = f"array<struct<id:string,src:string,cat:string,machine:string,`out`:array<array<string>>,q:array<double>,`in`:{ins},transfer:boolean,variant:boolean>>"
-    d = _documents(spark, path).select(F.from_json("value", f"recipes {recipe}, names map<string,string>, ores map<string,array<string>>, catalysts map<string,array<string>>").alias("d")).select("d.*")
-    rows = settled(spark, d.select(F.posexplode("recipes").alias("rid", "r")).select(F.col("rid").cast("long").alias("rid"), "r.*"))
+    recipe = f"id string,src string,cat string,machine string,`out` array<array<string>>,q array<double>,`in` {ins},transfer boolean,variant boolean"
+    parts = members(spark, path)
+    rows = settled(spark, parts.where("section = 'recipes'").select(F.col("at").cast("long").alias("rid"), F.from_json("text", recipe).alias("r")).select("rid", "r.*"))
+    inner = lambda section, schema, *names: parts.where(F.col("section") == section).select(F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), schema)).alias(*names))
     table = rows.select("rid", F.col("id").alias("name"), F.col("cat").alias("category"), "src", "machine", F.coalesce("transfer", F.lit(False)).alias("transfer"), F.coalesce("variant", F.lit(False)).alias("variant"), F.lit(None).cast("string").alias("not_production"))
     made = rows.select("rid", "q", F.posexplode("out").alias("ord", "o"))
     output = made.select("rid", "ord", F.get("o", F.lit(0)).alias("key"), F.coalesce(F.get("o", F.lit(1)).try_cast("long"), F.lit(1)).alias("qty"), F.coalesce(K.chance(F.get("q", F.col("ord"))), F.lit(1.0)).alias("q"))
     slots = rows.select("rid", F.posexplode("in").alias("slot", "s")).select("rid", "slot", F.posexplode("s.alt").alias("alt", "key"), F.coalesce("s.qty", F.lit(1)).alias("qty"), F.coalesce(K.chance("s.p"), F.lit(1.0)).alias("p"))
-    names = d.select(F.explode("names").alias("key", "label")).select("key", "label", K.mod_of("key").alias("mod"))
-    ores = d.select(F.explode("ores").alias("ore", "members")).select(K.ore_key("ore").alias("ore"), F.posexplode("members").alias("ord", "key"))
-    machines = d.select(F.explode("catalysts").alias("category", "keys")).select("category", F.posexplode("keys").alias("ord", "key"))
+    names = inner("names", "map<string,string>", "key", "label").select("key", "label", K.mod_of("key").alias("mod"))
+    ores = inner("ores", "map<string,array<string>>", "ore", "members").select(K.ore_key("ore").alias("ore"), F.posexplode("members").alias("ord", "key"))
+    machines = inner("catalysts", "map<string,array<string>>", "category", "keys").select("category", F.posexplode("keys").alias("ord", "key"))
     return Graph(table, output, slots, names, ores, spark.createDataFrame([], "key string, qty long"), machines)
 
 
