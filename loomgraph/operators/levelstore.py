@@ -129,18 +129,22 @@ class LevelStore:
                 return number + 1
         raise Conflict(f"other writers were first {ATTEMPTS} times")
 
-    def merge(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    def merge(self, rows: DataFrame, batch: tuple[str, int] | None = None, gone: DataFrame | None = None) -> int:
         """Adds rows (tier, key, ts, qty), in place of those of the same tier,
         key and time; returns the version.  ``batch``: the stream's name and the
         number of its batch; a number that is not above the last one changes
         nothing.  Of several rows of one tier, key and time the greatest qty
         stays; rows without a tier, key or time are refused; an empty batch
-        makes a version without new folders."""
+        makes a version without new folders.  ``gone``: (tier, key, ts) of rows
+        that this version has no longer, but for those in ``rows``."""
         rows = rows.select(F.col("tier").cast("int").alias("tier"), F.col("key").cast("string").alias("key"), F.col("ts").cast("long").alias("ts"), F.col("qty").cast("long").alias("qty"))
         if rows.where("tier IS NULL OR key IS NULL OR ts IS NULL").limit(1).count():
             raise ValueError("rows without a tier, key or time")
         new = rows.groupBy("tier", "key", "ts").agg(F.max("qty").alias("qty")).withColumn("_span", F.floor(F.col("ts") / self.span).cast("string"))
-        touched = [f"{r.tier}/{r._span}" for r in new.select("tier", "_span").distinct().collect()]  # names of folders
+        over = new.select("tier", "key", "ts", "_span")
+        if gone is not None:
+            over = over.union(gone.select(F.col("tier").cast("int"), F.col("key").cast("string"), F.col("ts").cast("long"), F.floor(F.col("ts") / self.span).cast("string")))
+        touched = [f"{r.tier}/{r._span}" for r in over.select("tier", "_span").distinct().collect()]  # names of folders
 
         def change(now: dict) -> dict | None:
             if batch is not None and now["batches"].get(batch[0], -1) >= batch[1]:
@@ -148,8 +152,8 @@ class LevelStore:
             spans = dict(now["spans"])
             if touched:
                 old = self._read([spans[t] for t in touched if t in spans]).withColumn("_span", F.floor(F.col("ts") / self.span).cast("string"))
-                kept = old.join(new.select("tier", "key", "ts"), ["tier", "key", "ts"], "left_anti")
-                spans |= self._write(kept.unionByName(new))
+                kept = old.join(over.select("tier", "key", "ts"), ["tier", "key", "ts"], "left_anti")
+                spans = {n: f for n, f in spans.items() if n not in touched} | self._write(kept.unionByName(new))
             return {"spans": spans, "batches": now["batches"] | ({batch[0]: batch[1]} if batch is not None else {})}
 
         return self._commit(change)
