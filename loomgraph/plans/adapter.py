@@ -69,10 +69,13 @@ def made(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(recipe, output, slot, names, ore, stock)
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_snapshots(events: DataFrame) -> DataFrame:
     """Events as stock snapshots: (key, t, seq, qty)."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("qty"))
+    return events.select(F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("qty"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_snapshots(table(spark, sf_dir, "events"))
 
 
 #: DuckDB: the same tables as common table expressions.

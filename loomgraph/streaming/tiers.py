@@ -9,7 +9,8 @@ before the horizon is carried: it is dropped when the one after it is before the
 horizon too.  One timer per key waits for the next of these times.
 
 What comes out are changes of a table: a row that is ``kept``, or the time of a
-row that is not any more.  ``standing`` makes the table of them, ``sink`` a
+row that is not any more; a row whose bucket is closed when it would be dropped
+at once is neither.  ``standing`` makes the table of them, ``sink`` a
 ``LevelStore``.
 """
 
@@ -77,23 +78,31 @@ class _Tiers(StatefulProcessor):
                 mine = new.assign(ts=new["ts"] - new["ts"] % size)
                 held = _merged(pd.concat([held, mine if closed is None else mine[mine["ts"] > closed]]), ["ts"])
             done = (held["ts"] + size) * 1000 <= passed
+            fresh = []
             for ts, qty, lo, hi in held.loc[done, ["ts", "qty", "lo", "hi"]].astype(int).itertuples(index=False):
                 if level is None or lo != level or hi != level:
-                    out.append((size, key, ts, qty, True))
-                    if newest is not None:
-                        self.after.updateValue((size, newest), (ts,))
-                    oldest, newest = ts if oldest is None else oldest, ts
+                    fresh.append((ts, qty))
                 level, closed = qty, ts
-            held, follows = held[~done], None
-            while oldest != newest:
-                (follows,) = self.after.getValue((size, oldest))
-                if (follows + keep) * 1000 >= passed:
+            held = held[~done]
+            expired = lambda ts: (ts + keep) * 1000 < passed
+            while oldest is not None:
+                follows = self.after.getValue((size, oldest))[0] if oldest != newest else fresh[0][0] if fresh else None
+                if follows is None or not expired(follows):
                     break
                 out.append((size, key, oldest, None, False))
-                self.after.removeKey((size, oldest))
-                oldest = follows
-            else:
-                follows = None
+                if oldest != newest:
+                    self.after.removeKey((size, oldest))
+                oldest = follows if oldest != newest else None
+            else:  # of rows that are closed and expired at once nothing is given out
+                first = next((i for i in range(len(fresh) - 1) if not expired(fresh[i + 1][0])), len(fresh) - 1)
+                fresh, newest = fresh[max(first, 0) :], None
+            out += [(size, key, ts, qty, True) for ts, qty in fresh]
+            chain = [newest, *(ts for ts, _ in fresh)] if newest is not None else [ts for ts, _ in fresh]
+            for ts, after in zip(chain, chain[1:]):
+                self.after.updateValue((size, ts), (after,))
+            if chain:
+                oldest, newest = chain[0] if oldest is None else oldest, chain[-1]
+            follows = self.after.getValue((size, oldest))[0] if oldest != newest else None
             waits += [(int(held["ts"].min()) + size) * 1000] if len(held) else []
             waits += [(follows + keep) * 1000 + 1] if follows is not None else []
             self.head.updateValue((size,), (level, closed, oldest, newest, *(held[f].astype(int).tolist() for f in OPEN)))
@@ -164,7 +173,6 @@ def sink(store: LevelStore, name: str) -> Callable[[DataFrame, int], None]:
     store.  ``LevelStore.prune`` is of no use on such a store."""
 
     def play(events: DataFrame, number: int) -> None:
-        # a bucket that is closed long after its time can be dropped in its batch
         events = events.persist()
         try:
             store.merge(standing(events), (name, number), events.where("NOT kept"))

@@ -62,7 +62,7 @@ def test_any_cut_gives_the_levels_of_a_batch(spark, tmp_path, seed, parts):
     events = played(spark, str(tmp_path), cut(rng, rows, parts))
     assert sorted(tuple(r) for r in T.standing(events).select("tier", "key", "ts", "qty").collect()) == wanted(spark, rows)
     assert events.groupBy("tier", "key", "ts", "kept").count().where("count > 1").count() == 0
-    assert events.where("NOT kept").count() > 0  # some rows have expired
+    assert (events.where("NOT kept").count() > 0) == (parts > 1)  # some rows have expired after they were given out
 
 
 def test_store_of_a_stream(spark, tmp_path):
