@@ -59,6 +59,18 @@ def ore_key(name: Column | str) -> Column:
     return F.concat(F.lit("ore:"), _col(name))
 
 
+#: What a structure's recipes and its controller are called.
+STRUCTURE_CATEGORY, STRUCTURE_CONTROLLER = "modularmachinery.recipes.%s", "modularmachinery:%s_controller"
+
+
+def structure_category(registry: Column | str) -> Column:
+    return F.format_string(STRUCTURE_CATEGORY, _col(registry))
+
+
+def structure_controller(registry: Column | str) -> Column:
+    return F.format_string(STRUCTURE_CONTROLLER, _col(registry))
+
+
 def fluid_key(name: Column | str) -> Column:
     return F.concat(F.lit("fluid:"), _col(name))
 

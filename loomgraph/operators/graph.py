@@ -39,6 +39,12 @@ def concrete(g: Graph) -> DataFrame:
     return keys.distinct().where(K.is_item("key") & ~K.meta_is_wild("key")).withColumn("base", K.split_base("key"))
 
 
+def known_keys(g: Graph) -> DataFrame:
+    """(key): what has a label, or is made or used as itself: all that a price
+    could be found for."""
+    return g.names.select("key").union(g.output.select("key")).union(g.slot.select("key")).distinct()
+
+
 def producers(g: Graph) -> DataFrame:
     """(key, rid, wild): recipes that make a key, its own and then those of any
     meta of its base."""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import Graph, meta_siblings, producers_any_variant
+from .graph import Graph, known_keys, meta_siblings, producers_any_variant
 from .reports import top_k
 
 #: Fixed value: items that are catalysts of categories and no machines.
@@ -139,3 +139,16 @@ def shared_prices(entry: DataFrame, k: int = 10) -> DataFrame:
     """(entry_cost, categories): the prices that most categories share."""
     n = entry.groupBy(F.round("entry_cost", 6).alias("entry_cost")).agg(F.count(F.lit(1)).alias("categories"))
     return n.orderBy(F.desc("categories"), "entry_cost").limit(k)
+
+
+def structure_items(structures: DataFrame, g: Graph) -> DataFrame:
+    """(registry, category, controller, known, recipes) of structures (registry):
+    the category of its recipes and how many there are, the item that it is built
+    around, and whether the graph knows that item.  A structure without a name is
+    left out."""
+    rows = structures.select("registry").where("registry <> ''").distinct()
+    rows = rows.select("registry", K.structure_category("registry").alias("category"), K.structure_controller("registry").alias("controller"))
+    counts = g.recipe.groupBy("category").agg(F.count(F.lit(1)).alias("recipes"))
+    have = known_keys(g).select(F.col("key").alias("controller"), F.lit(True).alias("known"))
+    rows = rows.join(counts, "category", "left").join(have, "controller", "left")
+    return rows.select("registry", "category", "controller", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("recipes", F.lit(0)).alias("recipes"))

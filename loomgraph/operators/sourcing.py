@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from .graph import Graph, live_keys, producers, real_outputs, real_producers, variants
+from .names import display
 from .store import settled
 
 #: Mods whose items a pack's author has made.
@@ -86,10 +87,10 @@ def named_only(g: Graph) -> DataFrame:
     return g.output.select("key").distinct().join(real_outputs(g), "key", "left_anti")
 
 
-def pack_unexplained(g: Graph, places: DataFrame | None = None, max_damage: DataFrame | None = None) -> DataFrame:
+def pack_unexplained(g: Graph, places: DataFrame | None = None, max_damage: DataFrame | None = None, mods: tuple[str, ...] = PACK_MODS) -> DataFrame:
     """(key): live items of the pack's own mods that nothing explains: no
     producer, no other form, no ore group, no dimension, no wear."""
-    rows = live_keys(g).where(K.mod_of("key").isin(*PACK_MODS))
+    rows = live_keys(g).where(K.mod_of("key").isin(*mods))
     rows = rows.join(producers(g).select("key").distinct(), "key", "left_anti").join(g.ore_member.select("key").distinct(), "key", "left_anti")
     rows = settled(g.recipe.sparkSession, rows.join(places.select("key").distinct(), "key", "left_anti") if places is not None else rows)
     rows = rows.join(reachable_forms(g, rows, places).select("key"), "key", "left_anti")
@@ -193,18 +194,36 @@ def complete_families(known: DataFrame, unsourced_keys: DataFrame) -> DataFrame:
     return known.select("key", "kind").unionByName(more.join(kinds, ["mod", "name", "gap"]).select("key", "kind"))
 
 
+#: The kinds of tokens in the order they are shown, and what is said of each.
+TOKEN_KINDS = {"loot": "found by playing", "gate": "locked behind progress", "hint": "any material of this class", "method": "made by a mechanic, not on a bench"}
+
+
+def _uses(g: Graph) -> DataFrame:
+    return g.slot.select("rid", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("slots"))
+
+
 def token_candidates(g: Graph, known: DataFrame, eligible: DataFrame, limit: int = 40) -> DataFrame:
-    """(key, slots): the eligible keys that the most recipes use and that are no
-    known token."""
-    used = g.slot.select("rid", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("slots"))
-    rows = used.join(eligible.select("key"), "key", "left_semi").join(known.select("key"), "key", "left_anti")
-    return rows.orderBy(F.desc("slots"), "key").limit(limit)
+    """(key, label, slots): the eligible keys (key, as of ``pack_unsourced``)
+    that the most recipes name and that are no known token (key), of equals the
+    first by key: an offer to a reader, who decides what they are.  ``label`` is
+    what a key is called."""
+    rows = _uses(g).join(eligible.select("key"), "key", "left_semi").join(known.select("key"), "key", "left_anti")
+    best = settled(g.recipe.sparkSession, rows.orderBy(F.desc("slots"), "key").limit(limit))  # limit rows
+    labels = g.names.join(F.broadcast(best.select(K.item_stem("key").alias("stem")).distinct()), K.item_stem("key") == F.col("stem"), "left_semi")
+    return best.join(display(best, labels), "key").select("key", F.col("bare").alias("label"), "slots").orderBy(F.desc("slots"), "key")
+
+
+def token_groups(g: Graph, known: DataFrame) -> DataFrame:
+    """(place, kind, title, key, slots): every token (key, kind) under the title
+    of its kind, kinds in their order; other kinds are left out."""
+    kinds = g.recipe.sparkSession.createDataFrame([(i, k, v) for i, (k, v) in enumerate(TOKEN_KINDS.items())], "place int, kind string, title string")
+    rows = known.select("key", "kind").distinct().join(_uses(g), "key", "left").join(F.broadcast(kinds), "kind")
+    return rows.select("place", "kind", "title", "key", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
 def token_census(g: Graph, known: DataFrame) -> DataFrame:
     """(kind, keys, slots): tokens by kind, and the recipes that use them."""
-    used = g.slot.select("rid", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("slots"))
-    return known.join(used, "key", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"))
+    return known.join(_uses(g), "key", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"))
 
 
 def free_sources(generators: DataFrame, placed: DataFrame, stock: DataFrame, disabled: DataFrame | None = None) -> DataFrame:

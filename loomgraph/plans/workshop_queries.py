@@ -156,6 +156,36 @@ def token_census(spark, d):
     return sourcing.token_census(g, known)
 
 
+@query(f"""{_MAT}, known AS (SELECT key FROM names WHERE part % 10 = 4)
+SELECT key, count(*) AS slots FROM used WHERE regexp_matches(key, '^m[13]:') AND key IN (SELECT key FROM live) AND key NOT IN (SELECT key FROM outp) AND key NOT IN (SELECT key FROM ore) AND key NOT IN (SELECT key FROM place)
+AND key NOT IN (SELECT key FROM reach WHERE form IS NOT NULL) AND key NOT IN (SELECT key FROM known) GROUP BY key ORDER BY slots DESC, key LIMIT 40""")
+def token_offers(spark, d):
+    """The forty items of two mods that the most recipes name and nothing explains."""
+    g = graph(spark, d)
+    alone, _ = sourcing.pack_unsourced(sourcing.pack_unexplained(g, places(spark, d), mods=("m1", "m3")), spark.createDataFrame([], "key string, kind string"))
+    return sourcing.token_candidates(g, g.names.where("part % 10 = 4"), alone).select("key", "slots")
+
+
+@query(", k AS (SELECT key, 'gate' AS kind FROM names WHERE part % 10 = 4 UNION SELECT key, 'loot' FROM names WHERE part % 10 = 8) SELECT CASE WHEN kind = 'loot' THEN 0 ELSE 1 END AS place, kind, CASE WHEN kind = 'loot' THEN 'found by playing' ELSE 'locked behind progress' END AS title, key, coalesce(n, 0) AS slots FROM k LEFT JOIN (SELECT key, count(*) AS n FROM used GROUP BY 1) USING (key)")
+def token_groups(spark, d):
+    g = graph(spark, d)
+    of = lambda n, kind: g.names.where(f"part % 10 = {n}").select("key", F.lit(kind).alias("kind"))
+    return sourcing.token_groups(g, of(4, "gate").union(of(8, "loot")))
+
+
+@query(""", s AS (SELECT DISTINCT 's' || s_suppkey AS registry FROM supplier), c AS (SELECT 'modularmachinery.recipes.s' || (rid % 50) AS category, count(*) AS recipes FROM recipe GROUP BY 1)
+SELECT registry, 'modularmachinery.recipes.' || registry AS category, 'modularmachinery:' || registry || '_controller' AS controller, registry IN (SELECT 's' || part FROM names WHERE part % 3 = 1) AS known, coalesce(recipes, 0) AS recipes
+FROM s LEFT JOIN c ON c.category = 'modularmachinery.recipes.' || registry""")
+def structure_items(spark, d):
+    """Suppliers as structures, whose recipes are those of every fiftieth order."""
+    g = graph(spark, d)
+    part = F.col("part").cast("string")
+    built = g.names.where("part % 3 = 1").select(F.concat(F.lit("modularmachinery:s"), part, F.lit("_controller")).alias("key"), "label", F.lit("modularmachinery").alias("mod"), "part")
+    recipe = g.recipe.withColumn("category", F.concat(F.lit("modularmachinery.recipes.s"), (F.col("rid") % 50).cast("string")))
+    g = G.Graph(recipe, g.output, g.slot, g.names.unionByName(built), g.ore_member, g.stock, g.catalyst)
+    return machines.structure_items(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("registry")), g)
+
+
 @query(", k AS (SELECT 'm:chapter_' || n AS key, CASE WHEN n % 2 = 0 THEN 'loot' ELSE 'loot' END AS kind FROM range(1, 4) t(n) UNION ALL SELECT 'm:page' || n, CASE WHEN n = 1 THEN 'gate' ELSE 'hint' END FROM range(1, 3) t(n)), u AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'm:chapter_' ELSE 'm:page' END || s_suppkey AS key FROM supplier) SELECT key, kind FROM k UNION ALL SELECT key, 'loot' FROM u WHERE key LIKE 'm:chapter%' AND key NOT IN (SELECT key FROM k)")
 def token_families(spark, d):
     """Numbered tokens of suppliers: one family of one kind, one of two."""

@@ -164,3 +164,23 @@ def test_reports_and_series(spark, tmp_path):
     assert rows(timeseries.power(spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "ts long, stored long"), 2, 3)) == [(2, 6), (3, 7)]
     assert [timeseries.pick_tier(w) for w in (60, 7200, 7201, 10**9)] == [60, 60, 600, 3600]
     assert rows(search.key_costs(spark.createDataFrame([("a", float("inf")), ("b", 2.0)], "key string, cost double"), spark.createDataFrame([("a",), ("b",), ("c",)], "key string"))) == [("a", None), ("b", 2.0), ("c", None)]
+
+
+def test_token_offers_and_groups(spark):
+    uses = [["pack:a"], ["pack:a", "pack:b"], ["pack:b"], ["pack:c:2"], ["pack:known"], ["m:plain"], ["pack:made"]]
+    recipes = [(i, "c", [("m:o" if i else "pack:made", 1)], [([k], 1, 1) for k in ks], {}) for i, ks in enumerate(uses)]
+    g = make(spark, recipes, [("pack:a", "An %s"), ("pack:c", "Crate"), ("far:x", "Far")])
+    known = spark.createDataFrame([("pack:known", "gate"), ("pack:gone", "loot"), ("pack:gone", "loot"), ("pack:odd", "other")], "key string, kind string")
+    eligible = sourcing.pack_unexplained(g, mods=("pack",))
+    got = [tuple(r) for r in sourcing.token_candidates(g, known, eligible).collect()]
+    assert got == [("pack:a", "An", 2), ("pack:b", "B", 2), ("pack:c:2", "Crate (2)", 1)]
+    assert [r.key for r in sourcing.token_candidates(g, known, eligible, 1).collect()] == ["pack:a"]
+    assert rows(sourcing.token_groups(g, known)) == [(0, "loot", "found by playing", "pack:gone", 0), (1, "gate", "locked behind progress", "pack:known", 1)]
+    assert sourcing.token_candidates(g, known, eligible.limit(0)).count() == 0
+
+
+def test_structure_items(spark):
+    g = make(spark, [(1, "modularmachinery.recipes.kiln", [("m:o", 1)], [(["m:i"], 1, 1)], {}), (2, "other", [("modularmachinery:mill_controller", 1)], [], {})], [("modularmachinery:kiln_controller", "Kiln")])
+    got = rows(machines.structure_items(spark.createDataFrame([("kiln",), ("kiln",), ("mill",), ("",), (None,), ("fan",)], "registry string"), g))
+    name = lambda r: (r, f"modularmachinery.recipes.{r}", f"modularmachinery:{r}_controller")
+    assert got == [(*name("fan"), False, 0), (*name("kiln"), True, 1), (*name("mill"), True, 0)]
