@@ -56,6 +56,21 @@ def _combined(base: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
+def _fold(buckets: dict[int, list[int]], rows, size: int, closed: int | None = None) -> None:
+    """Puts rows (OPEN) into the buckets, ts -> [seq, qty, lo, hi], they fall into."""
+    for ts, seq, qty, lo, hi in rows:
+        ts -= ts % size
+        if closed is not None and ts <= closed:
+            continue
+        b = buckets.get(ts)
+        if b is None:
+            buckets[ts] = [seq, qty, lo, hi]
+            continue
+        if seq >= b[0]:
+            b[0], b[1] = seq, qty
+        b[2], b[3] = min(b[2], lo), max(b[3], hi)
+
+
 class _Tiers(StatefulProcessor):
     def __init__(self, tiers: dict[int, int]):
         self.tiers = tiers
@@ -66,24 +81,21 @@ class _Tiers(StatefulProcessor):
         self.after = handle.getMapState("after", _ROW, _LONG)
         self.due = handle.getValueState("due", _LONG)
 
-    def _step(self, key: str, new: pd.DataFrame | None, passed: int) -> Iterator[pd.DataFrame]:
+    def _step(self, key: str, new: dict[int, list[int]], passed: int) -> Iterator[pd.DataFrame]:
         """Adds buckets, closes those that the watermark ``passed`` (ms), drops
         what expired, and sets the timer."""
         out, waits = [], []
         for size, keep in self.tiers.items():
             there = self.head.getValue((size,)) if self.head.containsKey((size,)) else (None,) * 4 + ([],) * len(OPEN)
             level, closed, oldest, newest = there[:4]
-            held = pd.DataFrame(dict(zip(OPEN, map(list, there[4:]))), dtype="int64").assign(t=0)
-            if new is not None:
-                mine = new.assign(ts=new["ts"] - new["ts"] % size)
-                held = _merged(pd.concat([held, mine if closed is None else mine[mine["ts"] > closed]]), ["ts"])
-            done = (held["ts"] + size) * 1000 <= passed
+            held = {ts: b for ts, *b in zip(*there[4:])}
+            _fold(held, ((ts, *b) for ts, b in new.items()), size, closed)
             fresh = []
-            for ts, qty, lo, hi in held.loc[done, ["ts", "qty", "lo", "hi"]].astype(int).itertuples(index=False):
+            for ts in sorted(ts for ts in held if (ts + size) * 1000 <= passed):
+                _, qty, lo, hi = held.pop(ts)
                 if level is None or lo != level or hi != level:
                     fresh.append((ts, qty))
                 level, closed = qty, ts
-            held = held[~done]
             expired = lambda ts: (ts + keep) * 1000 < passed
             while oldest is not None:
                 follows = self.after.getValue((size, oldest))[0] if oldest != newest else fresh[0][0] if fresh else None
@@ -103,9 +115,9 @@ class _Tiers(StatefulProcessor):
             if chain:
                 oldest, newest = chain[0] if oldest is None else oldest, chain[-1]
             follows = self.after.getValue((size, oldest))[0] if oldest != newest else None
-            waits += [(int(held["ts"].min()) + size) * 1000] if len(held) else []
+            waits += [(min(held) + size) * 1000] if held else []
             waits += [(follows + keep) * 1000 + 1] if follows is not None else []
-            self.head.updateValue((size,), (level, closed, oldest, newest, *(held[f].astype(int).tolist() for f in OPEN)))
+            self.head.updateValue((size,), (level, closed, oldest, newest, list(held), *([b[i] for b in held.values()] for i in range(4))))
         was, due = self.due.get()[0] if self.due.exists() else None, min(waits, default=None)
         if was != due:
             if was is not None and was > passed:
@@ -119,14 +131,13 @@ class _Tiers(StatefulProcessor):
             yield pd.DataFrame(out, columns=["tier", "key", "ts", "qty", "kept"]).astype({"qty": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = None
+        new: dict[int, list[int]] = {}
         for b in rows:
-            b = b[["t", *OPEN]]
-            new = _merged(b if new is None else pd.concat([new, b]), ["ts"])
+            _fold(new, zip(*(b[f].tolist() for f in OPEN)), min(self.tiers))
         yield from self._step(key[0], new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key[0], None, timerValues.getCurrentWatermarkInMs())
+        yield from self._step(key[0], {}, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
