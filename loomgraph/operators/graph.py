@@ -62,6 +62,17 @@ def consumers(g: Graph) -> DataFrame:
     return used.select("key", "rid").unionByName(concrete(g).join(any_meta, "base").select("key", "rid")).unionByName(by_ore)
 
 
+def consumer_counts(g: Graph) -> DataFrame:
+    """(key, consumers): how many rows ``consumers`` has of each key.  Uses are
+    counted before they are given to a base's metas and a group's members, so
+    that no pair of a recipe and a member is made."""
+    uses = g.slot.select("rid", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    by_ore = g.ore_member.join(uses.withColumnRenamed("key", "ore"), "ore").select("key", "n")
+    any_meta = uses.where(K.meta_is_wild("key")).select(K.split_base("key").alias("base"), "n")
+    rows = uses.unionByName(concrete(g).join(any_meta, "base").select("key", "n")).unionByName(by_ore)
+    return rows.groupBy("key").agg(F.sum("n").alias("consumers"))
+
+
 def _real(made: DataFrame) -> DataFrame:
     """Without the emptying of a container where the key is a fluid."""
     return made.where(~(F.col("transfer") & (K.kind_of("key") == "fluid")))
@@ -167,7 +178,7 @@ def fact_counts(g: Graph) -> DataFrame:
     """One row per key of the universe: counts that predicates ask for."""
     made = real_producers(g).groupBy("key").agg(F.count(F.lit(1)).alias("producers"))
     all_made = producers(g).groupBy("key").agg(F.count(F.lit(1)).alias("all_producers"))
-    used = consumers(g).groupBy("key").agg(F.count(F.lit(1)).alias("consumers"))
+    used = consumer_counts(g)
     out = universe(g)
     for part in (made, all_made, used):
         out = out.join(part, "key", "left")

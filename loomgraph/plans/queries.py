@@ -82,7 +82,7 @@ def consumers_bag_count(spark, d):
     tens = g.slot.join(g.names.where("part % 10 = 0"), "key").select("rid", "slot", F.lit(1).alias("alt"), F.concat(F.lit("ore:"), "type").alias("key"), "qty", "p")
     g.slot = g.slot.unionByName(tens)
     g.names = g.names.limit(0)  # no wildcards here
-    return G.consumers(g).where(K.kind_of("key") == "item").groupBy("key").agg(F.count(F.lit(1)).alias("consumers"))
+    return G.consumer_counts(g).where(K.kind_of("key") == "item")
 
 
 @query("SELECT key, rid FROM outp JOIN recipe USING (rid) WHERE not_production IS NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import keys as K
 from loomgraph.operators import costs, machines, names, reports, search, sourcing, timeseries
-from loomgraph.operators.graph import Graph, Known, facts, scan
+from loomgraph.operators.graph import Graph, Known, consumer_counts, consumers, facts, scan
 
 
 def make(spark, recipes, labels=(), ores=(), stock=(), catalysts=None):
@@ -179,6 +179,19 @@ def test_token_offers_and_groups(spark):
     assert sourcing.token_candidates(g, known, eligible.limit(0)).count() == 0
 
 
+def test_consumer_counts(spark):
+    """As the rows of ``consumers``, without making them: 30,000 recipes that
+    take a group of 30,000 would be 900 million."""
+    recipes = [(i, "c", [("m:o", 1)], [(ks, 1, 1)], {}) for i, ks in enumerate([["m:a:1", "ore:x"], ["ore:x"], ["ore:x", "ore:y", "m:a:*"], ["m:a:*"], ["m:a:1", "m:a:*"]])]
+    g = make(spark, recipes, [("m:a:1", "A"), ("m:a:2", "B"), ("m:a:3#0123456789ab", "C")], [("ore:x", 0, "m:a:1"), ("ore:x", 1, "m:b"), ("ore:y", 0, "m:b"), ("ore:y", 1, "m:b"), ("ore:z", 0, "m:c")])
+    plain = consumers(g).groupBy("key").agg(F.count(F.lit(1)).alias("consumers"))
+    assert rows(consumer_counts(g)) == rows(plain)
+    n = 30_000
+    g.slot = spark.range(n).select(F.col("id").alias("rid"), F.lit(0).alias("slot"), F.lit(0).alias("alt"), F.lit("ore:x").alias("key"), F.lit(1).alias("qty"), F.lit(1.0).alias("p"))
+    g.ore_member = spark.range(n).select(F.lit("ore:x").alias("ore"), F.col("id").alias("ord"), F.concat(F.lit("m:i"), "id").alias("key"))
+    assert rows(consumer_counts(g).where("key <> 'ore:x'").agg(F.count(F.lit(1)), F.min("consumers"), F.max("consumers"))) == [(n, n, n)]
+
+
 def test_structure_items(spark):
     g = make(spark, [(1, "modularmachinery.recipes.kiln", [("m:o", 1)], [(["m:i"], 1, 1)], {}), (2, "other", [("modularmachinery:mill_controller", 1)], [], {})], [("modularmachinery:kiln_controller", "Kiln")])
     got = rows(machines.structure_items(spark.createDataFrame([("kiln",), ("kiln",), ("mill",), ("",), (None,), ("fan",)], "registry string"), g))
