@@ -36,6 +36,22 @@ def settled(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def clustered(spark: SparkSession, df: DataFrame, by: str, spread: bool = True) -> DataFrame:
+    """``settled`` in buckets by a column, as many as a shuffle has partitions:
+    what joins or groups by it reads them as they are, without a shuffle.
+    ``spread``: False where the rows are in these partitions already."""
+    n, name = buckets(spark), uuid.uuid4().hex
+    path = f"{shared_folder(spark)}/loomgraph-core/{name}"
+    rows = df.repartition(n, by) if spread else df
+    rows.write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(f"loomgraph_{name}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.table(f"loomgraph_{name}")
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a settled table that nothing reads any more."""
     made = _made.get(spark.sparkContext.applicationId, [])
@@ -47,14 +63,15 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             made.remove(path)
 
 
-def kept(spark: SparkSession, name: str, make, source: str | None = None) -> DataFrame:
+def kept(spark: SparkSession, name: str, make, source: str | None = None, by: str | None = None) -> DataFrame:
     """The table of this name, made and written once per application.  With
     ``source``, a path, once per state of the files below it: names, lengths and
-    times of change, so that a changed table is read anew."""
+    times of change, so that a changed table is read anew.  ``by``: in buckets by
+    this column, whose partitions ``make`` has its rows in."""
     state = files_state(spark, source) if source is not None else ""
     at = (spark.sparkContext.applicationId, name)
     if at not in _kept or _kept[at][0] != state:
-        _kept[at] = (state, settled(spark, make()))
+        _kept[at] = (state, settled(spark, make()) if by is None else clustered(spark, make(), by, False))
     return _kept[at][1]
 
 

@@ -8,11 +8,11 @@ of l_quantity.  Every tenth part (``partkey % 10 = 3``) is a fluid; orders that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
-from ..operators.store import kept
+from ..operators.store import buckets, kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,32 +25,27 @@ def part_key(part) -> object:
 
 def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, part, qty, tax, discount, out_part) of orders with several parts."""
-    li = table(spark, sf_dir, "lineitem")
-    lp = li.groupBy(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("part")).agg(
-        F.sum("l_quantity").cast("long").alias("qty"), F.min("l_tax").alias("tax"), F.max("l_discount").alias("discount")
-    )
-    multi = lp.groupBy("rid").agg(F.min("part").alias("out_part"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return lp.join(multi, "rid")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("part"), "l_quantity", "l_tax", "l_discount")
+    # the only shuffle: all below is by order
+    lp = li.repartition(buckets(spark), "rid").groupBy("rid", "part").agg(F.sum("l_quantity").cast("long").alias("qty"), F.min("l_tax").alias("tax"), F.max("l_discount").alias("discount"))
+    order = Window.partitionBy("rid")
+    return lp.withColumns({"out_part": F.min("part").over(order), "n": F.count(F.lit(1)).over(order)}).where("n >= 2")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph, written to the shared folder once per application and path (as
-    a graph is loaded once by those who query it)."""
-    g = None
-
-    def part(name: str) -> DataFrame:
-        def make() -> DataFrame:
-            nonlocal g
-            g = g or made(spark, sf_dir)
-            return getattr(g, name)
+    a graph is loaded once by those who query it); outputs and slots are columns
+    of the orders' parts, which are written in buckets by recipe as recipes are."""
+    g = made(spark, sf_dir)
 
-        return kept(spark, f"graph {sf_dir} {name}", make, sf_dir)
+    def part(name: str, by: str | None = None) -> DataFrame:
+        return kept(spark, f"graph {sf_dir} {name}", lambda: getattr(g, name), sf_dir, by)
 
-    return Graph(*(part(name) for name in ("recipe", "output", "slot", "names", "ore_member", "stock")))
+    return Graph(part("recipe", "rid"), g.output, g.slot, *(part(name) for name in ("names", "ore_member", "stock")))
 
 
 def made(spark: SparkSession, sf_dir: str) -> Graph:
-    lp = kept(spark, f"order parts {sf_dir}", lambda: order_parts(spark, sf_dir), sf_dir)
+    lp = kept(spark, f"order parts {sf_dir}", lambda: order_parts(spark, sf_dir), sf_dir, "rid")
     orders = table(spark, sf_dir, "orders")
     rids = lp.select("rid").distinct()
     recipe = rids.join(orders, F.col("rid") == F.col("o_orderkey")).select(
