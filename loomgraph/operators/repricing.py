@@ -15,13 +15,10 @@ values.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keys as K
-from .costs import CEILING, LEAST_GAIN, MANY, PER_UNIT, Rules, _small, node_prices, raw_seed, recipe_prices, rules
+from .costs import CEILING, LEAST_GAIN, Rules, _small, node_prices, per_unit, raw_seed, recipe_prices, relaxed, rules
 from .graph import Graph
 from .store import forget, settled
 
@@ -30,12 +27,10 @@ MEETS = 1e-7
 
 
 def _nodes_of(r: Rules, keys: DataFrame) -> DataFrame:
-    """(key): the keys, and the ore groups and choices they are in."""
+    """(key): the keys, and the ore groups they are in."""
     new = keys.select("key")
-    if r.n_ores:
+    if r.n_groups:
         new = new.union(r.ores.join(new, "key", "left_semi").select(F.col("ore").alias("key")))
-    if r.n_choices:
-        new = new.union(r.choices.join(new, "key", "left_semi").select(F.col("node").alias("key")))
     return new.distinct()
 
 
@@ -43,9 +38,9 @@ def _rests_on(r: Rules, cost: DataFrame, start: DataFrame) -> DataFrame:
     """(key): ``start``, and all keys whose price at ``cost`` meets that of a
     recipe that takes one of them."""
     spark, n = cost.sparkSession, cost.count()
-    priced = recipe_prices(r.slots, node_prices(r, cost, n), n + r.n_more)
+    priced = recipe_prices(r, r.slots, node_prices(r, cost, n), n)
     meets = F.col("price") <= F.col("cost") * (1 + MEETS) + LEAST_GAIN
-    tight = settled(spark, r.outputs.join(priced, "rid").withColumn("price", F.expr(PER_UNIT)).join(cost, "key").where(meets).select("rid", "key"))
+    tight = settled(spark, r.outputs.join(priced, "rid").withColumn("price", per_unit()).join(_small(cost, n), "key").where(meets).select("rid", "key"))
     gone = new = settled(spark, start.select("key").distinct())
     for _ in range(CEILING):
         hit = r.slots.join(_nodes_of(r, new), "key", "left_semi").select("rid").distinct()
@@ -85,7 +80,7 @@ def reprice(before: Graph, after: Graph, cost: DataFrame, changed: DataFrame, se
         work["priced"], work["passes"] = work["priced"] + hit.count(), done
         n = now.count()
         slots = new.slots.join(hit, "rid", "left_semi")
-        found = new.outputs.join(recipe_prices(slots, node_prices(new, now.select("key", "cost"), n), n + new.n_more), "rid").select("key", F.expr(PER_UNIT).alias("now"))
+        found = new.outputs.join(recipe_prices(new, slots, node_prices(new, now.select("key", "cost"), n), n), "rid").select("key", per_unit().alias("now")).where("now IS NOT NULL")
         met = now.select("key", "cost").join(found.groupBy("key").agg(F.min("now").alias("now")), "key", "full")
         better = F.col("now").isNotNull() & (F.col("cost").isNull() | (F.col("now") < F.col("cost") - LEAST_GAIN))
         next_ = settled(spark, met.select("key", F.when(better, F.col("now")).otherwise(F.col("cost")).alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")))
@@ -100,53 +95,8 @@ def relax_many(g: Graph, seed: DataFrame, values: list[float], r: Rules | None =
     """(key, cost_0, cost_1, ...): prices at the fixpoint for each flat price of
     a machine in ``values``, and the passes it took.  A key has a price for all
     of them or for none, as the same recipes can be run."""
-    spark = g.recipe.sparkSession
     r = r or rules(g, g.recipe.select("category").distinct().withColumn("entry_cost", F.lit(0.0)))
-    costs = [f"cost_{i}" for i in range(len(values))]
-    now = settled(spark, seed.select("key", *[F.col("cost").alias(c) for c in costs], F.lit(True).alias("changed")))
-    n, n_new = now.count(), 0
-    for done in range(1, CEILING + 1):
-        nodes = _nodes(r, now.drop("changed"), n, costs)
-        slots = r.slots
-        if done > 1 and n_new < n * MANY:
-            slots = slots.join(slots.join(_nodes_of(r, now.where("changed").select("key")), "key", "left_semi").select("rid").distinct(), "rid", "left_semi")
-        found = r.outputs.join(_runs(slots, nodes, n + r.n_more, costs), "rid")
-        found = found.groupBy("key").agg(*[F.min(F.expr(_unit(c, v))).alias(f"now_{c}") for c, v in zip(costs, values)])
-        met = now.drop("changed").join(found, "key", "full")
-        better = {c: F.col(f"now_{c}").isNotNull() & (F.col(c).isNull() | (F.col(f"now_{c}") < F.col(c) - LEAST_GAIN)) for c in costs}
-        some = reduce(lambda a, b: a | b, better.values())
-        after = settled(spark, met.select("key", *[F.when(b, F.col(f"now_{c}")).otherwise(F.col(c)).alias(c) for c, b in better.items()], F.coalesce(some, F.lit(False)).alias("changed")))
-        forget(spark, now)
-        now = after
-        n, n_new = now.agg(F.count(F.lit(1)), F.count_if("changed")).first()
-        if not n_new:
-            return now.drop("changed"), done
-    raise RuntimeError("prices did not settle")
-
-
-def _unit(c: str, value: float) -> str:
-    return f"base + {value!r}D + retained_{c} + spent_{c} / out"
-
-
-def _nodes(r: Rules, cost: DataFrame, n: int, costs: list[str]) -> DataFrame:
-    """``node_prices`` of each column."""
-    known, plain = _small(cost, n), cost
-    if r.n_groups:
-        member = r.ores.join(known, "key").groupBy(F.col("ore").alias("key")).agg(*[F.min(c).alias(f"m_{c}") for c in costs])
-        ore = r.groups.join(member, "key", "left").join(known, "key", "left").select("key", *[F.coalesce(f"m_{c}", c, F.lit(K.BASE_RAW_COST)).alias(c) for c in costs])
-        plain = cost.where(K.kind_of("key") != "ore").unionByName(ore)
-    if not r.n_choices:
-        return plain
-    chosen = r.choices.join(_small(plain, n + r.n_groups), "key").groupBy(F.col("node").alias("key")).agg(*[F.min(F.col(c) * F.col("amount")).alias(c) for c in costs])
-    return plain.unionByName(chosen)
-
-
-def _runs(slots: DataFrame, nodes: DataFrame, n: int, costs: list[str]) -> DataFrame:
-    """``recipe_prices`` of each column, and the number of slots."""
-    met = slots.join(_small(nodes, n), "key", "left")
-    price = {c: F.col(c) * F.col("amount") for c in costs}
-    sums = [F.sum(F.when(F.col("kept") == held, p).otherwise(0.0)).alias(f"{name}_{c}") for c, p in price.items() for name, held in (("retained", True), ("spent", False))]
-    return met.groupBy("rid").agg(F.expr(f"bool_and({costs[0]} IS NOT NULL)").alias("open"), F.count(F.lit(1)).alias("slots"), *sums).where("open").drop("open")
+    return relaxed(r, seed.select("key", "cost"), [f"cost_{i}" for i in range(len(values))], values)
 
 
 def sensitivity(g: Graph, seed: DataFrame, values: list[float]) -> DataFrame:
@@ -157,8 +107,9 @@ def sensitivity(g: Graph, seed: DataFrame, values: list[float]) -> DataFrame:
     r = rules(g, g.recipe.select("category").distinct().withColumn("entry_cost", F.lit(0.0)))
     cost, _ = relax_many(g, seed, values, r)
     costs, n = [f"cost_{i}" for i in range(len(values))], cost.count()
-    routes = r.outputs.join(_runs(r.slots, _nodes(r, cost, n, costs), n + r.n_more, costs), "rid").join(g.recipe.where("not_production IS NULL").select("rid"), "rid")
-    best = routes.groupBy("key").agg(*[F.min(F.struct(F.round(F.expr(_unit(c, v)), 9), "slots", "rid")).getField("rid").alias(f"rid_{i}") for i, (c, v) in enumerate(zip(costs, values))])
+    routes = r.outputs.join(recipe_prices(r, r.slots, node_prices(r, cost, n, tuple(costs)), n, tuple(costs)), "rid").join(g.recipe.where("not_production IS NULL").select("rid"), "rid", "left_semi")
+    routes = routes.where(F.col("slots") == F.col("met_cost_0"))
+    best = routes.groupBy("key").agg(*[F.min(F.struct(F.round(per_unit(c, v), 9), "slots", "rid")).getField("rid").alias(f"rid_{i}") for i, (c, v) in enumerate(zip(costs, values))])
     out = best.agg(F.count(F.lit(1)).alias("keys"), *[F.count_if(F.col(f"rid_{i}") != F.col("rid_0")).alias(f"moved_{i}") for i in range(len(values))])
     rows = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("value"), F.col(f"moved_{i}").alias("moved")) for i, v in enumerate(values)]))
     return out.select("keys", rows.alias("r")).select("r.value", "keys", "r.moved")

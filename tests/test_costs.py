@@ -136,3 +136,13 @@ def test_plans_take_one_alternative_a_slot(spark):
     asked = spark.createDataFrame([(1, "p:1", 1)], "request long, key string, need long")
     with pytest.raises(ValueError, match="several alternatives"):
         costs.plan(asked, two, costs.best_recipes(g, costs.raw_seed(g)))
+
+
+@pytest.mark.parametrize("name", ["relax_alternatives", "price_vectors"])
+def test_prices_of_open_recipes_only(monkeypatch, same_as_sql, name):
+    """Recipes that cannot better a price are left out, and prices are shuffled."""
+    import __spark_entry__
+
+    monkeypatch.setattr(costs, "FEW", 0)
+    monkeypatch.setattr(costs, "PRICES_BROADCAST", 0)
+    same_as_sql(__spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
