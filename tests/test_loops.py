@@ -415,3 +415,17 @@ def test_cached_tables_have_a_header_and_one_writer(spark, tmp_path, monkeypatch
         store.cached(spark, folder, ("c",), lambda: 1 / 0)
     assert not [p for p in tmp_path.glob("cache/*") if p.name.startswith("_draft")] and len(store.made_of(spark, folder)) == 3
     assert store.code_version(costs) != store.code_version(cycles) and len(store.code_version(costs)) == 24
+
+
+def test_picks_meet_their_slots_without_a_shuffle(spark):
+    slot = spark.createDataFrame([(r, s, a, f"m:{r}{s}{a}", 2 + s, 1.0) for r in range(9) for s in range(2) for a in range(1 + s)], "rid long, slot long, alt int, key string, qty long, p double")
+    g = Graph(None, None, store.clustered(spark, slot, "rid"), None, None, None)
+    picks = store.clustered(spark, slot.where("alt = 0").select("rid", "slot", "key"), "rid")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        uses = cycles.merged_uses(g, picks)
+        assert "Exchange" not in uses._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in uses.collect()) == [(r, f"m:{r}{s}0", 1.0, 2 + s, 1 + s) for r in range(9) for s in range(2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
