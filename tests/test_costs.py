@@ -146,3 +146,14 @@ def test_prices_of_open_recipes_only(monkeypatch, same_as_sql, name):
     monkeypatch.setattr(costs, "FEW", 0)
     monkeypatch.setattr(costs, "PRICES_BROADCAST", 0)
     same_as_sql(__spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
+
+
+def test_plan_keeps_only_the_slots_of_routes_by_recipe(spark, monkeypatch):
+    recipes = {1: ("p:1", 1, None, {"p:2": (1, 1.0)}), 2: ("p:1", 1, None, {"p:3": (3, 1.0), "p:4": (1, 1.0)}), 3: ("p:2", 1, None, {"p:4": (2, 1.0)})}
+    kept, whole = [], costs.clustered
+    monkeypatch.setattr(costs, "clustered", lambda s, df, by, *more: kept.append(whole(s, df, by, *more)) or kept[-1])
+    asked = spark.createDataFrame([(1, "p:1", 10)], "request long, key string, need long")
+    chosen = spark.createDataFrame([("p:1", 1, 1), ("p:2", 3, 1)], "key string, rid long, per_run long")
+    got = costs.plan(asked, small_graph(spark, recipes, {}), chosen).collect()
+    assert sorted((r.path, r.need, r.status) for r in got) == [("p:1", 10, "craft"), ("p:1>p:2", 10, "craft"), ("p:1>p:2>p:4", 20, "raw")]
+    assert [sorted(r.rid for r in t.collect()) for t in kept] == [[1, 3]]
