@@ -429,3 +429,16 @@ def test_picks_meet_their_slots_without_a_shuffle(spark):
         assert sorted(tuple(r) for r in uses.collect()) == [(r, f"m:{r}{s}0", 1.0, 2 + s, 1 + s) for r in range(9) for s in range(2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_churn_keeps_dumps_by_key_once(spark, monkeypatch):
+    row = lambda *r: r
+    schema = "key string, name string, tag string, o string, u string"
+    old = spark.createDataFrame([row(f"m:a#{i}", "n", t, f"{t}{i}", t) for i in range(4) for t in "xy"], schema)
+    new = spark.createDataFrame([row(f"m:a#{i}" + ("" if i else "c"), "n", t, f"{t}{i}" + ("!" if not i and t == "y" else ""), t) for i in range(4) for t in "xy"], schema)
+    kept, whole = [], churn.clustered
+    monkeypatch.setattr(churn, "clustered", lambda s, df, by, *more: kept.append(whole(s, df, by, *more)) or kept[-1])
+    tags, items = churn.churn(old, new)
+    assert sorted((r.tag, r.changed, r.order_only, r.same) for r in tags.collect()) == [("x", 0, 0, 1), ("y", 1, 1, 0)]
+    assert (items.first().changed_items, items.first().unchanged_items) == (1, 3)
+    assert [sorted(map(tuple, t.select(*old.columns).collect())) for t in kept] == [sorted(map(tuple, d.collect())) for d in (old, new)]
