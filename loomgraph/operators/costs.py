@@ -75,6 +75,7 @@ class Rules:
     groups: DataFrame
     choices: bool  # whether some slot has several alternatives
     n_groups: int
+    written: bool = True  # else slots are columns of the graph's
 
 
 def rules(g: Graph, entry: DataFrame | None = None, bare: DataFrame | None = None, like: Rules | None = None) -> Rules:
@@ -98,22 +99,20 @@ def rules(g: Graph, entry: DataFrame | None = None, bare: DataFrame | None = Non
         outputs = outputs.unionByName(also)
     # of a recipe that makes a key twice, the slot with the most decides
     outputs = outputs.groupBy("rid", "key").agg(F.max("out").alias("out"), F.first("base").alias("base"))
-    if like is None:
-        kept = F.col("p") == 0
-        amount = F.when(kept, K.scaled_qty("qty", 1.0, "key")).otherwise(K.scaled_qty("qty", 1.0, "key") * F.col("p"))
-        alts = g.slot.select("rid", "slot", "key", amount.alias("amount"), kept.alias("kept"))
-        # by recipe first, so that what is by slot needs no shuffle of its own; an input is kept if all of its alternatives are
-        alts = alts.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("rid"))).withColumn("kept", F.expr("bool_and(kept) OVER (PARTITION BY rid, slot)"))
-        slots = clustered(spark, alts, "rid", False)
-    else:
-        slots = like.slots
-    counted = slots.groupBy("rid").agg(F.count_distinct("slot").alias("slots"), F.max("rows").alias("rows"))
-    outputs = clustered(spark, outputs.join(counted, "rid"), "rid", False)
+    slots = g.slot.groupBy("rid").agg(F.count_distinct("slot").alias("slots"), F.count(F.lit(1)).alias("rows"))
+    outputs = clustered(spark, outputs.join(slots, "rid"), "rid", False)
     if like is not None:
-        return Rules(outputs.drop("rows"), slots, like.ores, like.groups, like.choices, like.n_groups)
-    groups = settled(spark, slots.select("key").where(K.kind_of("key") == "ore").distinct())
+        return Rules(outputs.drop("rows"), like.slots, like.ores, like.groups, like.choices, like.n_groups, like.written)
+    choices = bool(outputs.where("rows > slots").limit(1).count())
+    kept = F.col("p") == 0
+    amount = F.when(kept, K.scaled_qty("qty", 1.0, "key")).otherwise(K.scaled_qty("qty", 1.0, "key") * F.col("p"))
+    alts = g.slot.select("rid", "slot", "key", amount.alias("amount"), kept.alias("kept"))
+    if choices:  # an input is kept if all of its alternatives are; by recipe first, so that what is by slot needs no shuffle of its own
+        alts = alts.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("rid"))).withColumn("kept", F.expr("bool_and(kept) OVER (PARTITION BY rid, slot)")).drop("rows")
+    groups = settled(spark, g.slot.select("key").where(K.kind_of("key") == "ore").distinct())
     ores = settled(spark, g.ore_member.select("ore", "key").join(groups.select(F.col("key").alias("ore")), "ore", "left_semi"))
-    return Rules(outputs.drop("rows"), slots, ores, groups, bool(outputs.where("rows > slots").limit(1).count()), groups.count())
+    # what is in buckets by recipe already is not written a second time
+    return Rules(outputs.drop("rows"), alts if g.by_recipe else clustered(spark, alts, "rid", not choices), ores, groups, choices, groups.count(), not g.by_recipe)
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -253,6 +252,8 @@ def relaxed(r: Rules, seed: DataFrame, costs: list[str], values: list[float], pa
     start = seed.groupBy("key").agg(F.min("cost").alias("cost")).join(base, "key", "full")
     now = settled(spark, start.select("key", *[F.col("cost").alias(c) for c in costs], F.least("cost", "low").alias("low")))
     n, slots, outputs, n_open = now.count(), r.slots, r.outputs, None
+    if not r.written and n <= FEW and passes != 1:
+        slots = clustered(spark, slots, "rid", False)  # all passes read them
     for done in range(1, (CEILING if passes is None else passes) + 1):
         priced = recipe_prices(r, slots, node_prices(r, now, n, tuple(costs), "low"), n, (*costs, "low"))
         routes = outputs.join(priced, "rid").select("rid", "key", *[per_unit(c, v).alias(f"now_{c}") for c, v in zip(costs, values)], per_unit("low", least).alias("bound")).where("bound IS NOT NULL")

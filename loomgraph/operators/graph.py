@@ -31,6 +31,7 @@ class Graph:
     ore_member: DataFrame
     stock: DataFrame
     catalyst: DataFrame | None = None
+    by_recipe: bool = False  # whether slots are kept in buckets by rid
 
 
 def concrete(g: Graph) -> DataFrame:

@@ -41,7 +41,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     def part(name: str, by: str | None = None) -> DataFrame:
         return kept(spark, f"graph {sf_dir} {name}", lambda: getattr(g, name), sf_dir, by)
 
-    return Graph(part("recipe", "rid"), g.output, g.slot, *(part(name) for name in ("names", "ore_member", "stock")))
+    return Graph(part("recipe", "rid"), g.output, g.slot, *(part(name) for name in ("names", "ore_member", "stock")), by_recipe=True)
 
 
 def made(spark: SparkSession, sf_dir: str) -> Graph:

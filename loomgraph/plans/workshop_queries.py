@@ -472,7 +472,7 @@ def machine_entry_cost(spark, d):
 @query(f"{_ENTRY},{_relaxed(PASSES, 'seed', 'entry', 'b')} SELECT key, round(min(cost), 4) AS cost FROM (SELECT key, cost FROM bc{PASSES} UNION ALL SELECT key, 0.0 FROM stock WHERE qty > 0) GROUP BY key")
 def relax_two_phase(spark, d):
     g = graph(spark, d)
-    plain = G.Graph(g.recipe.withColumn("variant", F.lit(False)), g.output, g.slot, g.names, g.ore_member, g.stock, g.catalyst)
+    plain = G.Graph(g.recipe.withColumn("variant", F.lit(False)), g.output, g.slot, g.names, g.ore_member, g.stock, g.catalyst, g.by_recipe)
     cost, _ = costs.estimate(plain, costs.layered_seed(g, _scenario(spark, d)), g.catalyst, stock=g.stock)
     return cost.select("key", F.round("cost", 4).alias("cost"))
 

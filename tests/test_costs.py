@@ -157,3 +157,18 @@ def test_plan_keeps_only_the_slots_of_routes_by_recipe(spark, monkeypatch):
     got = costs.plan(asked, small_graph(spark, recipes, {}), chosen).collect()
     assert sorted((r.path, r.need, r.status) for r in got) == [("p:1", 10, "craft"), ("p:1>p:2", 10, "craft"), ("p:1>p:2>p:4", 20, "raw")]
     assert [sorted(r.rid for r in t.collect()) for t in kept] == [[1, 3]]
+
+
+def test_slots_that_are_by_recipe_are_not_written_again(spark, sf_dir, monkeypatch):
+    from loomgraph.plans import workshop
+
+    kept, whole = [], costs.clustered
+    g = workshop.graph(spark, sf_dir)
+    monkeypatch.setattr(costs, "clustered", lambda s, df, by, *more: kept.append(df.columns) or whole(s, df, by, *more))
+    r = costs.rules(g)
+    assert [c for c in kept if "amount" in c] == []
+    # an input is kept if all of its alternatives are, as where slots are written
+    mixed = g.slot.withColumn("p", F.when((F.col("slot") % 2 == 0) & (F.col("alt") == 1), 0.0).otherwise(F.col("p")))
+    of = lambda by: costs.rules(Graph(g.recipe, g.output, mixed, g.names, g.ore_member, g.stock, g.catalyst, by)).slots
+    a, b = of(True), of(False)
+    assert r.choices and a.count() == b.count() > 0 and not a.exceptAll(b).count()
