@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import Graph, consumers, facts, live_keys, places, producers, real_producers, scan
+from .graph import Graph, consumer_counts, consumers, facts, live_keys, places, producers, real_producers, scan
 from .reports import top_k
 from .store import settled
 
@@ -153,6 +155,10 @@ def search(g: Graph, query: str, max_damage: DataFrame | None = None, limit: int
 
 #: Letters of the longest pieces by which texts are looked up.
 GRAM = 3
+#: The rank of what has a query's terms apart.
+APART = 4
+#: Rows of queries' pieces up to which they are broadcast.
+ASKED_BROADCAST = 100_000
 
 
 def _grams(text) -> object:
@@ -167,9 +173,12 @@ def resolve(g: Graph, queries: DataFrame) -> DataFrame:
     with a label or stock, as written or made a key of, is that key; else the
     first key that ``search`` ranks for it, else null.
 
-    Labels and keys are looked up by pieces of up to three letters: a query goes
-    to those that have the rarest piece of its longest term, and all its terms
-    are then looked for there.
+    What decides between keys of one label is the same for every query, so that
+    of each label only its first key is looked up.  Keys themselves are looked up
+    only for queries that no label holds as they are, as a key that has what its
+    label lacks ranks last.  Both are met by pieces of up to three letters: a
+    query goes to those that have the rarest piece of its longest term, and all
+    its terms are then looked for there.
     """
     spark = g.recipe.sparkSession
     have = settled(spark, stock_of(g))
@@ -181,33 +190,64 @@ def resolve(g: Graph, queries: DataFrame) -> DataFrame:
     stocked = have.where("qty > 0").select("key")
     named = g.names.select("key", "label").join(live_keys(g).union(stocked).distinct(), "key", "left_semi").withColumn("bare", F.lit(False))
     bare = have.select("key").join(g.names.select("key"), "key", "left_anti").select("key", F.col("key").alias("label"), F.lit(True).alias("bare"))
-    shown = settled(spark, named.unionByName(bare).withColumns({"low": F.lower("label"), "low_key": F.lower("key")}))
-    index = settled(spark, shown.select("key", "label", F.explode(F.array_union(_grams(F.col("low")), _grams(F.col("low_key")))).alias("gram")).distinct())
-    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    made = real_producers(g).groupBy("key").agg(F.count(F.lit(1)).alias("makes"))
+    shown = named.unionByName(bare).join(have, "key", "left").join(consumer_counts(g).withColumnRenamed("consumers", "uses"), "key", "left").join(made, "key", "left").na.fill(0, ["qty", "uses", "makes"])
+    first = F.struct((F.col("qty") < WELL_STOCKED).alias("low_stock"), (-F.col("uses")).alias("uses"), (-F.col("makes")).alias("makes"), F.col("key").alias("key"))
+    shown = settled(spark, shown.select("key", "label", "bare", first.alias("first"), F.lower("label").alias("low"), F.lower("key").alias("low_key")))
+    labels = settled(spark, shown.groupBy("label", "bare", "low").agg(F.min("first").alias("first")))
 
     terms = F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "")
-    rest = asked.join(exact, "query", "left_anti").select("query", terms.alias("terms")).where("size(terms) > 0").withColumn("low_q", F.array_join("terms", " "))
-    longest = F.element_at(F.array_sort(F.transform("terms", lambda t: F.struct(-F.length(t), t.alias("t")))), 1).getField("t")
-    # of the longest term only its longest pieces: each text with the term has all of them
-    width = F.least(F.length(longest), F.lit(GRAM))
-    pieces = rest.select("query", "terms", "low_q", longest.alias("term"), width.alias("width")).select("query", "terms", "low_q", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - F.col("width") + 1), lambda i: F.substring("term", i, F.col("width")))).alias("gram"))
-    rarest = pieces.join(common, "gram", "left").groupBy("query", "terms", "low_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("query", "terms", "low_q", "g.gram")
-    met = rarest.join(index, "gram").select("query", "terms", "low_q", "key", "label").join(shown, ["key", "label"])
-    met = met.where(F.forall("terms", lambda t: F.contains("low", t) | F.contains("low_key", t)))
+    rest = settled(spark, asked.join(exact, "query", "left_anti").select("query", terms.alias("terms")).where("size(terms) > 0").withColumn("low_q", F.array_join("terms", " ")))
     q, low = F.col("low_q"), F.col("low")
     rank = F.when(F.col("bare"), F.when(low.startswith(q), 2).otherwise(3)).when(low == q, 0).when(low.startswith(q), 1).when(F.contains(low, F.concat(F.lit(" "), q)), 2).when(F.contains(low, q), 3).otherwise(4)
-    met = settled(spark, met.groupBy("query", "key").agg(F.min(F.struct(rank.alias("rank"), F.length("label").alias("length"), "label")).alias("at")))
-    wanted = met.select("key").distinct()
-    used = consumers(g).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    made = real_producers(g).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("makes"))
-    met = met.join(have, "key", "left").join(used, "key", "left").join(made, "key", "left").na.fill(0, ["qty", "uses", "makes"])
-    first = F.struct("at", (F.col("qty") < WELL_STOCKED).alias("low_stock"), (-F.col("uses")).alias("uses"), (-F.col("makes")).alias("makes"), F.col("key").alias("key"))
-    ranked = met.groupBy("query").agg(F.min(first).alias("b")).select("query", F.col("b.key").alias("ranked"))
+
+    def best(asks: DataFrame, rows: DataFrame, texts: tuple[str, ...]) -> DataFrame:
+        met = _met(asks, rows, texts).where(F.forall("terms", lambda t: reduce(Column.__or__, [F.contains(F.col(x), t) for x in texts])))
+        return met.groupBy("query").agg(F.min(F.struct(rank.alias("rank"), F.length("label").alias("length"), "label", "first")).alias("b"))
+
+    by_label = settled(spark, best(rest, labels, ("low",)))
+    apart = rest.join(by_label.where(F.col("b.rank") < APART), "query", "left_anti")
+    # a key can have what its label lacks only of queries with a term that some key may have
+    asks = settled(spark, _pieces(apart.select("query", F.explode("terms").alias("t")), F.col("t")))
+    in_keys = _asked_for(shown, ("low_key",), asks).distinct().withColumn("found", F.lit(True))
+    some = asks.join(in_keys, "gram", "left").groupBy("query", "t").agg(F.bool_and(F.col("found").isNotNull()).alias("whole")).where("whole").select("query").distinct()
+    by_key = best(settled(spark, apart.join(some, "query", "left_semi")), shown, ("low", "low_key"))
+    ranked = by_label.unionByName(by_key).groupBy("query").agg(F.min("b").alias("b")).select("query", F.col("b.first.key").alias("ranked"))
     out = asked.join(exact, "query", "left").join(ranked, "query", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("ranked").isNotNull(), "ranked").otherwise("none")
     return out.select("query", F.coalesce("exact", "ranked").alias("key"), how.alias("how"))
 
 
+def _small(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if asked.count() <= ASKED_BROADCAST else asked
+
+
+def _pieces(asks: DataFrame, term: Column) -> DataFrame:
+    """``asks`` with each of the longest pieces of a term as ``gram``: a text with
+    the term has all of them."""
+    rows = asks.select("*", term.alias("term"), F.least(F.length(term), F.lit(GRAM)).alias("width"))
+    return rows.select(*asks.columns, F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - F.col("width") + 1), lambda i: F.substring("term", i, F.col("width")))).alias("gram"))
+
+
+def _asked_for(rows: DataFrame, texts: tuple[str, ...], asked: DataFrame) -> DataFrame:
+    """(gram): pieces of ``texts`` that are among those of ``asked``; no others
+    leave the rows."""
+    has = rows.select(F.explode(reduce(F.array_union, [_grams(F.col(x)) for x in texts])).alias("gram"))
+    return has.join(_small(asked.select("gram").distinct()), "gram", "left_semi")
+
+
+def _met(asks: DataFrame, rows: DataFrame, texts: tuple[str, ...]) -> DataFrame:
+    """Pairs of ``asks`` (query, terms, low_q) and ``rows`` that have the rarest
+    piece of the query's longest term in one of ``texts``."""
+    spark = asks.sparkSession
+    longest = F.element_at(F.array_sort(F.transform("terms", lambda t: F.struct(-F.length(t), t.alias("t")))), 1).getField("t")
+    pieces = settled(spark, _pieces(asks, longest))
+    common = _asked_for(rows, texts, pieces).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = settled(spark, pieces.join(common, "gram", "left").groupBy(*asks.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select(*asks.columns, "g.gram"))
+    grams = rows.withColumn("gram", F.explode(reduce(F.array_union, [_grams(F.col(x)) for x in texts])))
+    return grams.join(_small(rarest), "gram")
+
+
 def name_hints(g: Graph, query: str, limit: int = 10) -> DataFrame:
     """(label): labels of live keys that contain the query and are not it, in
     lower case, the shortest first."""

@@ -83,6 +83,16 @@ def test_queries_are_resolved_as_the_search_ranks(spark):
             assert [got[a][0]] == [r.key for r in first] or (got[a][0] is None and not first)
 
 
+def test_of_keys_with_one_label_only_the_first_is_looked_up(spark, monkeypatch):
+    keys = [f"m:k{i}" for i in range(40)]
+    g = make(spark, [(1, "c", [("m:k7", 1)], [([k], 1, 1) for k in keys], {})], [(k, "Same Thing") for k in keys] + [("m:k3", "Thing Twice")], stock=[("m:k9", 64), ("m:odd", 1)])
+    want = {"thing": "m:k3", "thing same": "m:k9", "k3 thing": "m:k3", "k3 same": "m:k3", "twice k3": "m:k3", "m:k k1": "m:k1", "9 m:k": "m:k9", "odd m:o": "m:odd", "k3 odd": None, "THING  TWICE": "m:k3"}
+    made, whole = [], search.settled
+    monkeypatch.setattr(search, "settled", lambda s, df: made.append(whole(s, df)) or made[-1])
+    assert {r.query: r.key for r in search.resolve(g, spark.createDataFrame([(a,) for a in want], "query string")).collect()} == want
+    assert max(t.count() for t in made) <= len(keys) + 2  # no row for a piece of each key
+
+
 def test_loot_tables_are_recipes(spark):
     cats = spark.createDataFrame([(c,) for c in ("aoa_extraction_loot", "some.loot", "fine", "My.Drops")], "category string")
     assert rows(rewrite.drop_non_recipes(cats)) == [("aoa_extraction_loot",), ("fine",)]
