@@ -459,8 +459,10 @@ def best_recipes(g: Graph, cost: DataFrame, entry: DataFrame | None = None) -> D
     one, then by the number of slots, then the first."""
     r = rules(g, entry)
     n = cost.count()
-    recipe = recipe_prices(r, r.slots, node_prices(r, cost, n), n)
-    routes = r.outputs.join(recipe, "rid").join(g.recipe.where("not_production IS NULL").select("rid"), "rid", "left_semi")
+    # slots of other recipes stay where they are
+    real = g.recipe.where("not_production IS NULL").select("rid")
+    recipe = recipe_prices(r, r.slots.join(real, "rid", "left_semi"), node_prices(r, cost, n), n)
+    routes = r.outputs.join(recipe, "rid")
     routes = routes.withColumn("price", per_unit()).where("price IS NOT NULL")
     first = routes.groupBy("key").agg(F.min(F.struct(F.round("price", 9).alias("rounded"), "slots", "rid", "price")).alias("b")).select("key", "b.rid", "b.price")
     made = g.output.groupBy("rid", "key").agg(F.sum("qty").alias("per_run"))

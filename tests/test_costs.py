@@ -172,3 +172,12 @@ def test_slots_that_are_by_recipe_are_not_written_again(spark, sf_dir, monkeypat
     of = lambda by: costs.rules(Graph(g.recipe, g.output, mixed, g.names, g.ore_member, g.stock, g.catalyst, by)).slots
     a, b = of(True), of(False)
     assert r.choices and a.count() == b.count() > 0 and not a.exceptAll(b).count()
+
+
+def test_only_slots_of_real_recipes_meet_prices(spark, monkeypatch):
+    recipes = {1: ("p:1", 1, "loot", {"p:2": (1, 1.0)}), 2: ("p:1", 1, None, {"p:3": (3, 1.0)}), 3: ("p:4", 1, "loot", {"p:2": (2, 1.0)})}
+    met, whole = [], costs.recipe_prices
+    monkeypatch.setattr(costs, "recipe_prices", lambda r, slots, *more: met.append(slots) or whole(r, slots, *more))
+    cost = spark.createDataFrame([("p:2", 1.0), ("p:3", 1.0)], "key string, cost double")
+    assert [tuple(r) for r in costs.best_recipes(small_graph(spark, recipes, {}), cost).collect()] == [("p:1", 2, 23.0, 1)]
+    assert [r.rid for t in met for r in t.collect()] == [2]
