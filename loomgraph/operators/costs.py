@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ FORMULA = 1
 LEAST_GAIN = 1e-9
 #: Steps after which a loop that still finds something is an error.
 CEILING = 1000
+#: Levels of a plan that are read one by one before they are written as one table.
+TOGETHER = 16
 #: Share of the open recipes below which they are written anew.
 SHRINK = 0.8
 #: Keys up to which all recipes are priced in every pass: two jobs more a pass
@@ -472,8 +475,9 @@ def best_recipes(g: Graph, cost: DataFrame, entry: DataFrame | None = None) -> D
 NODE = "request long, path string, key string, depth int, need long, taken long, made long, rid long, runs long, status string"
 
 
-def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24, scenario: Scenario = Scenario(), max_nodes: int | None = None) -> DataFrame:
-    """Expands requests (request, key, need) to crafting trees, level by level.
+def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int | None = None, scenario: Scenario = Scenario(), max_nodes: int | None = None) -> DataFrame:
+    """Expands requests (request, key, need) to crafting trees, level by level,
+    until no node is made any more: a path ends where a key is its own ancestor.
 
     All nodes of a level are expanded by joins at once.  Nodes of a level that
     want the same key draw on the request's stock in the order of their paths;
@@ -482,9 +486,9 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24,
     one of its own ancestors), raw (it can be mined), token or raw (no route);
     else it is made by the key's route, in whole runs.  An input that a run does
     not spend is needed once, however many runs there are; its path ends in
-    ``~``.  Where the depth, or a request's nodes (``max_nodes``, counted before
-    a level), are exceeded, the status is depth; stock drawn before that counts
-    as taken.  Returns NODE rows; have and partial are covered by stock.  A slot
+    ``~``.  Where a bound is given and the depth, or a request's nodes
+    (``max_nodes``, counted before a level), are exceeded, the status is depth;
+    stock drawn before that counts as taken.  Returns NODE rows; have and partial are covered by stock.  A slot
     takes one key: ValueError where one has several (``pick_alternatives``
     chooses, ``planning.plan`` takes what it chose).
     """
@@ -505,7 +509,7 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24,
     ends = settled(spark, ends.groupBy("key").agg(F.min("end.nth").alias("first"), F.collect_set("end.name").alias("ends"))) if ends is not None else None
     level = requests.select("request", F.col("key").alias("path"), "key", F.lit(0).alias("depth"), "need", F.array().cast("array<string>").alias("above"))
     nodes, drawn = None, None
-    for depth in range(max_depth + 1):
+    for depth in count():
         rows = level.join(stock, "key", "left")
         if drawn is not None:
             rows = rows.join(drawn, ["request", "key"], "left")
@@ -534,6 +538,8 @@ def plan(requests: DataFrame, g: Graph, routes: DataFrame, max_depth: int = 24,
         rows = rows.withColumn("runs", runs).withColumn("rid", F.when(crafted, F.col("rid")))
         rows = settled(spark, rows.withColumn("made", F.coalesce(F.col("runs") * F.col("per_run"), F.lit(0))).select("request", "path", "key", "depth", "need", "taken", "want", "made", "rid", "runs", "status", "above"))
         nodes = rows if nodes is None else nodes.unionByName(rows)
+        if depth % TOGETHER == TOGETHER - 1:
+            nodes = settled(spark, nodes)
         took = rows.groupBy("request", "key").agg(F.sum("taken").alias("drawn"))
         drawn = took if drawn is None else settled(spark, drawn.unionByName(took).groupBy("request", "key").agg(F.sum("drawn").alias("drawn")))
         level = rows.where("rid IS NOT NULL").join(slots.withColumnRenamed("key", "part"), "rid")

@@ -550,8 +550,8 @@ def chart_counts(spark, d):
 
 @query()
 def plan_trees(spark, d):
-    """A plan of each key that is made, with sources, tokens and what is mined:
-    its nodes, depth and what it needs."""
+    """A plan of each key that is made, whole, with sources, tokens and what is
+    mined: its nodes, depth and what it needs."""
     g, s = graph(spark, d), _scenario(spark, d)
     cost = _prices(spark, d)
     routes = settled(spark, costs.best_recipes(g, cost))
@@ -560,5 +560,5 @@ def plan_trees(spark, d):
     chosen = clustered(spark, cycles.with_slots(few, costs.pick_alternatives(few, cost)).withColumn("alt", F.lit(0)), "rid", False)
     picked = G.Graph(g.recipe, g.output, chosen.select("rid", "slot", "alt", "key", "qty", "p"), g.names, g.ore_member, g.stock, g.catalyst)
     requests = g.output.select("key").distinct().select(F.xxhash64("key").alias("request"), "key", F.lit(10).cast("long").alias("need"))
-    nodes = costs.plan(requests, picked, routes, 6, s, 4000)
+    nodes = costs.plan(requests, picked, routes, scenario=s)
     return costs.tree_summary(nodes)

@@ -181,3 +181,21 @@ def test_only_slots_of_real_recipes_meet_prices(spark, monkeypatch):
     cost = spark.createDataFrame([("p:2", 1.0), ("p:3", 1.0)], "key string, cost double")
     assert [tuple(r) for r in costs.best_recipes(small_graph(spark, recipes, {}), cost).collect()] == [("p:1", 2, 23.0, 1)]
     assert [r.rid for t in met for r in t.collect()] == [2]
+
+
+def test_plan_trees_are_whole(spark, monkeypatch):
+    """A chain of 26 steps, and a tree whose fourth level begins after 4,000 nodes."""
+    from loomgraph.plans import workshop_queries
+
+    recipes = {i: (f"p:{i}", 1, None, {f"p:{i + 1}": (1, 1.0)}) for i in range(1, 27)}
+    recipes[100] = ("p:100", 1, None, {f"p:{200 + i}": (1, 1.0) for i in range(65)})
+    recipes |= {200 + i: (f"p:{200 + i}", 1, None, {f"p:{300 + j}": (1, 1.0) for j in range(65)}) for i in range(65)}
+    recipes |= {300 + j: (f"p:{300 + j}", 1, None, {"p:27": (1, 1.0)}) for j in range(65)}
+    g = small_graph(spark, recipes, {})
+    cost = g.slot.select("key").union(g.output.select("key")).distinct().withColumn("cost", F.lit(1.0))
+    monkeypatch.setattr(workshop_queries, "graph", lambda s, d: g)
+    monkeypatch.setattr(workshop_queries, "_prices", lambda s, d: cost)
+    monkeypatch.setattr(workshop_queries, "_scenario", lambda s, d: costs.Scenario())
+    got = workshop_queries.plan_trees(spark, "").collect()
+    assert len(got) == len(recipes) and not sum(r.cut for r in got)
+    assert {(r.nodes, r.depth) for r in got} >= {(27, 26), (1 + 65 + 65 * 65 * 2, 3)}
