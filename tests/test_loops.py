@@ -190,6 +190,32 @@ def test_churn_against_brute_force(spark, cap, seed):
     assert churn.churn(a.limit(0), b, cap)[0].count() == 0
 
 
+def test_large_groups_are_paired_whole(spark, monkeypatch):
+    """A group of more than 10,000 pairs, and one of items with many tags."""
+    from loomgraph.plans import loop_queries
+
+    rng = random.Random(3)
+
+    def items(n, side):
+        out = {}
+        for i in range(n):
+            tags = {t: (rng.choice(["0", "1", "2", "", None]), "u") for t in rng.sample("ABCDE", rng.randint(1, 4))} | {"Z": (str(rng.randrange(40)), "u")}
+            out[f"m:big#{rng.randrange(10**6)}{side}"] = ("x", tags)
+        for i in range(6):
+            out[f"m:wide#{rng.randrange(10**6)}{side}"] = ("x", {t: (rng.choice("01"), "u") for t in rng.sample("ABCDEFGHIJKL", 10)})
+        return out
+
+    old, new = items(140, "o"), items(110, "n")
+    a, b = dump(spark, old), dump(spark, new)
+    want, _ = brute_pairs(old, new, float("inf"))
+    found, groups = churn.pairs(a, b)
+    assert sorted((r.old, r.new, r.how) for r in found.collect()) == sorted(want) and len(want) == 116
+    assert not groups.where("skipped").count() and groups.where(f"left_old * left_new > {churn.MAX_GROUP_PAIRS}").count() == 1
+    monkeypatch.setattr(loop_queries, "dumps", lambda s, d: (a, b))
+    told = Counter(t for p, q, _ in want for t in old[p][1].keys() | new[q][1].keys() if any(old[p][1].get(x, 0) != new[q][1].get(x, 0) for x in old[p][1].keys() | new[q][1].keys()))
+    assert {r.tag: r.added + r.removed + r.changed + r.same for r in loop_queries.churned_tags(spark, "").collect()} == told
+
+
 def test_churned_tags_of_the_tables(spark, sf_dir):
     from loomgraph.plans import loop_queries
 
