@@ -389,6 +389,36 @@ def test_plans_against_brute_force(spark, seed):
     assert nodes.where("via <> key AND via LIKE '%#%'").count() > 0  # made through its variant
 
 
+def test_planned_products_are_whole_and_rank_no_other_routes(spark, monkeypatch):
+    """A plan of more than 200 nodes before its last level; where no first route
+    takes what is above it, nothing is asked of the others."""
+    from loomgraph.plans import loop_queries
+
+    fan = lambda layer: [([f"m:{layer}{i:02}"], 1, 1) for i in range(15)]
+    recipes = [(1, "c", [("m:top", 1)], fan("a"), {})] + [(100 + i, "c", [(f"m:a{i:02}", 1)], fan("b"), {}) for i in range(15)]
+    recipes += [(200 + i, "c", [(f"m:b{i:02}", 1)], [(["m:ore"], 1, 1)], {}) for i in range(15)]
+    recipes.append((300, "c", [("m:top", 1)], [*fan("a"), (["m:top"], 1, 1)], {}))  # not the first
+    g = make(spark, recipes)
+    cost = g.slot.select("key").union(g.output.select("key")).distinct().withColumn("cost", F.lit(1.0))
+    monkeypatch.setattr(loop_queries.workshop, "graph", lambda s, d: g)
+    monkeypatch.setattr(loop_queries, "_scenario", lambda s, d: costs.Scenario())
+    monkeypatch.setattr(loop_queries, "_prices", lambda s, d: cost)
+    monkeypatch.setattr(planning, "components", lambda edges: 1 / 0)
+    monkeypatch.setattr(planning, "ranked_routes", lambda *a: 1 / 0)
+    got = sorted((r.nodes, r.depth, r.cut, r.roadblock) for r in loop_queries.planned_products(spark, "").collect())
+    assert got == [(2, 1, 0, False)] * 15 + [(31, 2, 0, False)] * 15 + [(1 + 15 + 225 * 2, 3, 0, False)]
+
+
+def test_first_routes_are_those_ranked_first(spark):
+    recipes, ores = random_graph(spark, 4, 30, 22)
+    recipes = [(r, c, [(k + f"#{r % 3:012}" if k in ("m:k01", "m:k05") else k, n) for k, n in o], i, m) for r, c, o, i, m in recipes]
+    g = make(spark, recipes, ores=ores)
+    scored = store.settled(spark, costs.scores(g, costs.raw_seed(g), planning=True))
+    ranked = planning.ranked_routes(g, scored).where("place = 1")
+    first = planning.first_routes(g, scored)
+    assert rows(first) == rows(ranked.select(*first.columns)) and first.where("key <> via").count() > 0
+
+
 def test_a_plan_leaves_a_cheap_cycle(spark):
     """An ingot out of its block, which takes ingots, is cheaper by price; on the
     path to itself the ore is taken."""
